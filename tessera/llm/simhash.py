@@ -14,7 +14,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, Cut, encode, map_columns
@@ -137,7 +137,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 #: For near copies at a similarity of 0.8: words in a shingle, 64-bit lanes, most differing bits, keys and their bits.
-COPY_WORDS, COPY_LANES, COPY_BITS, COPY_TABLES, KEY_BITS = 5, 4, 44, 48, 18
+COPY_WORDS, COPY_LANES, COPY_BITS, COPY_TABLES, KEY_BITS = 5, 4, 44, 64, 20
 
 
 def _masks(lanes: int, tables: int, bits: int) -> list[list[int]]:
@@ -155,11 +155,12 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     """``doc_id, group_id`` of every row: groups of near copies at a five-word shingle similarity of 0.8 or more.
 
     At that similarity about 15 % of the bits differ, so the radius is wide and no choice of blocks is exact: classes meet
-    in ``tables`` joins on ``key_bits`` seeded bits each (0.92 of pairs at 0.8, 0.98 at 0.85, 0.999 at 0.9), and are
+    in ``tables`` buckets of ``key_bits`` seeded bits each (0.91 of pairs at 0.8, 0.98 at 0.85, 0.999 at 0.9), and are
     verified by their distance over all lanes. First each bucket's classes are verified against the bucket's least
-    one; then, with the components of those links, all pairs of a bucket that stand in different components, except
-    within the component that holds most of the bucket. So a bucket of many copies costs a line, not a square, and no
-    pair of a bucket that could join two groups is left out. Null and empty texts are copies of each other. ``group_id``
+    one, which is all for a bucket of two; then, with the components of those links, all pairs of a larger bucket that
+    stand in different components, except within the component that holds most of the bucket. So a bucket of many
+    copies costs a line, not a square, and no pair of a bucket that could join two groups is left out. A bucket is a
+    key of one table in ``tables``, so the largest one is a small part of all rows. Null and empty texts are copies of each other. ``group_id``
     is the group's least id.
     """
     f = [f"f{i}" for i in range(lanes)]
@@ -172,17 +173,19 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     def near(a: str, b: str) -> Column:
         return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in f), F.lit(0)) <= max_bits
 
-    met = lambda a, b: (F.col(f"{a}.j") == F.col(f"{b}.j")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
-    pair = [F.col("a.id").alias("a"), F.col("b.id").alias("b")]
-    first = rows.groupBy("j", "h").agg(F.min(F.struct("id", *f)).alias("s")).select("j", "h", "s.*")
-    some = Cut(rows.alias("a").join(first.alias("b"), met("a", "b") & (F.col("a.id") > F.col("b.id")) & near("a", "b")).select(*pair).distinct()).df
+    bucket = Window.partitionBy("j", "h").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    led = rows.withColumn("n", F.count("*").over(bucket)).withColumn("b", F.first(F.struct("id", *f)).over(bucket)).filter("n > 1").alias("a")
+    led = led.withColumn("near", near("a", "b") & (F.col("id") > F.col("b.id"))).filter("n > 2 or near")
+    met = Cut(led.select("j", "h", "id", "n", "near", F.col("b.id").alias("lead"), *[F.when(F.col("n") > 2, F.col(c)).alias(c) for c in f])).df
+    some = Cut(met.filter("near").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()).df
     group = Cut(components(some)).df
-    held = rows.join(group, rows["id"] == group["node"], "left").select("j", "h", "id", *f, F.coalesce("component", "id").alias("c"))
+    held = met.filter("n > 2").join(group, met["id"] == group["node"], "left").select("j", "h", "id", *f, F.coalesce("component", "id").alias("c"))
     main = held.groupBy("j", "h", "c").agg(F.count("*").alias("n")).groupBy("j", "h").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    mixed = Cut(held.alias("a").join(main.alias("b"), met("a", "b")).select("a.*", (F.col("a.c") == F.col("b.main")).alias("in_main"))).df
+    same = lambda a, b: (F.col(f"{a}.j") == F.col(f"{b}.j")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
+    mixed = Cut(held.alias("a").join(main.alias("b"), same("a", "b")).select("a.*", (F.col("a.c") == F.col("b.main")).alias("in_main"))).df
     minor = mixed.filter("not in_main")
     apart = (F.col("a.c") != F.col("b.c")) & (F.col("b.in_main") | (F.col("a.id") < F.col("b.id")))
-    more = minor.alias("a").join(mixed.alias("b"), met("a", "b") & apart & near("a", "b")).select(*pair)
+    more = minor.alias("a").join(mixed.alias("b"), same("a", "b") & apart & near("a", "b")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     node = components(some.unionByName(more))
     named = classes.join(node, classes["id"] == node["node"], "left").select(*f, F.coalesce("component", "id").alias("group_id"))
     return prints.join(named, f).select("doc_id", "group_id")
