@@ -16,6 +16,8 @@ from .common import encode, map_columns
 #: Most labelled rows and most bytes of one of them that training reads, and most words in the model.
 TRAIN_ROWS, TRAIN_BYTES, MODEL_WORDS, LEAST_DOCS = 6_000, 40_000, 60_000, 8
 THRESHOLD = 0.3
+#: The most that a model scores which had no two labels to learn from.
+UNLEARNT = 0.25
 #: Words whose weight a worker remembers.
 SEEN_WORDS = 200_000
 
@@ -83,8 +85,9 @@ class Model:
         return min(1.0, max(0.0, -math.expm1(log))), worst, p[worst] if p else 0.0
 
 
-def fit(rows: list[tuple[str | None, int]], rounds: int = 150, rate: float = 0.15, decay: float = 1e-4) -> Model:
-    """Full-batch Adam on the likelihood of the noisy-or. Without both labels the model is the label's rate.
+def fit(rows: list[tuple[str | None, int]], rounds: int = 150, rate: float = 0.15, decay: float = 5e-5) -> Model:
+    """Full-batch Adam on the likelihood of the noisy-or. Without both labels nothing can be learnt: every
+    score is the label's rate, but below the threshold, so that nothing is rejected.
 
     Ordered input makes the fit repeatable. Words of fewer than ``LEAST_DOCS`` documents have no weight.
     """
@@ -94,7 +97,7 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 150, rate: float = 0.1
     df = Counter(f for t, _ in rows for f in {f for s in sentences(t) for w in s for f in features(w)})
     vocab = {w: i for i, w in enumerate(sorted(w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:MODEL_WORDS] if n >= LEAST_DOCS))}
     if prior in (0.0, 1.0) or not vocab or not len(y):
-        return Model({}, -40.0, min(max(prior, 0.001), 0.999))
+        return Model({}, -40.0, min(max(prior, 0.001), UNLEARNT))
     del df
     word, sent, doc = array("i"), array("i"), array("i")
     for d, (t, _) in enumerate(rows):
