@@ -11,6 +11,7 @@ the join. Survivors are verified by their exact distance.
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, ceil, log2, pi
 
 import numpy as np
 import xxhash
@@ -136,8 +137,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named, "f").select("doc_id", digits.alias("fingerprint"), "component_id", "n_links")
 
 
-#: For near copies at a similarity of 0.8: words in a shingle, 64-bit lanes, most differing bits, keys and their bits.
-COPY_WORDS, COPY_LANES, COPY_BITS, COPY_TABLES, KEY_BITS = 5, 4, 44, 64, 20
+#: For near copies at a similarity of 0.8: words in a shingle, 64-bit lanes, most differing bits.
+COPY_WORDS, COPY_LANES, COPY_BITS = 5, 4, 44
+#: Keys of a corpus of up to 2**KEY_BITS classes and their bits; a larger one has wider keys, and more of them.
+COPY_TABLES, KEY_BITS = 64, 18
+#: Share of equal bits at a similarity of 0.8 (one less the angle of sets of one size, over pi).
+COPY_EQUAL = 1 - acos(0.8 * 2 / 1.8) / pi
+#: Classes of a bucket that are compared each with each by one window.
+BUCKET = 8
+
+
+def key_plan(classes: int, tables: int = COPY_TABLES, key_bits: int = KEY_BITS) -> tuple[int, int]:
+    """(tables, key bits) for so many classes: at most one class meets another by chance in a bucket, and the share of
+    pairs at the least similarity that meet is the same at every size."""
+    bits = max(key_bits, ceil(log2(max(classes, 1))))
+    return ceil(tables * COPY_EQUAL ** (key_bits - bits)), bits
 
 
 def _masks(lanes: int, tables: int, bits: int) -> list[list[int]]:
@@ -155,31 +169,34 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     """``doc_id, group_id`` of every row: groups of near copies at a five-word shingle similarity of 0.8 or more.
 
     At that similarity about 15 % of the bits differ, so the radius is wide and no choice of blocks is exact: classes meet
-    in ``tables`` buckets of ``key_bits`` seeded bits each (0.91 of pairs at 0.8, 0.98 at 0.85, 0.999 at 0.9), and are
-    verified by their distance over all lanes. First each bucket's classes are verified against the bucket's least
-    one, which is all for a bucket of two; then, with the components of those links, all pairs of a larger bucket that
+    in the buckets of ``key_plan`` (0.96 of pairs at 0.8, 0.99 at 0.85), and are verified by their distance over
+    all lanes. A bucket of up to ``BUCKET`` classes is verified pair by pair in one window. Of a larger one, first each class is verified
+    against the bucket's least one; then, with the components of all links so far, all pairs that
     stand in different components, except within the component that holds most of the bucket. So a bucket of many
     copies costs a line, not a square, and no pair of a bucket that could join two groups is left out. A bucket is a
-    key of one table in ``tables``, so the largest one is a small part of all rows. Null and empty texts are copies of each other. ``group_id``
+    key of one table among all, so the largest one is a small part of all rows. Null and empty texts are copies of each other. ``group_id``
     is the group's least id.
     """
     f = [f"f{i}" for i in range(lanes)]
     prints = Cut(fingerprints(docs, doc_id, text, k, lanes)).df
     # a class may have no id at all; it then needs a number of its own, below all ids
     classes = Cut(prints.groupBy(*f).agg(F.coalesce(F.min("doc_id"), F.lit(-(2**62))).alias("id"))).df
-    keys = F.array(*[F.struct(F.lit(j).alias("j"), F.xxhash64(*[F.col(c).bitwiseAND(F.lit(x)) for c, x in zip(f, m, strict=True)]).alias("h")) for j, m in enumerate(_masks(lanes, tables, key_bits))])
+    keys = F.array(*[F.struct(F.lit(j).alias("j"), F.xxhash64(*[F.col(c).bitwiseAND(F.lit(x)) for c, x in zip(f, m, strict=True)]).alias("h")) for j, m in enumerate(_masks(lanes, *key_plan(classes.count(), tables, key_bits)))])
     rows = classes.select(F.col("id"), *f, F.explode(keys).alias("key")).select("key.j", "key.h", "id", *f)
 
     def near(a: str, b: str) -> Column:
         return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in f), F.lit(0)) <= max_bits
 
-    bucket = Window.partitionBy("j", "h").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    led = rows.withColumn("n", F.count("*").over(bucket)).withColumn("b", F.first(F.struct("id", *f)).over(bucket)).filter("n > 1").alias("a")
-    led = led.withColumn("near", near("a", "b") & (F.col("id") > F.col("b.id"))).filter("n > 2 or near")
-    met = Cut(led.select("j", "h", "id", "n", "near", F.col("b.id").alias("lead"), *[F.when(F.col("n") > 2, F.col(c)).alias(c) for c in f])).df
-    some = Cut(met.filter("near").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()).df
+    order = Window.partitionBy("j", "h").orderBy("id")
+    bucket = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = [f"b{i}" for i in range(1, BUCKET)]
+    met = rows.select("*", F.count("*").over(bucket).alias("n"), F.first(F.struct("id", *f)).over(bucket).alias("b"), *[F.lag(F.struct("id", *f), i).over(order).alias(c) for i, c in enumerate(before, 1)]).filter("n > 1").alias("a")
+    small, large = F.col("n") <= BUCKET, F.col("n") > BUCKET
+    to = F.array_compact(F.array(*[F.when(small & near("a", c), F.col(f"{c}.id")) for c in before], F.when(large & near("a", "b") & (F.col("id") > F.col("b.id")), F.col("b.id"))))
+    met = Cut(met.withColumn("to", to).filter(large | (F.size("to") > 0)).select("j", "h", "id", "n", "to", *[F.when(large, F.col(c)).alias(c) for c in f])).df
+    some = Cut(met.select(F.col("id").alias("a"), F.explode("to").alias("b")).distinct()).df
     group = Cut(components(some)).df
-    held = met.filter("n > 2").join(group, met["id"] == group["node"], "left").select("j", "h", "id", *f, F.coalesce("component", "id").alias("c"))
+    held = met.filter(large).join(group, met["id"] == group["node"], "left").select("j", "h", "id", *f, F.coalesce("component", "id").alias("c"))
     main = held.groupBy("j", "h", "c").agg(F.count("*").alias("n")).groupBy("j", "h").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
     same = lambda a, b: (F.col(f"{a}.j") == F.col(f"{b}.j")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
     mixed = Cut(held.alias("a").join(main.alias("b"), same("a", "b")).select("a.*", (F.col("a.c") == F.col("b.main")).alias("in_main"))).df

@@ -233,6 +233,23 @@ def test_near_copies_keep_one_of_each(spark, awkward, empty):
     assert simhash.one_of_each(awkward).columns == awkward.columns and simhash.one_of_each(empty).count() == 0
 
 
+def test_near_copies_by_brute_force(spark):
+    """Two families, larger than a bucket's window: every pair within the radius that shares a key lands in one group, and strangers stay apart."""
+    rng = random.Random(11)
+    w = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(n)]
+    roots = [w(200), w(200)]
+    texts = [" ".join([*r[:i], f"x{i}", *r[i + 1 :]]) for r in roots for i in range(0, 200, 10)] + [" ".join(w(200)) for _ in range(30)]
+    got = {r.doc_id: r.group_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(70)] == [0] * 20 + [20] * 20 + list(range(40, 70))
+
+
+def test_key_plan_keeps_recall_at_any_size():
+    for n in (0, 1, 10**5, 10**7, 10**9):
+        tables, bits = simhash.key_plan(n)
+        met = 1 - (1 - simhash.COPY_EQUAL**bits) ** tables
+        assert n <= 2**bits and met > 0.96
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
