@@ -31,7 +31,7 @@ def set_scores(gold: DataFrame, predicted: DataFrame, keys: list[str], by: list[
 def census(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Each gold span's outcome: EXACT, MERGEABLE (two overlaps or more), TRUNCATED (one) or MISSED, within document and label."""
     p = predicted.select("paper_id", "label", F.col("start").alias("ps"), F.col("end").alias("pe"))
-    met = gold.join(p, ["paper_id", "label"], "left").withColumn("over", F.coalesce((F.greatest("start", "ps") < F.least("end", "pe")), F.lit(False)))
+    met = gold.join(p, ["paper_id", "label"], "left").withColumn("over", F.col("ps").isNotNull() & (F.greatest("start", "ps") < F.least("end", "pe")))
     each = met.groupBy("paper_id", "label", "start", "end").agg(F.count_if("over").alias("n"), F.bool_or(F.coalesce((F.col("ps") == F.col("start")) & (F.col("pe") == F.col("end")), F.lit(False))).alias("exact"))
     return each.withColumn("outcome", F.when(F.col("exact"), "EXACT").when(F.col("n") >= 2, "MERGEABLE").when(F.col("n") == 1, "TRUNCATED").otherwise("MISSED"))
 

@@ -51,6 +51,12 @@ def test_distance_by_nodes(spark):
     assert {(r.b): r.distance for r in question.distances(pairs, tree).collect()} == {"B": 2, "C": None, "D": 2, "Z": None}
 
 
+def test_census_without_predictions_is_missed(spark):
+    gold = spark.createDataFrame([(1, "A", 0, 5), (2, "A", 0, 5), (3, "A", 0, 9), (4, "A", 0, 5)], "paper_id long, label string, start int, end int")
+    pred = spark.createDataFrame([(2, "A", 0, 5), (3, "A", 0, 3), (3, "A", 4, 9), (4, "A", 3, 8)], "paper_id long, label string, start int, end int")
+    assert {r.paper_id: r.outcome for r in scoring.census(gold, pred).collect()} == {1: "MISSED", 2: "EXACT", 3: "MERGEABLE", 4: "TRUNCATED"}
+
+
 def test_multiset_and_set_scores_differ(spark):
     g, p = spark.createDataFrame([(1,), (1,), (2,)], "k int"), spark.createDataFrame([(1,), (3,)], "k int")
     m, s = scoring.multiset_scores(g, p, ["k"]).first(), scoring.set_scores(g, p, ["k"]).first()
