@@ -45,9 +45,13 @@ def numerals(s: Column) -> Column:
 def shingles(s: Column, size: int = 10, stride: int = 5) -> Column:
     """Windows of ``size`` words at every ``stride``-th word, white space normalised; a shorter text has none."""
     words = F.filter(F.split(s, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    starts = F.when(n >= size, F.sequence(F.lit(1), n - size + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))
+
+    def windows(w: Column) -> Column:
+        starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))
+
+    # the words are bound once, by an array of one; named in the inner lambda they would be split anew for every window
+    return F.get(F.transform(F.array(words), windows), F.lit(0))
 
 
 def contains_phrase(words: Column, phrase: Column) -> Column:

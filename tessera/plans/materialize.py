@@ -1,0 +1,23 @@
+"""Tables that a query reads more than once, written to the folder that the cluster shares."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once and read back, so that later reads and lost executors don't compute it again.
+
+    It goes to ``spark.checkpoint.dir``; a temporary folder is set only where that is unset.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import licence, text
 from ..operators import linking, pairing
+from .materialize import written
 
 WORD = r"\p{L}{7,}"
 #: Licence strings by document id modulo their number.
@@ -20,7 +21,8 @@ def _hex(c, at: int):
 
 
 class Substrate:
-    """Lazy DataFrames of one data folder; nothing is read until a query asks for it."""
+    """DataFrames of one data folder; nothing is read until a query asks for it. What a query reads more than once is
+    written: the lexicon, the linked mentions, those in sentences, and the clusters."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -46,7 +48,7 @@ class Substrate:
     @cached_property
     def lexicon(self) -> DataFrame:
         words = self.papers.select("paper_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("abstract", F.lit(WORD), F.lit(0)), F.lower))).alias("alias_key"))
-        return words.distinct().groupBy("alias_key").agg(F.count("*").alias("df")).filter("df between 2 and 20")
+        return written(words.distinct().groupBy("alias_key").agg(F.count("*").alias("df")).filter("df between 2 and 20"))
 
     @cached_property
     def aliases(self) -> DataFrame:
@@ -66,11 +68,11 @@ class Substrate:
         m = self.tokens.join(self.lexicon.select("alias_key"), "alias_key", "left_semi")
         label = F.when(_hex("alias_key", 1) < "8", "CHEMICAL").otherwise("DISEASE")
         m = m.select("paper_id", F.col("pos").alias("ord"), F.col("match").alias("text"), "alias_key", label.alias("label"), "start", "end")
-        return linking.link(m, self.resolved)
+        return written(linking.link(m, self.resolved))
 
     @cached_property
     def located(self) -> DataFrame:
-        return linking.in_sentences(self.mentions, self.sentences)
+        return written(linking.in_sentences(self.mentions, self.sentences))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -78,7 +80,7 @@ class Substrate:
 
     @cached_property
     def clusters(self) -> DataFrame:
-        return pairing.cluster_papers(self.pairs).withColumn("key", F.concat_ws("|", "chemical_id", "disease_id"))
+        return written(pairing.cluster_papers(self.pairs).withColumn("key", F.concat_ws("|", "chemical_id", "disease_id")))
 
     @cached_property
     def concepts(self) -> DataFrame:
