@@ -48,10 +48,20 @@ _TABLES = {
       select query_id, key, matched, case when n.n is null then 0.0 when n.nulls > 0 then null else n.d end::double as proximity
       from cnt left join (select query_id, key, count(*) as n, count(*) filter (where d is null) as nulls, max(d) as d from near group by all) n using (query_id, key))""",
     "judged": "select doc_id, toxic::bigint as gold, case when substr(md5(doc_id::varchar), 1, 1) = '0' then 1 - toxic else toxic end::bigint as predicted, case when substr(md5(doc_id::varchar), 1, 1) < '3' then 0 else toxic end::bigint as other from labels",
+    "dirs": "select paper_id, chemical_id, disease_id, chemical_id || '|' || disease_id as key, unnest(case when d < '7' then ['causes'] when d < 'd' then ['treats'] else ['causes', 'treats'] end) as direction from (select *, substr(md5(concat_ws('|', paper_id, chemical_id, disease_id, 'direction')), 1, 1) as d from gold)",
+    "acc": "select paper_id, key, list_sort(list(distinct direction)) as directions from dirs group by paper_id, key",
+    "cand": "select * from (select a.key, a.paper_id as paper_a, b.paper_id as paper_b, case when a.directions = b.directions then 'agreement' else 'contradiction' end as label from acc a join acc b on a.key = b.key and a.paper_id < b.paper_id where len(a.directions) = 1 and len(b.directions) = 1) qualify row_number() over (partition by key, label order by paper_a, paper_b) <= 4",
+    "gsent": "select distinct g.paper_id, c.sentence_index, g.chemical_id, g.disease_id from gold g join loc c on c.paper_id = g.paper_id and c.canonical_id = g.chemical_id and c.label = 'CHEMICAL' join loc d on d.paper_id = g.paper_id and d.sentence_index = c.sentence_index and d.canonical_id = g.disease_id and d.label = 'DISEASE'",
+    "flags": "select paper_id, sentence_index, n, (paper_id, sentence_index) in (select (paper_id, sentence_index) from gsent) as is_gold from (select paper_id, sentence_index, max(sentence_index) over (partition by paper_id) + 1 as n from sent)",
+    "selected": "select selector, count(*) as n_selected, count(*) filter (where is_gold) as hits from (select *, unnest(list_concat([case when sentence_index < k then 'first_' || k end for k in [1, 2, 3, 4, 5, 6]], [case when sentence_index < ceil(f / 10.0::double * n) then 'fraction_' || f end for f in [1, 2, 3, 4, 5]])) as selector from flags) where selector is not null group by selector",
+    "scored": "select selector, n_selected, hits, total, gold_total, n_selected / total as rate, case when gold_total = 0 then 0.0 else hits / gold_total end as recall from selected, (select count(*) as total, count(*) filter (where is_gold) as gold_total from flags)",
+    "tiers": "select query_id, key, rank, case when d < '5' then 'answers' when d < 'a' then 'background' when d < 'e' then 'off_topic' end as tier from (select *, substr(md5(query_id || '|' || key), 1, 1) as d from ranked)",
+    "screen": "select query_id, count(*) as n_clusters, substr(md5(query_id::varchar), 1, 1) < '8' as plain from ranked group by query_id having count(*) >= 8",
 }
 _NEEDS = {
     "papers1": ("papers0",), "papers": ("papers1",), "sent0": ("papers",), "sent1": ("sent0",), "sent": ("sent1",), "tok0": ("papers",), "tok1": ("tok0",), "tok": ("tok1",), "lex": ("tok",), "alias": ("lex",), "dict": ("alias",), "ment": ("tok", "lex", "dict"), "loc": ("ment", "sent"), "crossp": ("ment",), "pairs": ("loc",), "clusters": ("pairs",),
     "members": ("pairs", "clusters"), "gold": ("crossp",), "found": ("loc",), "gspan": ("ment",), "pspan": ("ment",), "concepts": ("alias",), "dig": ("concepts",), "tree": ("dig",), "path": ("tree",), "actions": ("concepts",), "terms": ("terms0", "dict"), "sides": ("clusters",), "matched": ("sides", "terms", "actions"), "cnt": ("matched",), "near": ("cnt", "sides", "terms", "path", "matched"), "ranked": ("cnt", "near"),
+    "dirs": ("gold",), "acc": ("dirs",), "cand": ("acc",), "gsent": ("gold", "loc"), "flags": ("sent", "gsent"), "selected": ("flags",), "scored": ("selected",), "tiers": ("ranked",), "screen": ("ranked",),
 }
 
 
