@@ -156,3 +156,17 @@ def cited_order(ranked: DataFrame, members: DataFrame) -> DataFrame:
     """``query_id, paper_id, position``: papers in the order of their first appearance."""
     first = ranked.join(members, "key").groupBy("query_id", "paper_id").agg(F.min(F.struct("rank", "paper_id")).alias("_at"))
     return first.select("query_id", "paper_id", F.row_number().over(Window.partitionBy("query_id").orderBy("_at")).alias("position"))
+
+
+def published(ranked: DataFrame, clusters: DataFrame, members: DataFrame, papers: DataFrame, found: DataFrame, names: DataFrame) -> DataFrame:
+    """``query_id, rank, title, paper_id, proximity, excerpted``: the closed projection of a run that may be published.
+
+    A title shows names, and ids where there is no name; a paper is excerpted if it is licensed and has findings.
+    """
+    x = ranked.join(clusters.select("key", "chemical_id", "disease_id"), "key")
+    for side in ("chemical", "disease"):
+        x = x.join(names.select(F.col("concept_id").alias(f"{side}_id"), F.col("name").alias(f"_{side}")), f"{side}_id", "left").withColumn(f"_{side}", F.coalesce(f"_{side}", f"{side}_id"))
+    held = found.select("paper_id", F.lit(True).alias("_found"))
+    y = x.join(members.select("key", "paper_id"), "key").join(papers.select("paper_id", "extraction_allowed"), "paper_id").join(held, "paper_id", "left")
+    near = F.when(~F.coalesce(F.col("proximity").isin(float("inf")), F.lit(False)), F.col("proximity"))
+    return y.select("query_id", "rank", F.concat_ws(" / ", "_chemical", "_disease").alias("title"), "paper_id", near.alias("proximity"), (F.col("extraction_allowed") & F.coalesce("_found", F.lit(False))).alias("excerpted"))

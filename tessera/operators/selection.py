@@ -170,3 +170,15 @@ def repeated(rows: DataFrame, key: list[str]) -> DataFrame:
 def upsert(base: DataFrame, update: DataFrame, key: list[str]) -> DataFrame:
     """``base`` with rows of ``update`` in the place of those of the same key."""
     return base.join(update.select(*key).distinct(), key, "left_anti").unionByName(update)
+
+
+def distractors(ranked: DataFrame, seed: str) -> DataFrame:
+    """``query_id, key``: one group of another query for each query that has a donor, never one of its own.
+
+    Rows meet their successor in seeded order within a bucket of draws; no query meets all others.
+    """
+    draw = F.md5(F.concat_ws("|", F.lit(seed), F.col("query_id").cast("string"), "key"))
+    order = Window.partitionBy(F.substring("_draw", 1, 2)).orderBy("_draw", "query_id", "key")
+    x = ranked.select("query_id", "key", draw.alias("_draw")).withColumn("_donor", F.lead(F.struct("query_id", "key")).over(order))
+    other = x.filter("_donor.query_id <> query_id").select("query_id", F.col("_donor.key").alias("key"), "_draw")
+    return first_by(other.join(ranked.select("query_id", "key"), ["query_id", "key"], "left_anti"), ["query_id"], ["_draw"]).select("query_id", "key")

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import costs, quality, stats, text
-from ..operators import corpora, evidence, selection, scoring
-from ..operators.pairing import first_by
+from ..operators import corpora, evidence, question, scoring, selection, windows
+from ..operators.linking import findings, licence_gate
+from ..operators.pairing import cross_pairs, first_by, pair_table
+from .materialize import written
 from .oracles import _with
+from .registry import _judged
 from .substrate import Substrate
 
 __all__ = ["oracle_sql", "queries"]
@@ -76,7 +79,7 @@ def candidates(s: Substrate) -> DataFrame:
     where not exists (select 1 from dirs x join dirs y on x.key = y.key where x.paper_id = a.paper_id and y.paper_id = b.paper_id) qualify row_number() over (partition by a.endpoint order by a.paper_id, b.paper_id) <= 4""",
 )
 def negatives(s: Substrate) -> DataFrame:
-    return corpora.hard_negatives(_directions(s))
+    return corpora.hard_negatives(written(_directions(s)))
 
 
 @case("p16_usable_pairs", _with("cand", "papers") + _USABLE)
@@ -239,7 +242,7 @@ def overlaps(s: Substrate) -> DataFrame:
     select variant, tp, fp, fn, case when tp + fp = 0 then 0.0 else tp / (tp + fp) end as precision, case when tp + fn = 0 then 0.0 else tp / (tp + fn) end as recall from c""",
 )
 def granted(s: Substrate) -> DataFrame:
-    gold = s.gold_relations
+    gold = written(s.gold_relations)
     return selection.granted_scores(gold, s.pairs, {"chemical": gold.filter("chemical_id < 'MESH:8'"), "all": gold}, ["paper_id", "chemical_id", "disease_id"]).drop("f1")
 
 
@@ -250,8 +253,6 @@ def concepts_of(s: Substrate) -> DataFrame:
 
 @case("a27_arm_report", _with("papers", "found") + "select journal, count(*) as papers, count(*) filter (where n is null) as silent, coalesce(sum(n), 0) / count(*) as mean_findings from (select * from papers where extraction_allowed) left join (select paper_id, count(*) as n from found group by paper_id) using (paper_id) group by journal")
 def arm(s: Substrate) -> DataFrame:
-    from ..operators.linking import findings, licence_gate
-
     return evidence.arm_report(licence_gate(s.papers), findings(s.located, s.sentences), "journal")
 
 
@@ -287,9 +288,6 @@ def context_guard(s: Substrate) -> DataFrame:
 
 
 def _tiers(s: Substrate) -> tuple[DataFrame, DataFrame]:
-    from ..operators import question
-    from .materialize import written
-
     ranked = written(question.rank_clusters(s.clusters, question.question_terms(s.questions, s.resolved), s.tree, s.actions).select("query_id", "key", "rank"))
     d = F.substring(F.md5(F.concat_ws("|", "query_id", "key")), 1, 1)
     return ranked, ranked.select("query_id", "key", F.when(d < "5", "answers").when(d < "a", "background").when(d < "e", "off_topic").alias("tier"))
@@ -309,8 +307,6 @@ def inverted(s: Substrate) -> DataFrame:
 
 @case("a20_gates", _with("judged") + ", b as (select source, gold = predicted as good, toxic from (select l.doc_id, source, gold, predicted, gold as toxic from judged l join documents using (doc_id)) qualify row_number() over (partition by source order by doc_id) <= 15) select source, n, k, case when t * 3 > n then 'REVISE' else 'PROCEED' end as schema_gate, case when n = 15 then case when k <= 7 then 'STOP' when k <= 10 then 'CONTINUE_FLAGGED' else 'CONTINUE' end end as rate_gate from (select source, count(*) as n, count(*) filter (where good) as k, sum(toxic) as t from b group by source)")
 def gates(s: Substrate) -> DataFrame:
-    from .registry import _judged
-
     x = first_by(_judged(s).join(s.table("documents").select("doc_id", "source"), "doc_id"), ["source"], ["doc_id"], 15)
     c = x.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("gold") == F.col("predicted")).alias("k"), F.sum("gold").alias("t"))
     return c.select("source", "n", "k", selection.revise_gate(F.col("t"), F.col("n")).alias("schema_gate"), selection.stop_gate(F.col("k"), F.col("n")).alias("rate_gate"))
@@ -331,8 +327,6 @@ def shown(s: Substrate) -> DataFrame:
 
 @case("f26_projected_precision", "select label, case when recall * 0.0252::double + (1 - specificity) * (1 - 0.0252::double) = 0 then 0.0 else recall * 0.0252::double / (recall * 0.0252::double + (1 - specificity) * (1 - 0.0252::double)) end as projected from (" + _with("judged") + "select label, case when count(*) filter (where gold = label) = 0 then 0.0 else count(*) filter (where gold = label and predicted = label) / count(*) filter (where gold = label) end as recall, case when count(*) filter (where gold <> label) = 0 then 0.0 else count(*) filter (where gold <> label and predicted <> label) / count(*) filter (where gold <> label) end as specificity from judged, (values (0::bigint), (1::bigint)) as l(label) group by label)")
 def projected(s: Substrate) -> DataFrame:
-    from .registry import _judged
-
     m = scoring.macro_f1(scoring.confusion(_judged(s), [0, 1]))
     return m.select(*_long("label"), stats.project(F.col("recall"), F.col("specificity")).alias("projected"))
 
@@ -417,17 +411,12 @@ def unsourced(s: Substrate) -> DataFrame:
     select key, paper_id, coalesce(n, 0) as n_tokens, case when n is not null then 'scorable' when paper_id in (select paper_id from f) then 'indistinguishable' else 'no_findings' end as category from members left join u using (key, paper_id)""",
 )
 def distinguishing(s: Substrate) -> DataFrame:
-    from ..operators.linking import findings
-    from ..operators.pairing import pair_table
-
     members = pair_table(s.pairs).select("key", "paper_id")
     return evidence.distinguishing_tokens(members, findings(s.located, s.sentences))
 
 
 @case("f13_attributable", _with("members", "papers") + "select key, paper_id, count(*) over (partition by key, year, journal) = 1 and year is not null and journal is not null as attributable from members join papers using (paper_id)")
 def attributable(s: Substrate) -> DataFrame:
-    from ..operators.pairing import pair_table
-
     return evidence.attributable(pair_table(s.pairs).select("key", "paper_id").join(s.papers.select("paper_id", "year", "journal"), "paper_id"))
 
 
@@ -441,3 +430,49 @@ def spend(s: Substrate) -> DataFrame:
     cents = F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("long")
     per = s.table("events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg(cents).alias("mean"), F.stddev_samp(cents).alias("sd"))
     return costs.bounds(per)
+
+
+@case(
+    "j15_distractors",
+    _with("ranked") + """, d as (select query_id, key, md5(concat_ws('|', 'seed', query_id, key)) as draw from ranked), o as (select query_id, draw, lead(query_id) over w as q, lead(key) over w as k from d window w as (partition by substr(draw, 1, 2) order by draw, query_id, key))
+    select query_id, k as key from o where q <> query_id and (query_id, k) not in (select (query_id, key) from ranked) qualify row_number() over (partition by query_id order by draw) = 1""",
+)
+def distracted(s: Substrate) -> DataFrame:
+    ranked, _ = _tiers(s)
+    return selection.distractors(ranked, "seed")
+
+
+@case("v2_gold_outside_cross_pairs", _with("gold") + "select paper_id, chemical_id, disease_id from gold where false")
+def outside(s: Substrate) -> DataFrame:
+    return s.gold_relations.join(cross_pairs(s.mentions), ["paper_id", "chemical_id", "disease_id"], "left_anti")
+
+
+@case("v4_excerpts_not_verbatim", _with("sent") + "select paper_id, sentence_index from sent where false")
+def verbatim(s: Substrate) -> DataFrame:
+    f = findings(s.located, s.sentences).select("paper_id", "sentence_index", "text").join(s.sentences.select("paper_id", "sentence_index", "start", "end"), ["paper_id", "sentence_index"]).join(s.papers.select("paper_id", "abstract"), "paper_id")
+    return f.filter(F.substring(F.col("abstract"), F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text")).select("paper_id", *_long("sentence_index"))
+
+
+@case("w3_best_spans", _with("ment") + """, f as (select paper_id, label, s, e, w, ('0x' || substr(md5(concat_ws('|', 'score', paper_id, s, w)), 1, 13))::bigint / 4503599627370496.0::double as score from ment, (values (0), (1)) t(w) where substr(md5(concat_ws('|', paper_id, s)), 1, 1) < '8' or w = 0) select paper_id, label, s as start, e as "end", w as "window" from f qualify row_number() over (partition by paper_id, label, s, e order by score desc, w) = 1""")
+def best_spans(s: Substrate) -> DataFrame:
+    again = F.when(F.substring(F.md5(F.concat_ws("|", "paper_id", "start")), 1, 1) < "8", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    found = s.mentions.select("paper_id", "label", "start", "end", F.explode(again).alias("window"))
+    scored = found.withColumn("score", text.seeded_uniform(F.lit("score"), *[F.col(c).cast("string") for c in ("paper_id", "start", "window")]))
+    return windows.best_spans(scored).select("paper_id", "label", *_long("start", "end", "window"))
+
+
+@case("w12_plan_windows")
+def planned(s: Substrate) -> DataFrame:
+    return windows.plan_windows(s.sentences, s.papers)
+
+
+@case(
+    "k7_projection",
+    _with("ranked", "clusters", "pairs", "papers", "found", "alias") + """, n as (select concept_id, coalesce(max(alias_key) filter (where is_preferred), min(alias_key)) as name from alias group by concept_id)
+    select query_id, rank, c.name || ' / ' || d.name as title, paper_id, proximity, extraction_allowed and paper_id in (select paper_id from found) as excerpted from ranked join clusters using (key) join n c on c.concept_id = chemical_id join n d on d.concept_id = disease_id join pairs using (chemical_id, disease_id) join papers using (paper_id)""",
+)
+def projection(s: Substrate) -> DataFrame:
+    ranked = question.rank_clusters(s.clusters, question.question_terms(s.questions, s.resolved), s.tree, s.actions)
+    names = evidence.concept_names(s.aliases.withColumn("name", F.col("alias_key")).withColumn("ord", F.col("alias_key")))
+    found = findings(s.located, s.sentences).select("paper_id").distinct()
+    return evidence.published(ranked, s.clusters, pair_table(s.pairs), s.papers, found, names).select("query_id", *_long("rank"), "title", "paper_id", "proximity", "excerpted")
