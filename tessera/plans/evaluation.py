@@ -9,6 +9,7 @@ from ..functions import costs, quality, stats, text
 from ..operators import corpora, evidence, question, scoring, selection, windows
 from ..operators.linking import findings, licence_gate
 from ..operators.pairing import cross_pairs, first_by, pair_table
+from ..sources import state
 from .materialize import written
 from .oracles import _with
 from .registry import _judged
@@ -476,3 +477,39 @@ def projection(s: Substrate) -> DataFrame:
     names = evidence.concept_names(s.aliases.withColumn("name", F.col("alias_key")).withColumn("ord", F.col("alias_key")))
     found = findings(s.located, s.sentences).select("paper_id").distinct()
     return evidence.published(ranked, s.clusters, pair_table(s.pairs), s.papers, found, names).select("query_id", *_long("rank"), "title", "paper_id", "proximity", "excerpted")
+
+
+@case("a24_cited_papers", _with("ranked", "members") + "select query_id, paper_id, row_number() over (partition by query_id order by r, paper_id) as position from (select query_id, paper_id, min(rank) as r from ranked join members using (key) group by query_id, paper_id)")
+def cited(s: Substrate) -> DataFrame:
+    ranked, _ = _tiers(s)
+    return evidence.cited_order(ranked, pair_table(s.pairs).select("key", "paper_id")).select("query_id", "paper_id", *_long("position"))
+
+
+@case("w4_repeat_appearances", _with("ranked", "members") + "select query_id, paper_id, count(*) - 1 as repeats from ranked join members using (key) group by query_id, paper_id having count(*) > 1")
+def repeat_appearances(s: Substrate) -> DataFrame:
+    ranked, _ = _tiers(s)
+    return evidence.repeat_appearances(ranked, pair_table(s.pairs).select("key", "paper_id"))
+
+
+@case("u3_multiset_difference", _with("gspan", "pspan") + 'select paper_id, label, s as start, e as "end" from (select paper_id, label, s, e from gspan except all select paper_id, label, s, e from pspan)')
+def difference(s: Substrate) -> DataFrame:
+    cols = ["paper_id", "label", "start", "end"]
+    return s.gold_spans.select(*cols).exceptAll(s.predicted_spans.select(*cols)).select("paper_id", "label", *_long("start", "end"))
+
+
+@case("u3_multiset_intersection", _with("gspan", "pspan") + 'select paper_id, label, s as start, e as "end" from (select paper_id, label, s, e from gspan intersect all select paper_id, label, s, e from pspan)')
+def intersection(s: Substrate) -> DataFrame:
+    cols = ["paper_id", "label", "start", "end"]
+    return s.gold_spans.select(*cols).intersectAll(s.predicted_spans.select(*cols)).select("paper_id", "label", *_long("start", "end"))
+
+
+@case("u4_pooled_clusters", _with("clusters", "gold") + ", g as (select chemical_id || '|' || disease_id as key, paper_id from gold), p as (select key, paper_id from pairs join clusters using (chemical_id, disease_id) union select key, paper_id from g) select key, string_agg(paper_id::varchar, ',' order by paper_id) as paper_ids from p group by key")
+def pooled(s: Substrate) -> DataFrame:
+    gold = s.gold_relations.groupBy(F.concat_ws("|", "chemical_id", "disease_id").alias("key")).agg(F.collect_list("paper_id").alias("paper_ids"))
+    return state.pooled(s.clusters.select("key", "paper_ids").unionByName(gold)).select("key", F.array_join(F.transform("paper_ids", lambda p: p.cast("string")), ",").alias("paper_ids"))
+
+
+@case("f11_contains_phrase", _with("papers") + r", w as (select paper_id, list_filter(string_split_regex(lower(abstract), '[^a-z0-9]+'), lambda x: x <> '') as w from papers) select paper_id, contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(w[3:4], ' ') || ' ') and len(w[3:4]) > 0 as own, contains(' ' || array_to_string(w, ' ') || ' ', ' all rights ') as other from w")
+def phrase(s: Substrate) -> DataFrame:
+    w = s.papers.select("paper_id", quality.judgement_words(F.col("abstract")).alias("w"))
+    return w.select("paper_id", text.contains_phrase(F.col("w"), F.slice("w", 3, 2)).alias("own"), text.contains_phrase(F.col("w"), F.array(F.lit("all"), F.lit("rights"))).alias("other"))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import evidence, windows
+from tessera.operators import evidence, providers, windows
 from tessera.sources import services, state
 
 ARTICLES = """<?xml version="1.0"?>
@@ -140,3 +140,17 @@ def test_published_hides_unlicensed_findings(spark):
     names = spark.createDataFrame([("C", "cee")], "concept_id string, name string")
     got = {(r.title, r.paper_id, r.proximity, r.excerpted) for r in evidence.published(ranked, clusters, members, papers, found, names).collect()}
     assert got == {("cee / D", 7, None, True), ("cee / D", 8, None, False), ("cee / D", 9, None, False)}
+
+
+def test_providers_report_refusals_and_errors(spark):
+    rows = spark.createDataFrame([(1, 0, "a."), (1, 1, "b."), (2, 0, "no."), (3, 0, "bad.")], "paper_id long, sentence_index int, text string")
+
+    def choose(prompt):
+        if "bad" in prompt:
+            raise KeyError(prompt)
+        return None if "no" in prompt else [1, 1, 0, 7]
+
+    got = {r.paper_id: (r.indices, r.out_of_range, r.status) for r in providers.extracted(rows, choose).collect()}
+    assert got == {1: ([0, 1], 1, "ok"), 2: ([], 0, "refused"), 3: ([], 0, "error: KeyError")}
+    pairs = spark.createDataFrame([(1, "x", "x"), (2, "x", "y"), (3, "x", "")], "k long, text_a string, text_b string")
+    assert {(r.k, r.verdict) for r in providers.judged_by(pairs, lambda a, b: "agreement" if a == b else ("what" if b else None)).collect()} == {(1, "agreement"), (2, None), (3, None)}
