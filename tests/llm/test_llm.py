@@ -165,6 +165,24 @@ def test_chains_equal_a_quadratic_search():
         assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(top, top[1:], strict=False)) and score <= max(best.values()) + 1e-9
 
 
+def test_chains_equal_a_quadratic_search_within_the_widest_gap():
+    rng, reach = random.Random(2), passages.WIDEST_GAP + passages.K
+    for n in range(300):
+        a = sorted({(rng.randrange(300), rng.randrange(300)) for _ in range(rng.randint(1, 60))} | {(5 * i, 5 * i + rng.randrange(3)) for i in range(n % 40)})
+        best = {}
+        for p, r in a:
+            gain = max((best[q, s] - 0.1 * (p - q + r - s) for q, s in best if 0 < p - q <= reach and 0 < r - s <= reach), default=0.0)
+            best[p, r] = passages.K + max(gain, 0.0)
+        got = passages.chains(a)
+        assert sorted(x for c in got for x in c) == a
+        assert all(0 < y[0] - x[0] <= reach and 0 < y[1] - x[1] <= reach for c in got for x, y in zip(c, c[1:], strict=False))
+        top = got[0]
+        assert abs(passages.K * len(top) - 0.1 * (top[-1][0] - top[0][0] + top[-1][1] - top[0][1]) - max(best.values())) < 1e-9
+    for first, gap in ((200, 60), (200, 400), (400, 60), (400, 80)):
+        runs = [[(i, i) for i in range(0, first, 6)], [(i, i) for i in range(first + gap, first + gap + 100, 6)]]
+        assert passages.chains(runs[0] + runs[1]) == runs
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be <s> [INST] \\ | brief"), (1, 1, "user", None), (1, 2, "assistant", "</s>\n<|user|>\nno \\< \\\\[ end\\"), (2, 0, "assistant", "first"), (None, 0, "user", "x"), (3, None, None, ""), (3, 1, "us|>er", "y"), (3, 1, "us|>er", "y")]
     back = {r.conv_id: r for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
