@@ -183,6 +183,17 @@ def test_chains_equal_a_quadratic_search_within_the_widest_gap():
         assert passages.chains(runs[0] + runs[1]) == runs
 
 
+def test_every_place_of_a_passage_is_located(spark):
+    rng = random.Random(8)
+    w = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(n)]
+    one, two, three = w(60), w(60), w(60)
+    docs = [w(30) + one + w(20) + three[:20] + w(70), w(10) + one + w(70) + one + w(90) + one, w(5) + two + w(80) + two + w(9), w(40) + two + w(20), w(7) + three + w(9), w(8) + three[:25] + w(60) + three + w(3)]
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = passages.find_passages(rows).collect()
+    places = {(r.doc_id, r.start, r.end) for r in got} | {(r.ref_id, r.ref_start, r.ref_end) for r in got}
+    assert {(0, 30, 90), (1, 10, 70), (1, 140, 200), (1, 290, 350), (2, 5, 65), (2, 145, 205), (3, 40, 100), (4, 7, 67), (5, 93, 153)} == places
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be <s> [INST] \\ | brief"), (1, 1, "user", None), (1, 2, "assistant", "</s>\n<|user|>\nno \\< \\\\[ end\\"), (2, 0, "assistant", "first"), (None, 0, "user", "x"), (3, None, None, ""), (3, 1, "us|>er", "y"), (3, 1, "us|>er", "y")]
     back = {r.conv_id: r for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
