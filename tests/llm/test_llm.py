@@ -194,6 +194,42 @@ def test_every_place_of_a_passage_is_located(spark):
     assert {(0, 30, 90), (1, 10, 70), (1, 140, 200), (1, 290, 350), (2, 5, 65), (2, 145, 205), (3, 40, 100), (4, 7, 67), (5, 93, 153)} == places
 
 
+def test_passages_whose_parts_occur_in_earlier_documents(spark):
+    rng = random.Random(9)
+    w = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(n)]
+    shared = [w(50 + i) for i in range(12)]
+    parts = [w(30) + s[at : at + 12] + w(40) for s in shared for at in range(0, len(s) - 5, 3)]
+    rng.shuffle(parts)
+    both = [[w(10 + 3 * i) + s + w(20) for i, s in enumerate(shared)] for _ in range(3)]
+    docs = parts + both[0] + both[1] + both[2]
+    rows = spark.createDataFrame([(i, " ".join(d)) for i, d in enumerate(docs)], "doc_id long, text string")
+    got = {(r.doc_id, r.ref_id, r.start, r.end) for r in passages.find_passages(rows).collect()}
+    n = len(parts)
+    assert {(n + 12 * k + i, n + i, 10 + 3 * i, 60 + 4 * i) for k in (1, 2) for i in range(12)} == got
+
+
+def test_runs_equal_brute_force():
+    rng = random.Random(10)
+    for _ in range(40):
+        common = [[rng.randrange(10**6) for _ in range(rng.randint(45, 90))] for _ in range(3)]
+        docs = [[x for _ in range(4) for x in rng.choice(common)[rng.randrange(20) :] + [rng.randrange(10**6) for _ in range(rng.randrange(30))]] for _ in range(2)]
+        h = [passages.word_hashes(" ".join(map(str, d))) for d in docs]
+        found = [passages.seeds(x) for x in h]
+        held = [set(v.tolist()) for v, _ in found]
+        got = []
+        for x, (v, at) in zip(h, found, strict=True):
+            got.append(passages.runs(x, [p for s, p in zip(v.tolist(), at.tolist(), strict=True) if s in held[0] & held[1]], 50))
+        grams = [{} for _ in docs]
+        for d, g in zip(docs, grams, strict=True):
+            for i in range(len(d) - 49):
+                g.setdefault(tuple(d[i : i + 50]), set()).add(i)
+        for me, other, (v, at) in zip(grams, grams[::-1], got, strict=True):
+            assert {i for k, places in me.items() if k in other for i in places} <= set(at.tolist())
+        assert set(got[0][0].tolist()) & set(got[1][0].tolist()) or not set(grams[0]) & set(grams[1])
+    at = passages.np.array([9, 0, 1])
+    assert passages.run_anchors(at, at + 5, 50) == [(p, p + 5) for p in range(0, 54, 6)]
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "system", "be <s> [INST] \\ | brief"), (1, 1, "user", None), (1, 2, "assistant", "</s>\n<|user|>\nno \\< \\\\[ end\\"), (2, 0, "assistant", "first"), (None, 0, "user", "x"), (3, None, None, ""), (3, 1, "us|>er", "y"), (3, 1, "us|>er", "y")]
     back = {r.conv_id: r for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
