@@ -61,9 +61,11 @@ def filter_texts(df: DataFrame, keep: Callable[[list], list[bool]], text: str =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster shares; a temporary one only where none is named."""
+    """The folder that the cluster shares. Only a session of one machine, as in tests, gets a temporary one where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

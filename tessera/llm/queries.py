@@ -17,7 +17,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = cut(mixing.sizes(table(spark, sf_dir, "documents")))
-    return mixing.draws(sized, mixing.targets(sized)).select("doc_id", "size", "source_size", "target", "taken", "whole", "part", "part_from")
+    return mixing.draws(sized, cut(mixing.cuts(sized, mixing.targets(sized))))
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,7 +80,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mixing": r"""
 with sized as (
-  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size from documents),
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+    md5('mix|' || coalesce(doc_id::varchar, 'null') || '|' || md5(coalesce(text, ''))) as draw from documents),
 by_source as (select source, sum(size)::bigint as source_size from sized group by source),
 ranked as (
   select *, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as weight, 3 * source_size as cap from by_source),
@@ -94,13 +95,20 @@ rested as (
   select *, total - coalesce(sum(cap) filter (where clamped) over (), 0) as rest, sum(weight) filter (where not clamped) over () as rest_weight from marked),
 target as (
   select source, source_size, case when clamped then cap::double else (rest * weight)::double / rest_weight::double end as target from rested),
-drawn as (
-  select doc_id, size, source_size, target, case when source_size > 0 then target / source_size::double else 0.0 end as rate,
-    ('0x' || substr(md5('mix|' || doc_id::varchar), 1, 8))::bigint::double / 4294967296.0 as u
-  from sized join target on sized.source is not distinct from target.source),
+rated as (
+  select *, case when source_size > 0 then floor(target / source_size::double)::bigint else 0 end as whole from target),
+missed as (select *, target - whole::double * source_size::double as missing from rated),
+by_draw as (select source, draw, sum(size)::bigint as words, count(*) as n from sized group by source, draw),
+running as (
+  select *, sum(words) over (partition by source order by draw rows between unbounded preceding and current row) as upto from by_draw),
+cut as (
+  select missed.*, r.draw as cut, floor((missing - (upto - words)::double) / n::double)::bigint as cut_words
+  from missed left join running r on missed.source is not distinct from r.source and missing >= (upto - words)::double and missing < upto::double),
 split as (
-  select *, floor(rate)::bigint as whole, floor((rate - floor(rate)) * size::double + u)::bigint as part from drawn)
-select doc_id, size, source_size, target, whole * size + part as taken, whole, part, floor(u * (size - part + 1)::double)::bigint as part_from from split""",
+  select doc_id, size, draw, source_size, target, whole + case when draw < cut then 1 else 0 end as whole, case when draw = cut then cut_words else 0 end as part
+  from sized join cut on sized.source is not distinct from cut.source)
+select doc_id, size, source_size, target, whole * size + part as taken, whole::bigint as whole, part::bigint as part,
+  floor(('0x' || substr(draw, 1, 8))::bigint::double / 4294967296.0 * (size - part + 1)::double)::bigint as part_from from split""",
         "op7_chat": r"""
 with rows as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations

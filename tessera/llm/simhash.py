@@ -1,36 +1,41 @@
 """SimHash near-duplicates: fingerprints of word shingles, pivot distance tables, components.
 
-Fingerprints within a radius are found in three steps. The table holds each fingerprint's Hamming distances to
-reference fingerprints. The 65 unit references (zero, and each single bit) spell a fingerprint's bits in the differences
-of their coordinates; cut into blocks, two fingerprints within the radius agree on all coordinate differences of all but
-``radius`` blocks, so pairs meet in equi-joins on the remaining ones and no pair is lost. Of those pairs the seeded references
-discard all whose greatest coordinate difference is above the radius (the triangle inequality), inside
-the join. Survivors are verified by their exact distance.
+Fingerprints within a radius are found through a table of their Hamming distances to reference fingerprints. Between two
+fingerprints no coordinate differs by more than their distance. Random references alone offer no equality key (README), so
+the table also has zero and the pair references, which set two neighbouring bits each. Less the distance to zero, such a
+coordinate depends on its two bits alone; so two fingerprints within the radius agree on the coordinates of all but ``radius``
+groups of references, and pairs meet by equality of the others: no pair is lost. The greatest difference of the seeded
+references' coordinates then discards pairs inside the join, and survivors are verified by their exact distance.
+
+``near_copies`` is for similarities that no such radius reaches; there pairs meet by minima of shingle hashes, fingerprints
+discard, and the shingles themselves decide.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
-from math import acos, ceil, log2, pi
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, Cut, encode, map_columns
 from .components import components
 
 SEED = 42
-#: References of the distance table whose coordinates are compared.
-PIVOTS = 16
-#: Blocks that a fingerprint of 64 bits is cut into for a radius of up to 2.
-BLOCKS = 8
+#: Seeded references of the distance table: as many as bytes in a long, which holds their coordinates.
+PIVOTS = 8
+#: Groups of four that the 32 pair references are dealt into.
+GROUPS, IN_GROUP = 8, 4
 
 
 def shingles(text: str | None, k: int) -> list[bytes]:
     """Space-joined runs of k words, repeats included; fewer words are one shingle, none give none. A-Z are lower-cased."""
-    words = encode(text).translate(LOWER).split()
+    return _runs(encode(text).translate(LOWER).split(), k)
+
+
+def _runs(words: list[bytes], k: int) -> list[bytes]:
     if not words:
         return []
     joined = b" ".join(words)
@@ -56,12 +61,11 @@ def _derive(h: np.ndarray, i: int) -> np.ndarray:
 CHUNK = 1 << 14
 
 
-def fingerprint(text: str | None, k: int, lanes: int = 1) -> list[int]:
-    """``lanes`` unsigned 64-bit words; a bit is 1 where more than half the hashes have it. No words: zero."""
-    parts = shingles(text, k)
-    if not parts:
-        return [0] * lanes
-    h = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts))
+def _hashed(parts: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in parts), np.uint64, len(parts))
+
+
+def _bits(h: np.ndarray, lanes: int) -> list[int]:
     out = []
     for i in range(lanes):
         ones = np.zeros(64, np.int64)
@@ -72,6 +76,12 @@ def fingerprint(text: str | None, k: int, lanes: int = 1) -> list[int]:
     return out
 
 
+def fingerprint(text: str | None, k: int, lanes: int = 1) -> list[int]:
+    """``lanes`` unsigned 64-bit words; a bit is 1 where more than half the hashes have it. No words: zero."""
+    parts = shingles(text, k)
+    return _bits(_hashed(parts), lanes) if parts else [0] * lanes
+
+
 def _signed(x: int) -> int:
     return x - 2**64 if x >= 2**63 else x
 
@@ -86,35 +96,55 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     return map_columns(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, " + ", ".join(f"f{i} long" for i in range(lanes)))
 
 
-def references(n: int, seed: int = SEED) -> list[int]:
+def references(n: int = PIVOTS, seed: int = SEED) -> list[int]:
+    """The seeded references."""
     return [_signed(xxhash.xxh64_intdigest(f"reference {i}".encode(), seed)) for i in range(n)]
 
 
-def pivot_table(f: Column, n: int = PIVOTS) -> Column:
-    """Distances to the seeded references, a byte each."""
-    return F.array(*[F.bit_count(f.bitwiseXOR(F.lit(r))).cast("tinyint") for r in references(n)])
+def pair_references() -> list[int]:
+    """The references that set two neighbouring bits each, from the lowest bits on."""
+    return [_signed(3 << (2 * i)) for i in range(32)]
+
+
+def _distance(f: Column, reference: int) -> Column:
+    return F.bit_count(f.bitwiseXOR(F.lit(reference)))
+
 
+def pivot_table(distinct: DataFrame) -> DataFrame:
+    """``f, d, g``: a fingerprint's distances to the seeded references, a byte each in the long ``d``, and those to the pair
+    references, less the distance to zero, as a number with a digit of three values for each reference of a group."""
+    f = F.col("f")
+    zero = _distance(f, 0)
+    seeded = F.lit(0).cast("long")
+    for i, r in enumerate(references()):
+        seeded = seeded.bitwiseOR(F.shiftleft(_distance(f, r).cast("long"), 8 * i))
+    digits = [((_distance(f, r) - zero + 2) / 2).cast("int") for r in pair_references()]
+    groups = [sum((digits[g * IN_GROUP + i] * 3**i for i in range(IN_GROUP)), F.lit(0)) for g in range(GROUPS)]
+    return distinct.select("f", seeded.alias("d"), F.array(*groups).alias("g"))
 
-def _blocks(f: Column, radius: int, blocks: int) -> Column:
-    """Array of keys, one for each choice of ``blocks - radius`` blocks. What a key holds of a bit is the
-    difference of the distances to its unit reference and to zero: 1 where it is clear, -1 where it is set."""
-    width = 64 // blocks
+
+def meetings(table: DataFrame, radius: int) -> DataFrame:
+    """``key, f, d``: a row for each choice of all but ``radius`` groups; the key spells the choice and its coordinates."""
+    size = 3**IN_GROUP
     keys = []
-    for j, chosen in enumerate(combinations(range(blocks), blocks - radius)):
-        mask = sum(((1 << width) - 1) << (width * b) for b in chosen)
-        keys.append(F.struct(F.lit(j).cast("tinyint").alias("j"), f.bitwiseAND(F.lit(_signed(mask))).alias("bits")))
-    return F.array(*keys)
+    for j, chosen in enumerate(combinations(range(GROUPS), GROUPS - radius)):
+        keys.append(sum((F.col("g")[g].cast("long") * size**i for i, g in enumerate(chosen)), F.lit(j * size ** len(chosen)).cast("long")))
+    return table.select("f", "d", F.explode(F.array(*keys)).alias("key"))
+
 
+def greatest_difference(a: Column, b: Column) -> Column:
+    """Of the seeded references' coordinates."""
+    byte = lambda c, i: F.shiftright(c, 8 * i).bitwiseAND(F.lit(255))
+    return F.greatest(*[F.abs(byte(a, i) - byte(b, i)) for i in range(PIVOTS)])
 
-def links(distinct: DataFrame, radius: int = 2, blocks: int = BLOCKS) -> DataFrame:
+
+def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     """``fa, fb`` (fa < fb): all pairs of distinct fingerprints ``f`` that differ in 1 to ``radius`` bits."""
-    rows = distinct.select("f", pivot_table(F.col("f")).alias("d"), F.explode(_blocks(F.col("f"), radius, blocks)).alias("key")).select("key.j", "key.bits", "f", "d")
+    rows = meetings(pivot_table(distinct), radius)
     a, b = rows.alias("a"), rows.alias("b")
-    near = F.lit(True)
-    for i in range(PIVOTS):
-        near = near & (F.abs(F.col("a.d")[i] - F.col("b.d")[i]) <= radius)
+    near = greatest_difference(F.col("a.d"), F.col("b.d")) <= radius
     exact = F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= radius
-    met = a.join(b, (F.col("a.j") == F.col("b.j")) & (F.col("a.bits") == F.col("b.bits")) & (F.col("a.f") < F.col("b.f")) & near & exact)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.f") < F.col("b.f")) & near & exact)
     return met.select(F.col("a.f").alias("fa"), F.col("b.f").alias("fb")).distinct()
 
 
@@ -137,79 +167,146 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named, "f").select("doc_id", digits.alias("fingerprint"), "component_id", "n_links")
 
 
-#: For near copies at a similarity of 0.8: words in a shingle, 64-bit lanes, most differing bits.
-COPY_WORDS, COPY_LANES, COPY_BITS = 5, 4, 44
-#: Keys of a corpus of up to 2**KEY_BITS classes and their bits; a larger one has wider keys, and more of them.
-COPY_TABLES, KEY_BITS = 64, 18
-#: Share of equal bits at a similarity of 0.8 (one less the angle of sets of one size, over pi).
-COPY_EQUAL = 1 - acos(0.8 * 2 / 1.8) / pi
-#: Classes of a bucket that are compared each with each by one window.
-BUCKET = 8
+#: Near copies: words of a shingle, and the least similarity (shared over all distinct shingles) as a fraction.
+COPY_WORDS, SIMILAR = 5, (4, 5)
+#: Bands of minima and minima of a band: of pairs at a similarity of 0.8 by calculation 0.988 share a band, at any size of the corpus.
+BANDS, BAND_ROWS = 24, 8
+#: Fingerprint lanes, and most differing bits: at 0.8 they have 19.4 of 128, with a deviation of 4.1.
+COPY_LANES, COPY_BITS = 2, 36
+#: Rounds of comparing a bucket with one of its own before what is still apart is compared pair by pair.
+STAR_ROUNDS = 2
+#: Stands for no id where a number is needed.
+NO_ID = -(2**62)
 
 
-def key_plan(classes: int, tables: int = COPY_TABLES, key_bits: int = KEY_BITS) -> tuple[int, int]:
-    """(tables, key bits) for so many classes: at most one class meets another by chance in a bucket, and the share of
-    pairs at the least similarity that meet is the same at every size."""
-    bits = max(key_bits, ceil(log2(max(classes, 1))))
-    return ceil(tables * COPY_EQUAL ** (key_bits - bits)), bits
+def _multipliers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.RandomState(SEED)
+    n = BANDS * BAND_ROWS
+    return (rng.randint(0, 2**31, n).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None], rng.randint(0, 2**32, n, dtype=np.uint64).astype(np.uint32)[:, None]
 
 
-def _masks(lanes: int, tables: int, bits: int) -> list[list[int]]:
-    rng = np.random.RandomState(SEED)
-    out = []
-    for _ in range(tables):
-        m = [0] * lanes
-        for b in rng.choice(64 * lanes, bits, replace=False):
-            m[int(b) // 64] |= 1 << (int(b) % 64)
-        out.append([_signed(x) for x in m])
-    return out
+_MULTIPLY, _ADD = _multipliers()
+
+
+def bands(distinct: np.ndarray) -> list[int]:
+    """A number for each band: a mix of the band's minima over all shingle hashes."""
+    x = (distinct >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * BAND_ROWS, 2**32 - 1, np.uint32)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(x), 2048):
+            np.minimum(least, (_MULTIPLY * x[None, at : at + 2048] + _ADD).min(1), out=least)
+        rows = least.reshape(BANDS, BAND_ROWS).astype(np.uint64)
+        v = np.arange(1, BANDS + 1, dtype=np.uint64)
+        for i in range(BAND_ROWS):
+            v = (v ^ rows[:, i]) * np.uint64(0x9E3779B97F4A7C15)
+            v ^= v >> np.uint64(29)
+    return v.view(np.int64).tolist()
+
+
+def _class(words: list[bytes]) -> int:
+    return _signed(xxhash.xxh3_64_intdigest(b" ".join(words)))
+
+
+def sketches(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``doc_id, raw, node, n, f0, f1, bands`` of every row: raw is the text's own hash, node that of its lower-cased words,
+    n the number of distinct shingles."""
+
+    def run(c: dict[str, list]) -> dict[str, list]:
+        out: dict[str, list] = {k: [] for k in ("node", "n", "f0", "f1", "bands")}
+        for t in c["text"]:
+            words = encode(t).translate(LOWER).split()
+            h = _hashed(_runs(words, COPY_WORDS))
+            distinct = np.unique(h)
+            f = _bits(h, COPY_LANES) if words else [0] * COPY_LANES
+            for k, v in zip(out, (_class(words), len(distinct), *map(_signed, f), bands(distinct) if words else []), strict=True):
+                out[k].append(v)
+        return {"doc_id": c["doc_id"], "raw": c["raw"]} | out
+
+    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("raw"), F.col(text).alias("text"))
+    return map_columns(src, run, "doc_id long, raw long, node long, n int, f0 long, f1 long, bands array<long>")
+
+
+def _shingle_sets(docs: DataFrame, doc_id: str, text: str, wanted: DataFrame) -> DataFrame:
+    """``node, sh``: the distinct shingle hashes of the classes ``wanted`` (``node, first``), read from their first documents' texts."""
+
+    def run(c: dict[str, list]) -> dict[str, list]:
+        words = [encode(t).translate(LOWER).split() for t in c["text"]]
+        return {"node": [_class(w) for w in words], "sh": [np.unique(_hashed(_runs(w, COPY_WORDS))).view(np.int64).tolist() for w in words]}
+
+    src = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("first"), F.col(text).alias("text"))
+    read = map_columns(src.join(wanted.select("first").distinct(), "first", "left_semi").select("text"), run, "node long, sh array<long>")
+    return read.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("sh").alias("sh"))
 
 
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = COPY_WORDS, lanes: int = COPY_LANES, max_bits: int = COPY_BITS, tables: int = COPY_TABLES, key_bits: int = KEY_BITS) -> DataFrame:
-    """``doc_id, group_id`` of every row: groups of near copies at a five-word shingle similarity of 0.8 or more.
+def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, raw, first_id, first_raw`` of every row: its text's hash, and the document that stands for its group.
 
-    At that similarity about 15 % of the bits differ, so the radius is wide and no choice of blocks is exact: classes meet
-    in the buckets of ``key_plan`` (0.96 of pairs at 0.8, 0.99 at 0.85), and are verified by their distance over
-    all lanes. A bucket of up to ``BUCKET`` classes is verified pair by pair in one window. Of a larger one, first each class is verified
-    against the bucket's least one; then, with the components of all links so far, all pairs that
-    stand in different components, except within the component that holds most of the bucket. So a bucket of many
-    copies costs a line, not a square, and no pair of a bucket that could join two groups is left out. A bucket is a
-    key of one table among all, so the largest one is a small part of all rows. Null and empty texts are copies of each other. ``group_id``
-    is the group's least id.
+    Groups are the components of texts that share at least ``SIMILAR`` of their distinct five-word shingles. Texts of one
+    sequence of lower-cased words are one class; classes meet where all minima of a band agree, those of too unlike sizes or
+    fingerprints are discarded, and the shingles of the others decide. In a bucket each class is first compared with one
+    of the bucket's own, for ``STAR_ROUNDS`` rounds with another one each; then all pairs that still stand in
+    different components, except within the component that holds most of the bucket. So a bucket of many copies costs a line
+    and no pair of a bucket that could join two groups is left out. Buckets are met by equi-joins behind partial
+    aggregates, which split a bucket of any size. Null and empty texts are copies of each other. The first document has the
+    group's least id (then text hash); a group without any id has its least text hash.
     """
-    f = [f"f{i}" for i in range(lanes)]
-    prints = Cut(fingerprints(docs, doc_id, text, k, lanes)).df
-    # a class may have no id at all; it then needs a number of its own, below all ids
-    classes = Cut(prints.groupBy(*f).agg(F.coalesce(F.min("doc_id"), F.lit(-(2**62))).alias("id"))).df
-    keys = F.array(*[F.struct(F.lit(j).alias("j"), F.xxhash64(*[F.col(c).bitwiseAND(F.lit(x)) for c, x in zip(f, m, strict=True)]).alias("h")) for j, m in enumerate(_masks(lanes, *key_plan(classes.count(), tables, key_bits)))])
-    rows = classes.select(F.col("id"), *f, F.explode(keys).alias("key")).select("key.j", "key.h", "id", *f)
-
-    def near(a: str, b: str) -> Column:
-        return sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in f), F.lit(0)) <= max_bits
-
-    order = Window.partitionBy("j", "h").orderBy("id")
-    bucket = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = [f"b{i}" for i in range(1, BUCKET)]
-    met = rows.select("*", F.count("*").over(bucket).alias("n"), F.first(F.struct("id", *f)).over(bucket).alias("b"), *[F.lag(F.struct("id", *f), i).over(order).alias(c) for i, c in enumerate(before, 1)]).filter("n > 1").alias("a")
-    small, large = F.col("n") <= BUCKET, F.col("n") > BUCKET
-    to = F.array_compact(F.array(*[F.when(small & near("a", c), F.col(f"{c}.id")) for c in before], F.when(large & near("a", "b") & (F.col("id") > F.col("b.id")), F.col("b.id"))))
-    met = Cut(met.withColumn("to", to).filter(large | (F.size("to") > 0)).select("j", "h", "id", "n", "to", *[F.when(large, F.col(c)).alias(c) for c in f])).df
-    some = Cut(met.select(F.col("id").alias("a"), F.explode("to").alias("b")).distinct()).df
-    group = Cut(components(some)).df
-    held = met.filter(large).join(group, met["id"] == group["node"], "left").select("j", "h", "id", *f, F.coalesce("component", "id").alias("c"))
-    main = held.groupBy("j", "h", "c").agg(F.count("*").alias("n")).groupBy("j", "h").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("groups")).filter("groups > 1")
-    same = lambda a, b: (F.col(f"{a}.j") == F.col(f"{b}.j")) & (F.col(f"{a}.h") == F.col(f"{b}.h"))
-    mixed = Cut(held.alias("a").join(main.alias("b"), same("a", "b")).select("a.*", (F.col("a.c") == F.col("b.main")).alias("in_main"))).df
-    minor = mixed.filter("not in_main")
-    apart = (F.col("a.c") != F.col("b.c")) & (F.col("b.in_main") | (F.col("a.id") < F.col("b.id")))
-    more = minor.alias("a").join(mixed.alias("b"), same("a", "b") & apart & near("a", "b")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-    node = components(some.unionByName(more))
-    named = classes.join(node, classes["id"] == node["node"], "left").select(*f, F.coalesce("component", "id").alias("group_id"))
-    return prints.join(named, f).select("doc_id", "group_id")
+    small = ["node", "n", "f0", "f1"]
+    prints = Cut(sketches(docs, doc_id, text))
+    classes = Cut(prints.df.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), *[F.first(c).alias(c) for c in (*small[1:], "bands")]))
+    rows = Cut(classes.df.select(*small, F.explode("bands").alias("h")))
+    shared = rows.df.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    held = Cut(rows.df.join(shared, "h").select("h", *small))
+    rows.drop()
+    wanted = classes.df.select("node", "first").join(held.df.select("node").distinct(), "node", "left_semi")
+    sets = Cut(_shingle_sets(docs, doc_id, text, wanted))
+    p, q = SIMILAR
+
+    def like(a: str, b: str) -> Column:
+        """Sizes that a similar pair can have, and fingerprints within the radius."""
+        sizes = F.least(f"{a}.n", f"{b}.n") * q >= F.greatest(f"{a}.n", f"{b}.n") * p
+        return sizes & (sum((F.bit_count(F.col(f"{a}.f{i}").bitwiseXOR(F.col(f"{b}.f{i}"))) for i in range(COPY_LANES)), F.lit(0)) <= COPY_BITS)
+
+    def verified(met: DataFrame) -> Cut:
+        pairs = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
+        one, two = sets.df.select(F.col("node").alias("a"), F.col("sh").alias("x")), sets.df.select(F.col("node").alias("b"), F.col("sh").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return Cut(pairs.join(one, "a").join(two, "b").filter(both * (p + q) >= (F.size("x") + F.size("y")) * p).select("a", "b"))
+
+    def grouped(found: list[Cut]) -> Cut:
+        every = found[0].df
+        for x in found[1:]:
+            every = every.unionByName(x.df)
+        return Cut(components(every))
+
+    found: list[Cut] = []
+    now = held.df.withColumn("c", F.col("node"))
+    for r in range(STAR_ROUNDS):
+        mark = F.xxhash64("node", F.lit(r)) if r else F.col("node")
+        hub = now.groupBy("h").agg(F.min(mark).alias("mark"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("h", "mark")
+        centre = now.withColumn("mark", mark).join(hub, ["h", "mark"], "left_semi").select("h", "c", *small).dropDuplicates(["h"])
+        a, b = now.alias("a"), centre.alias("b")
+        found.append(verified(a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.c") != F.col("b.c")) & like("a", "b"))))
+        group = grouped(found)
+        now = held.df.join(group.df, held.df["node"] == group.df["node"], "left").select("h", *[held.df[c] for c in small], F.coalesce("component", held.df["node"]).alias("c"))
+    main = now.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("groups")).filter("groups > 1").select("h", "main")
+    mixed = Cut(now.join(main, "h").withColumn("in_main", F.col("c") == F.col("main")))
+    a, b = mixed.df.filter("not in_main").alias("a"), mixed.df.alias("b")
+    apart = (F.col("a.c") != F.col("b.c")) & (F.col("b.in_main") | (F.col("a.node") < F.col("b.node")))
+    found.append(verified(a.join(b, (F.col("a.h") == F.col("b.h")) & apart & like("a", "b"))))
+    group = grouped(found)
+    for x in (held, sets, mixed, *found):
+        x.drop()
+    node = classes.df.select(F.col("node").alias("own")).join(group.df, F.col("own") == group.df["node"], "left").select(F.col("own").alias("node"), F.coalesce("component", "own").alias("c"))
+    rows_of = prints.df.select("doc_id", "raw", "node").join(node, "node").select("doc_id", "raw", "c")
+    first = rows_of.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("least"))
+    return rows_of.join(first, "c").select("doc_id", "raw", F.col("least.doc_id").alias("first_id"), F.col("least.raw").alias("first_raw"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose document has the least id of its group of near copies. Rows of one id are one document and
-    stay or go together; rows without an id stay."""
-    gone = near_copies(docs, doc_id, text).filter("doc_id <> group_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
+    """Rows of ``docs`` that are their group's first document. Rows of one id and one text stay or go together; a row
+    without an id goes where its group has one with an id."""
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
+    gone = near_copies(docs, doc_id, text).filter(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("raw") == F.col("first_raw")))).select(F.col("doc_id").alias("gone_id"), F.col("raw").alias("gone_raw")).distinct()
+    mine = docs.select(*[F.col(c).alias(v) for c, v in names.items()])
+    same = F.col(names[doc_id]).cast("long").eqNullSafe(F.col("gone_id")) & (F.xxhash64(F.col(names[text])) == F.col("gone_raw"))
+    return mine.join(gone, same, "left_anti").select(*[F.col(v).alias(c) for c, v in names.items()])
