@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .arrays import bound
+
 #: Names of Greek letters.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "ζ": "zeta", "η": "eta", "θ": "theta", "ι": "iota", "κ": "kappa", "λ": "lambda", "μ": "mu", "ν": "nu", "ξ": "xi", "π": "pi", "ρ": "rho", "σ": "sigma", "τ": "tau", "υ": "upsilon", "φ": "phi", "χ": "chi", "ψ": "psi", "ω": "omega"}
 #: Stems of words that judge, and words that only look like them.
@@ -17,11 +19,6 @@ JUDGEMENT_STEMS = ("agree", "disagree", "conflict", "consisten", "inconsisten",
 JUDGEMENT_EXCLUSIONS = ("concurrent", "concurrently")
 
 
-def bound(value: Column, fn) -> Column:
-    """``fn(value)`` with the value computed once; named in an inner lambda it would be computed for every element."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
 _NAMES, _DASH = str.maketrans(GREEK), re.compile("[\u2010-\u2015\u2212]")
 
 

@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once and read back, so that later reads and lost executors don't compute it again.
 
-    It goes to ``spark.checkpoint.dir``; a temporary folder is set only where that is unset.
+    It goes to ``spark.checkpoint.dir``; only a session of one machine, as in tests, gets a temporary folder where that is unset.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
     path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"

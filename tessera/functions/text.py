@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import bound, walk
+
 #: A sentence ends at the white space after a full stop, exclamation or question mark; that space is in no sentence.
 SENTENCE_GAP = r"(?<=[.!?])\s+"
 
@@ -15,26 +17,45 @@ def normalize_surface(s: Column) -> Column:
     return F.replace(F.replace(folded, F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
 
 
-def pieces(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    """``key, pos, match, start, end`` of every match of ``pattern`` in ``text``, in code points.
+def matches(s: Column, pattern: str) -> Column:
+    """Array of (pos, match, start, end) of every match of ``pattern``, in code points; none in a null text.
 
-    The text is split at the matches; a running sum of gap and match lengths gives the offsets.
+    The text is split at the matches; a walk along gaps and matches gives the offsets, inside the row.
     """
-    zipped = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
-    run = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = rows.select(key, F.posexplode(zipped).alias("pos", "z")).select(key, "pos", "z.gap", "z.match").filter(F.col("match").isNotNull())
-    end = F.sum(F.length("gap") + F.length("match")).over(run).cast("int")
-    return each.withColumn("end", end).select(key, "pos", "match", (F.col("end") - F.length("match")).alias("start"), "end")
+    zipped = F.arrays_zip(F.transform(F.split(s, pattern, -1), F.length).alias("gap"), F.regexp_extract_all(s, F.lit(pattern), F.lit(0)).alias("match"))
+    some = F.filter(F.coalesce(zipped, F.array().cast("array<struct<gap:int,match:string>>")), lambda z: z.match.isNotNull())
+    state = lambda pos, at: F.struct(pos.alias("pos"), at.alias("at"))
+    step = lambda t, z: state(t.pos + 1, t["at"] + z.gap + F.length(z.match))
+    emit = lambda t, z: F.struct(t.pos.alias("pos"), z.match.alias("match"), (t["at"] + z.gap).alias("start"), (t["at"] + z.gap + F.length(z.match)).alias("end"))
+    return bound(some, lambda xs: walk(xs, state(F.lit(0), F.lit(0)), step, emit))
+
+
+def pieces(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """``key, pos, match, start, end`` of every match of ``pattern`` in ``text``, row by row: rows of one key don't mix."""
+    return rows.select(key, F.inline(matches(F.col(text), pattern)))
+
+
+def sentence_spans(s: Column) -> Column:
+    """Array of (sentence_index, start, end, text). An empty text has one empty sentence, a trailing gap adds none, a null text has none."""
+    zipped = F.arrays_zip(F.split(s, SENTENCE_GAP, -1).alias("part"), F.transform(F.regexp_extract_all(s, F.lit(SENTENCE_GAP), F.lit(0)), F.length).alias("gap"))
+    items = F.coalesce(zipped, F.array().cast("array<struct<part:string,gap:int>>"))
+    state = lambda i, at: F.struct(i.alias("i"), at.alias("at"))
+    step = lambda t, z: state(t.i + 1, t["at"] + F.length(z.part) + F.coalesce(z.gap, F.lit(0)))
+    emit = lambda t, z: F.struct(t.i.alias("sentence_index"), t["at"].alias("start"), (t["at"] + F.length(z.part)).alias("end"), z.part.alias("text"))
+    spans = bound(items, lambda xs: walk(xs, state(F.lit(0), F.lit(0)), step, emit))
+    return F.filter(spans, lambda x: (x.end > x.start) | (x.sentence_index == 0))
 
 
 def sentences(rows: DataFrame, key: str = "paper_id", text: str = "abstract") -> DataFrame:
-    """``key, sentence_index, start, end, text``. An empty text has one empty sentence; a trailing gap adds none."""
-    zipped = F.arrays_zip(F.split(text, SENTENCE_GAP, -1).alias("part"), F.regexp_extract_all(text, F.lit(SENTENCE_GAP), F.lit(0)).alias("gap"))
-    run = Window.partitionBy(key).orderBy("sentence_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = rows.select(key, F.posexplode(zipped).alias("sentence_index", "z")).select(key, "sentence_index", "z.part", F.coalesce("z.gap", F.lit("")).alias("gap"))
-    upto = F.sum(F.length("part") + F.length("gap")).over(run)
-    spans = each.withColumn("start", (upto - F.length("part") - F.length("gap")).cast("int"))
-    return spans.filter((F.length("part") > 0) | (F.col("sentence_index") == 0)).select(key, "sentence_index", "start", (F.col("start") + F.length("part")).alias("end"), F.col("part").alias("text"))
+    """``key, sentence_index, start, end, text``, row by row."""
+    return rows.select(key, F.inline(sentence_spans(F.col(text))))
+
+
+def sentence_pieces(rows: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
+    """``key, sentence_index, match, start, end`` of matches, offsets in the whole text, for a ``pattern`` that matches no white space:
+    each sentence is searched by itself, so a match has its sentence without a join."""
+    each = rows.select(key, F.inline(sentence_spans(F.col(text)))).select(key, "sentence_index", F.col("start").alias("_from"), F.inline(matches(F.col("text"), pattern)))
+    return each.select(key, "sentence_index", "match", (F.col("_from") + F.col("start")).alias("start"), (F.col("_from") + F.col("end")).alias("end"))
 
 
 def numerals(s: Column) -> Column:
@@ -50,8 +71,7 @@ def shingles(s: Column, size: int = 10, stride: int = 5) -> Column:
         starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1, F.lit(stride))).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice(w, i, size), " "))
 
-    # the words are bound once, by an array of one; named in the inner lambda they would be split anew for every window
-    return F.get(F.transform(F.array(words), windows), F.lit(0))
+    return bound(words, windows)
 
 
 def contains_phrase(words: Column, phrase: Column) -> Column:

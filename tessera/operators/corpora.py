@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from .pairing import first_by
 
 #: Words of a question's frame that aren't its content, and qualifiers of a population.
@@ -40,18 +41,43 @@ def candidate_pairs(accumulated: DataFrame, cap: int = 4) -> DataFrame:
 
 
 def hard_negatives(relations: DataFrame, endpoint: str = "chemical_id", cap: int = 4) -> DataFrame:
-    """``endpoint, paper_a, paper_b``: papers that share an endpoint and no whole key, at most ``cap`` of an endpoint.
+    """``endpoint, paper_a, paper_b``: the first ``cap`` pairs of an endpoint, by (paper_a, paper_b), of papers that share it and no whole key.
 
-    Pairs are drawn among the first ``cap + 1`` papers of an endpoint, which bounds the join.
+    Pairs begin with an endpoint's first paper, so that one alone meets all later ones at first; where it gives too few, the
+    next papers follow, twice as many each round, until the cap is met or the endpoint exhausted. Rounds count on the driver.
     """
+    keys = written(relations.select("paper_id", "key").distinct())
     held = relations.select(F.col(endpoint).alias("endpoint"), "paper_id").distinct()
-    few = first_by(held, ["endpoint"], ["paper_id"], cap + 1)
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.endpoint") == F.col("b.endpoint")) & (F.col("a.paper_id") < F.col("b.paper_id"))).select("a.endpoint", F.col("a.paper_id").alias("paper_a"), F.col("b.paper_id").alias("paper_b"))
-    keys = relations.select("paper_id", "key").distinct()
-    both = pairs.select("paper_a", "paper_b").distinct().join(keys.withColumnRenamed("paper_id", "paper_a"), "paper_a")
-    shared = both.join(keys.withColumnRenamed("paper_id", "paper_b"), ["paper_b", "key"], "left_semi").select("paper_a", "paper_b").distinct()
-    return first_by(pairs.join(shared, ["paper_a", "paper_b"], "left_anti"), ["endpoint"], ["paper_a", "paper_b"], cap).select("endpoint", "paper_a", "paper_b")
+    ranked = written(held.withColumn("at", F.row_number().over(Window.partitionBy("endpoint").orderBy("paper_id"))))
+    size = ranked.groupBy("endpoint").agg(F.max("at").alias("n")).filter("n > 1")
+    lead = ranked.withColumnRenamed("paper_id", "paper_a").withColumnRenamed("at", "at_a")
+    rest = ranked.withColumnRenamed("paper_id", "paper_b").withColumnRenamed("at", "at_b")
+    open_, found, low, high = written(size.withColumn("have", F.lit(0).cast("long"))), [], 0, 1
+    while not open_.isEmpty():
+        first = lead.filter((F.col("at_a") > low) & (F.col("at_a") <= high)).join(open_.select("endpoint"), "endpoint", "left_semi")
+        mine = first.select("paper_a").distinct().join(keys.withColumnRenamed("paper_id", "paper_a"), "paper_a")
+        shared = mine.join(keys.withColumnRenamed("paper_id", "paper_b"), "key").filter("paper_a < paper_b").select("paper_a", "paper_b").distinct()
+        pairs = first.join(rest, "endpoint").filter("at_a < at_b").select("endpoint", "paper_a", "paper_b").join(shared, ["paper_a", "paper_b"], "left_anti")
+        # what came before comes first, and fills the cap first
+        some = first_by(pairs, ["endpoint"], ["paper_a", "paper_b"], cap).join(open_.select("endpoint", "have"), "endpoint")
+        rank = F.row_number().over(Window.partitionBy("endpoint").orderBy("paper_a", "paper_b"))
+        found.append(written(some.withColumn("_rn", rank).filter(F.col("_rn") + F.col("have") <= cap).select("endpoint", "paper_a", "paper_b")))
+        more = found[-1].groupBy("endpoint").agg(F.count("*").alias("more"))
+        now = open_.join(more, "endpoint", "left").select("endpoint", "n", (F.col("have") + F.coalesce("more", F.lit(0))).alias("have"))
+        low, high = high, high + 2 * (high - low)
+        open_ = written(now.filter((F.col("have") < cap) & (F.col("n") > low + 1)))
+    out = found[0] if found else ranked.select("endpoint", F.col("paper_id").alias("paper_a"), F.col("paper_id").alias("paper_b")).limit(0)
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def pair_violations(pairs: DataFrame, accumulated: DataFrame) -> DataFrame:
+    """``key, paper_a, paper_b`` of pairs out of order, or whose label doesn't follow again from their papers' directions."""
+    x = pairs
+    for side in ("a", "b"):
+        x = x.join(accumulated.select("key", F.col("paper_id").alias(f"paper_{side}"), F.col("directions").alias(f"d{side}")), ["key", f"paper_{side}"], "left")
+    return x.filter(~F.col("label").eqNullSafe(label_of_directions(F.col("da"), F.col("db"))) | (F.col("paper_a") >= F.col("paper_b"))).select("key", "paper_a", "paper_b")
 
 
 def usable_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -126,20 +152,36 @@ def pair_id(*parts: Column, letter: str = "p") -> Column:
 def greedy_batch(pool: DataFrame, stratum: str, quotas: dict[str, int], caps: dict[tuple[str, ...], int], seed: str, key: list[str], reach: int = 3) -> DataFrame:
     """A seeded batch: strata in the stated order, each row in hash order, taken while every value of the capped columns has room.
 
-    ``caps`` names columns that share a counter, as (paper_a, paper_b) do. The pass is sequential by nature; it
-    runs in one task on the first ``reach`` times the quota of each stratum, a pool whose size follows from
-    the quotas alone. A stratum that comes short raises.
+    ``caps`` names columns that share a counter, as (paper_a, paper_b) do. The pass is sequential by nature, and whether a row is
+    taken depends on those before it alone: so it runs in one task on the first ``reach`` times the quota of each stratum, and
+    where a quota isn't filled again on twice as many, until it is or the pool ends. A stratum that comes short of its quota on the whole
+    pool raises. Strata take from each other's room, so all are read to one depth.
     """
     draw = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]))
     strata = list(quotas)
-    named = pool.filter(F.col(stratum).isin(*strata)).withColumn("_draw", draw)
-    few = first_by(named, [stratum], ["_draw", *key], reach * max(quotas.values()))
+    named = written(pool.filter(F.col(stratum).isin(*strata)).withColumn("_draw", draw))
+    n = {r[0]: r[1] for r in named.groupBy(stratum).agg(F.count("*")).collect()}
+    depth = reach * max(quotas.values())
+    while True:
+        taken = _greedy(first_by(named, [stratum], ["_draw", *key], depth), pool.schema, stratum, quotas, caps, key)
+        # at most the sum of the quotas
+        rows = taken.collect()
+        short = {s: k for s in strata if (k := sum(r[stratum] == s for r in rows)) < quotas[s]}
+        if not short:
+            return pool.sparkSession.createDataFrame(rows, pool.schema)
+        if all(n.get(s, 0) <= depth for s in strata):
+            raise ValueError(f"strata short of their quota: {short}")
+        depth *= 2
+
+
+def _greedy(few: DataFrame, schema, stratum: str, quotas: dict[str, int], caps: dict[tuple[str, ...], int], key: list[str]) -> DataFrame:
+    strata = list(quotas)
 
     def run(frames):
         import pandas as pd
 
         rows = pd.concat(list(frames))
-        rows = rows.assign(_at=rows[stratum].map(strata.index)).sort_values(["_at", "_draw", *key])
+        rows = rows.assign(_at=rows[stratum].map(strata.index)).sort_values(["_at", "_draw", *key]).reset_index(drop=True)
         used: dict = {}
         taken: list[int] = []
         count = dict.fromkeys(strata, 0)
@@ -151,9 +193,6 @@ def greedy_batch(pool: DataFrame, stratum: str, quotas: dict[str, int], caps: di
                     used[w] = used.get(w, 0) + 1
                 count[s] += 1
                 taken.append(i)
-        short = {s: n for s, n in count.items() if n < quotas[s]}
-        if short:
-            raise ValueError(f"strata short of their quota: {short}")
         yield rows.iloc[taken].drop(columns=["_at", "_draw"])
 
-    return few.coalesce(1).mapInPandas(run, pool.schema)
+    return few.coalesce(1).mapInPandas(run, schema)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
+from ..functions.tables import written
 from .pairing import first_by
 
 #: Least length of a document, in characters, and what ends a sentence inside it.
@@ -121,22 +124,35 @@ def abbreviations(rows: DataFrame, text: str = "abstract") -> DataFrame:
     return rows.select("paper_id", text).filter(F.col(text).contains("(")).mapInPandas(run, f"paper_id {rows.schema['paper_id'].dataType.simpleString()}, short string, long string")
 
 
+#: What stands in parentheses, what a short form is, and a word before it.
+PARENTHESES, SHORT, WORD = re.compile(r"\(([^()]{2,15})\)"), re.compile(r"\S{2,10}"), re.compile(r"[A-Za-z0-9][A-Za-z0-9-]*")
+
+
+def last_words(text: str, end: int, n: int) -> list[int]:
+    """Where the last ``n`` words before ``end`` start, the last one first; all of them where there are fewer."""
+    reach = 40 * n
+    while True:
+        start = max(0, end - reach)
+        # a word that begins before the piece shows its rest alone, so the first one found counts only at the text's own start
+        found = [start + m.start() for m in WORD.finditer(text[start:end])]
+        if start == 0 or len(found) > n:
+            return found[: -n - 1 : -1]
+        reach *= 2
+
+
 def defined(text: str) -> dict[str, str]:
     """Short forms of one text with their long forms."""
-    import re
-
     out: dict[str, str] = {}
-    for m in re.finditer(r"\(([^()]{2,15})\)", text):
+    for m in PARENTHESES.finditer(text):
         short = m[1].strip()
         letters = [c for c in short.lower() if c.isalnum()]
-        if short in out or not re.fullmatch(r"\S{2,10}", short) or not short[0].isalnum() or not any(c.isalpha() for c in short):
+        if short in out or not SHORT.fullmatch(short) or not short[0].isalnum() or not any(c.isalpha() for c in short):
             continue
-        before = text[max(0, m.start() - 40 * (len(short) + 6)) : m.start()].rstrip()
+        end = len(text[: m.start()].rstrip())
         pattern = re.compile(".*?".join(map(re.escape, letters)), re.S)
-        for w in list(re.finditer(r"[A-Za-z0-9][A-Za-z0-9-]*", before))[: -len(short) - 6 : -1]:
-            run = before[w.start() :]
-            if pattern.match(run.lower()):
-                out[short] = run
+        for at in last_words(text, end, len(short) + 5):
+            if pattern.match(text[at:end].lower()):
+                out[short] = text[at:end]
                 break
     return out
 
@@ -170,3 +186,41 @@ def published(ranked: DataFrame, clusters: DataFrame, members: DataFrame, papers
     y = x.join(members.select("key", "paper_id"), "key").join(papers.select("paper_id", "extraction_allowed"), "paper_id").join(held, "paper_id", "left")
     near = F.when(~F.coalesce(F.col("proximity").isin(float("inf")), F.lit(False)), F.col("proximity"))
     return y.select("query_id", "rank", F.concat_ws(" / ", "_chemical", "_disease").alias("title"), "paper_id", near.alias("proximity"), (F.col("extraction_allowed") & F.coalesce("_found", F.lit(False))).alias("excerpted"))
+
+
+def not_verbatim(findings: DataFrame, papers: DataFrame) -> DataFrame:
+    """``paper_id, sentence_index`` of findings (with ``start, end, text``) that don't stand in their paper's text at their place."""
+    f = findings.join(papers.select("paper_id", "abstract"), "paper_id", "left")
+    here = F.substring(F.col("abstract"), F.col("start") + 1, F.col("end") - F.col("start"))
+    return f.filter(~here.eqNullSafe(F.col("text"))).select("paper_id", "sentence_index")
+
+
+def paper_document_mismatches(papers: DataFrame, documents: DataFrame) -> DataFrame:
+    """``paper_id, verdict`` where papers (``abstract``) and documents (``text``) aren't one to one and equal: missing, extra or differs."""
+    p, d = papers.select("paper_id", "abstract", F.lit(True).alias("_p")), documents.select("paper_id", "text", F.lit(True).alias("_d"))
+    verdict = F.when(F.col("_d").isNull(), "missing").when(F.col("_p").isNull(), "extra").when(~F.col("abstract").eqNullSafe(F.col("text")), "differs")
+    return p.join(d, "paper_id", "full_outer").select("paper_id", verdict.alias("verdict")).filter("verdict is not null")
+
+
+def assert_papers_match_documents(papers: DataFrame, documents: DataFrame) -> None:
+    """Halts a run whose papers aren't its documents, naming the first few."""
+    wrong = paper_document_mismatches(papers, documents).orderBy("paper_id").limit(5).collect()
+    if wrong:
+        raise ValueError("papers and documents differ: " + ", ".join(f"{r.paper_id} {r.verdict}" for r in wrong))
+
+
+def positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """``rows`` with their ``position`` in a total order, from 1: sorted by ranges, then numbered by partition, so no task sees all rows."""
+    placed = written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    # one row a partition
+    before = sizes.select("_part", "_from", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").select(*rows.columns, (F.col("_before") + F.col("_at") - F.col("_from") + 1).alias("position"))
+
+
+def viewer_tables(ranked: DataFrame, members: DataFrame, papers: DataFrame) -> DataFrame:
+    """``query_id, rank, licensed, paper_id, position``: a group's papers as a viewer lists them, licensed and refused ones apart, the
+    latest year first, then by journal and id."""
+    x = ranked.join(members.select("key", "paper_id"), "key").join(papers.select("paper_id", "year", "journal", F.col("extraction_allowed").alias("licensed")), "paper_id")
+    order = Window.partitionBy("query_id", "key", "licensed").orderBy(F.col("year").desc_nulls_last(), F.col("journal").asc_nulls_last(), "paper_id")
+    return x.select("query_id", "rank", "licensed", "paper_id", F.row_number().over(order).alias("position"))

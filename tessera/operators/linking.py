@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_surface
+
 #: Connectors that may join fragments of one mention.
 CONNECTOR = r"^[-‐‑‒–/]*$"
 
@@ -27,20 +29,32 @@ def link(mentions: DataFrame, resolved: DataFrame, key: str = "alias_key") -> Da
 
 
 def merge_fragments(mentions: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidates ``paper_id, label, start, end, text, n_parts`` made of neighbouring mentions of one label.
+    """Candidates ``paper_id, run, label, start, end, text, n_parts, orders`` made of neighbouring mentions of one label.
 
     Runs end at a gap that holds anything but connectors, at another label and at a missing offset; a run counts from
-    two parts on, one of which must look like a fragment (not a plain word of three letters or more).
+    two parts on, one of which must look like a fragment (not a plain word of three letters or more). ``orders`` are the parts' numbers.
     """
     w = Window.partitionBy("paper_id").orderBy(F.coalesce("start", F.lit(0)), "ord")
-    m = mentions.join(texts.select("paper_id", "abstract"), "paper_id")
+    m = mentions.withColumn("prev_end", F.lag("end").over(w)).withColumn("prev_label", F.lag("label").over(w)).join(texts.select("paper_id", "abstract"), "paper_id")
     gap = F.when(F.col("start") <= F.col("prev_end"), "").otherwise(F.expr("substring(abstract, prev_end + 1, start - prev_end)"))
-    m = m.withColumn("prev_end", F.lag("end").over(w)).withColumn("prev_label", F.lag("label").over(w))
-    goes_on = F.coalesce((F.col("label") == F.col("prev_label")) & gap.rlike(CONNECTOR), F.lit(False))
-    m = m.withColumn("run", F.sum(F.when(goes_on, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    m = m.withColumn("goes_on", F.coalesce((F.col("label") == F.col("prev_label")) & gap.rlike(CONNECTOR), F.lit(False))).drop("abstract")
+    m = m.withColumn("run", F.sum(F.when(F.col("goes_on"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     shaped = ~F.col("text").rlike(r"^\p{L}{3,}$") | (F.upper("text") == F.col("text"))
-    runs = m.groupBy("paper_id", "run").agg(F.first("label").alias("label"), F.count("*").alias("n_parts"), F.max(shaped).alias("shaped"), F.min("start").alias("start"), F.max_by("end", F.struct(F.coalesce("start", F.lit(0)), "ord")).alias("end"), F.first("abstract").alias("abstract"))
-    return runs.filter("n_parts >= 2 and shaped").select("paper_id", "label", "start", "end", F.expr("substring(abstract, start + 1, end - start)").alias("text"), "n_parts")
+    runs = m.groupBy("paper_id", "run").agg(F.first("label").alias("label"), F.count("*").alias("n_parts"), F.max(shaped).alias("shaped"), F.min("start").alias("start"), F.max_by("end", F.struct(F.coalesce("start", F.lit(0)), "ord")).alias("end"), F.collect_list("ord").alias("orders"))
+    whole = runs.filter("n_parts >= 2 and shaped").join(texts.select("paper_id", "abstract"), "paper_id")
+    return whole.select("paper_id", "run", "label", "start", "end", F.expr("substring(abstract, start + 1, end - start)").alias("text"), "n_parts", "orders")
+
+
+def canonicalize(mentions: DataFrame, texts: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Mentions ``paper_id, ord, label, text, start, end`` linked by their own normalised surface, and where that fails by the merged
+    fragment that they are part of. A merged fragment never takes the place of a mention's own link; unlinked mentions stay, with nulls."""
+    keyed = mentions.withColumn("alias_key", normalize_surface(F.col("text")))
+    own = link(keyed, resolved)
+    merged = link(merge_fragments(mentions, texts).withColumn("alias_key", normalize_surface(F.col("text"))), resolved).filter("canonical_id is not null")
+    part = merged.select("paper_id", F.explode("orders").alias("ord"), F.struct(F.col("canonical_id").alias("id"), F.col("canonical_name").alias("name")).alias("_merged"))
+    x = own.join(part, ["paper_id", "ord"], "left")
+    filled = F.when(F.col("canonical_id").isNull(), F.col("_merged")).otherwise(F.struct(F.col("canonical_id").alias("id"), F.col("canonical_name").alias("name")))
+    return x.withColumn("_best", filled).withColumn("canonical_id", F.col("_best.id")).withColumn("canonical_name", F.col("_best.name")).drop("_best", "_merged", "alias_key")
 
 
 def licence_gate(papers: DataFrame) -> DataFrame:
@@ -49,9 +63,16 @@ def licence_gate(papers: DataFrame) -> DataFrame:
 
 
 def in_sentences(mentions: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Mentions with the ``sentence_index`` in which they start; a mention in a gap or without offsets has none and goes."""
-    s = sentences.select(F.col("paper_id").alias("_p"), "sentence_index", F.col("start").alias("_s"), F.col("end").alias("_e"))
-    return mentions.join(s, (mentions["paper_id"] == s["_p"]) & (mentions["start"] >= s["_s"]) & (mentions["start"] < s["_e"])).drop("_p", "_s", "_e")
+    """Mentions with the ``sentence_index`` in which they start; a mention in a gap or without offsets has none and goes.
+
+    Sentences and mentions of a paper are put in one order by offset, and the last sentence that has begun is carried along: each row is seen
+    once. Texts of sentences don't travel. Sentences of one paper must not overlap.
+    """
+    s = sentences.select("paper_id", F.col("start").alias("_at"), F.struct("sentence_index", F.col("end").alias("to")).alias("_s"), F.lit(None).cast(mentions.schema).alias("_m"))
+    m = mentions.filter("start is not null").select("paper_id", F.col("start").alias("_at"), F.lit(None).cast(s.schema["_s"].dataType).alias("_s"), F.struct(*mentions.columns).alias("_m"))
+    order = Window.partitionBy("paper_id").orderBy("_at", F.col("_s").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = s.unionByName(m).withColumn("_s", F.last("_s", ignorenulls=True).over(order))
+    return both.filter(F.col("_m").isNotNull() & (F.col("_at") < F.col("_s.to"))).select("_m.*", F.col("_s.sentence_index").alias("sentence_index"))
 
 
 def findings(located: DataFrame, sentences: DataFrame) -> DataFrame:

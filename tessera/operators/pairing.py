@@ -22,12 +22,20 @@ def same_sentence_pairs(located: DataFrame) -> DataFrame:
 
 
 def cluster_papers(pairs: DataFrame, min_size: int = 2) -> DataFrame:
-    """``chemical_id, disease_id, n_papers, paper_ids`` of pairs with enough distinct papers.
+    """``chemical_id, disease_id, n_papers, paper_ids`` of pairs with enough distinct papers, in no order (:func:`in_key_order`).
 
-    Sizes are counted first, with partial sums, so papers are collected for the surviving keys alone.
+    Sizes are counted first, with partial sums, so papers are collected for the surviving keys alone. An array holds
+    a key's papers; :func:`pair_table` is the form for keys of any size.
     """
     distinct = pairs.select("paper_id", "chemical_id", "disease_id").distinct()
-    return distinct.groupBy("chemical_id", "disease_id").agg(F.count("*").alias("n_papers"), F.sort_array(F.collect_list("paper_id")).alias("paper_ids")).filter(F.col("n_papers") >= min_size)
+    big = distinct.groupBy("chemical_id", "disease_id").agg(F.count("*").alias("n_papers")).filter(F.col("n_papers") >= min_size)
+    held = distinct.join(big.select("chemical_id", "disease_id"), ["chemical_id", "disease_id"], "left_semi")
+    return held.groupBy("chemical_id", "disease_id").agg(F.count("*").alias("n_papers"), F.sort_array(F.collect_list("paper_id")).alias("paper_ids"))
+
+
+def in_key_order(clusters: DataFrame) -> DataFrame:
+    """Clusters by key in code-point order, by a range partitioning."""
+    return clusters.orderBy("chemical_id", "disease_id")
 
 
 def pair_table(pairs: DataFrame, min_size: int = 2) -> DataFrame:
@@ -37,10 +45,23 @@ def pair_table(pairs: DataFrame, min_size: int = 2) -> DataFrame:
     return keyed.join(big, "key")
 
 
+#: Papers of a key that are paired in one task.
+PAIR_BLOCK = 1_000
+
+
 def paper_pairs(long: DataFrame) -> DataFrame:
-    """Distinct unordered pairs of papers that share a key."""
-    a, b = long.select("key", F.col("paper_id").alias("paper_id_a")), long.select("key", F.col("paper_id").alias("paper_id_b"))
-    return a.join(b, "key").filter("paper_id_a < paper_id_b").select("paper_id_a", "paper_id_b").distinct()
+    """Distinct unordered pairs of papers that share a key, from ``key, paper_id, n_papers``.
+
+    A key's papers are dealt into blocks of about ``PAIR_BLOCK``, and each two blocks meet in a cell of their own, so
+    a key of any size is paired in many tasks, and one of a single block is joined as it is.
+    """
+    blocks = F.ceil(F.col("n_papers") / PAIR_BLOCK).cast("int")
+    dealt = long.select("key", "paper_id", blocks.alias("_n"), F.pmod(F.xxhash64("paper_id"), blocks).cast("int").alias("_b"))
+    cells = dealt.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).select("key", "paper_id", "_b", F.least("_b", "_x").alias("_i"), F.greatest("_b", "_x").alias("_j"))
+    a, b = cells.alias("a"), cells.alias("b")
+    cell = (F.col("a.key") == F.col("b.key")) & (F.col("a._i") == F.col("b._i")) & (F.col("a._j") == F.col("b._j"))
+    own = (F.col("a._i") == F.col("a._j")) | (F.col("a._b") != F.col("b._b"))
+    return a.join(b, cell & own & (F.col("a.paper_id") < F.col("b.paper_id"))).select(F.col("a.paper_id").alias("paper_id_a"), F.col("b.paper_id").alias("paper_id_b")).distinct()
 
 
 def workload(sizes: DataFrame) -> DataFrame:

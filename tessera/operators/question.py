@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize_surface
+
 
 def shared_nodes(a: Column, b: Column) -> Column:
     """Length of the common prefix of two arrays of path nodes, node by node."""
@@ -26,7 +28,7 @@ def distances(pairs: DataFrame, tree: DataFrame) -> DataFrame:
 def question_terms(questions: DataFrame, resolved: DataFrame, pattern: str = r"\p{L}{7,}") -> DataFrame:
     """``query_id, concept_id, term``: linked words of each question, the first term of a concept as its evidence."""
     words = questions.select("query_id", F.posexplode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("ord", "w"))
-    hit = words.withColumn("alias_key", F.lower("w")).join(resolved, "alias_key")
+    hit = words.withColumn("alias_key", normalize_surface(F.col("w"))).join(resolved, "alias_key")
     return hit.groupBy("query_id", "concept_id").agg(F.min_by("w", "ord").alias("term"))
 
 

@@ -33,3 +33,13 @@ def render(ranked: DataFrame, members: DataFrame, papers: DataFrame, findings: D
     span = F.when(F.col("lo").isNull(), "year unknown").when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat(F.col("lo").cast("string"), F.lit("–"), F.col("hi").cast("string")))
     out = lines.groupBy("query_id", "key", "rank").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("year", F.lit(9999)).alias("y"), "paper_id", "line"))), lambda x: x.line), "\n").alias("body"), F.count("*").alias("n"), F.min("year").alias("lo"), F.max("year").alias("hi"))
     return out.select("query_id", "key", "rank", F.concat(F.lit("## "), F.replace("key", F.lit("|"), F.lit(" — ")), F.lit("\n"), F.col("n").cast("string"), F.lit(" papers, "), span, F.lit(".\n\n"), F.col("body")).alias("text"))
+
+
+def licence_label(token: Column) -> Column:
+    """A licence token as a reader sees it: Creative Commons in capitals with hyphens, others as words."""
+    cc = F.upper(F.replace(token, F.lit("_"), F.lit("-")))
+    return F.when(token.isNull(), "licence unknown").when(token.startswith("cc"), cc).otherwise(F.replace(token, F.lit("_"), F.lit(" ")))
+
+
+def dated_title(paper_id: Column, year: Column) -> Column:
+    return F.concat(F.lit("paper "), paper_id.cast("string"), F.lit(" ("), F.coalesce(year.cast("string"), F.lit("n.d.")), F.lit(")"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import ratio
+from ..functions.text import seeded_uniform
 from .pairing import first_by
 
 #: The ladders of the positional baselines, in sentences and in tenths.
@@ -125,8 +126,6 @@ def distribution(draws: DataFrame, value: str, least: int = 200) -> DataFrame:
 
 def seeded_recalls(rows: DataFrame, gold: str, rate: float, seeds: int, key: str) -> DataFrame:
     """``seed, recall`` of independent draws at ``rate``, for each of ``seeds`` seeds; only gold rows can count."""
-    from ..functions.text import seeded_uniform
-
     draws = rows.filter(F.col(gold)).select(F.col(key).cast("string").alias("_k"), F.explode(F.sequence(F.lit(1), F.lit(seeds))).alias("seed"))
     hit = seeded_uniform(F.col("seed").cast("string"), F.col("_k")) < rate
     return draws.groupBy("seed").agg(ratio(F.count_if(hit), F.count("*")).alias("recall"))
@@ -182,3 +181,35 @@ def distractors(ranked: DataFrame, seed: str) -> DataFrame:
     x = ranked.select("query_id", "key", draw.alias("_draw")).withColumn("_donor", F.lead(F.struct("query_id", "key")).over(order))
     other = x.filter("_donor.query_id <> query_id").select("query_id", F.col("_donor.key").alias("key"), "_draw")
     return first_by(other.join(ranked.select("query_id", "key"), ["query_id", "key"], "left_anti"), ["query_id"], ["_draw"]).select("query_id", "key")
+
+
+def controls(mentions: DataFrame, seed: str) -> DataFrame:
+    """``text, canonical_id, control_id``: for each linked surface a concept of another surface of its label, as a mispaired control.
+
+    Donors are the successors in seeded order within a bucket of draws; a surface's own concepts are never its control.
+    """
+    e = mentions.select("text", "canonical_id", "label").distinct().withColumn("_draw", F.md5(F.concat_ws("|", F.lit(seed), "text", "canonical_id")))
+    order = Window.partitionBy("label", F.substring("_draw", 1, 2)).orderBy("_draw", "text", "canonical_id")
+    x = e.withColumn("_other", F.lead(F.struct("text", "canonical_id")).over(order)).filter("_other.canonical_id <> canonical_id and _other.text <> text")
+    own = e.select("text", F.col("canonical_id").alias("control_id")).distinct()
+    return x.select("text", "canonical_id", F.col("_other.canonical_id").alias("control_id")).join(own, ["text", "control_id"], "left_anti").select("text", "canonical_id", "control_id")
+
+
+#: Rates of the random baselines, in tenths.
+RATES = (1, 2, 3, 4, 5, 6)
+
+
+def baseline_sweep(sentences: DataFrame, gold: DataFrame, seeds: int = 200) -> DataFrame:
+    """``selector, n, mean, sd, low, high``: recall of every positional baseline, once, and of the random ones over all seeds.
+
+    All seeds and rates are one job: each gold sentence meets the seeds, and one draw a seed serves all rates.
+    """
+    marked = sentences.select("paper_id", "sentence_index").join(gold.select("paper_id", "sentence_index").distinct(), ["paper_id", "sentence_index"], "left_semi")
+    each = marked.withColumn("seed", F.explode(F.sequence(F.lit(1), F.lit(seeds))))
+    u = seeded_uniform(F.col("seed").cast("string"), F.col("paper_id").cast("string"), F.col("sentence_index").cast("string"))
+    counted = each.withColumn("_u", u).groupBy("seed").agg(F.count("*").alias("_n"), *[F.count_if(F.col("_u") < F.lit(p / 10)).alias(f"rate_{p}") for p in RATES])
+    long = counted.select(F.explode(F.array(*[F.struct(F.lit(f"rate_{p}").alias("selector"), ratio(F.col(f"rate_{p}"), F.col("_n")).alias("recall")) for p in RATES])).alias("x")).select("x.*")
+    swept = long.groupBy("selector").agg(F.count("*").alias("n"), F.avg("recall").alias("mean"), F.stddev_samp("recall").alias("sd"), F.min("recall").alias("low"), F.max("recall").alias("high"))
+    fixed = score_positions(sentences, gold)
+    r = F.col("recall")
+    return swept.unionByName(fixed.select("selector", F.lit(1).cast("long").alias("n"), r.alias("mean"), F.lit(None).cast("double").alias("sd"), r.alias("low"), r.alias("high")))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import costs, quality, stats, text
-from ..operators import corpora, evidence, question, scoring, selection, windows
+from ..functions import costs, licence, quality, stats, text
+from ..operators import corpora, evidence, linking, question, rendering, scoring, selection, windows
 from ..operators.linking import findings, licence_gate
 from ..operators.pairing import cross_pairs, first_by, pair_table
 from ..sources import state
-from .materialize import written
+from ..functions.tables import written
 from .oracles import _with
 from .registry import _judged
 from .substrate import Substrate
@@ -75,12 +75,14 @@ def candidates(s: Substrate) -> DataFrame:
 
 @case(
     "j13_hard_negatives",
-    _with("dirs") + """, few as (select endpoint, paper_id from (select distinct chemical_id as endpoint, paper_id from dirs) qualify row_number() over (partition by endpoint order by paper_id) <= 5)
-    select a.endpoint, a.paper_id as paper_a, b.paper_id as paper_b from few a join few b on a.endpoint = b.endpoint and a.paper_id < b.paper_id
-    where not exists (select 1 from dirs x join dirs y on x.key = y.key where x.paper_id = a.paper_id and y.paper_id = b.paper_id) qualify row_number() over (partition by a.endpoint order by a.paper_id, b.paper_id) <= 4""",
+    _with("dirs") + """, ends as (select distinct chemical_id as endpoint, paper_id from dirs union select distinct disease_id, paper_id from dirs), keys as (select distinct paper_id, key from dirs),
+    shared as (select distinct x.paper_id as a, y.paper_id as b from keys x join keys y on x.key = y.key and x.paper_id < y.paper_id),
+    pairs as (select e.endpoint, e.paper_id as paper_a, f.paper_id as paper_b from ends e join ends f on e.endpoint = f.endpoint and e.paper_id < f.paper_id)
+    select endpoint, paper_a, paper_b from pairs anti join shared on paper_a = a and paper_b = b qualify row_number() over (partition by endpoint order by paper_a, paper_b) <= 4""",
 )
 def negatives(s: Substrate) -> DataFrame:
-    return corpora.hard_negatives(written(_directions(s)))
+    relations = written(_directions(s))
+    return corpora.hard_negatives(relations).unionByName(corpora.hard_negatives(relations, "disease_id"))
 
 
 @case("p16_usable_pairs", _with("cand", "papers") + _USABLE)
@@ -154,13 +156,9 @@ def batch(s: Substrate) -> DataFrame:
     return corpora.greedy_batch(corpora.claim_pairs(_claims(s)), "label", {"contradiction": 15, "agreement": 10}, {("claim_a", "claim_b"): 1, ("question_id",): 3}, "seed", ["claim_a", "claim_b"], reach=20)
 
 
-@case("v1_pair_violations", _with("cand") + "select key, paper_a, paper_b from cand where false")
+@case("v1_pair_violations", _with("cand", "acc") + "select c.key, paper_a, paper_b from cand c left join acc a on a.key = c.key and a.paper_id = paper_a left join acc b on b.key = c.key and b.paper_id = paper_b where paper_a >= paper_b or label is distinct from case when len(a.directions) = 1 and len(b.directions) = 1 then case when a.directions = b.directions then 'agreement' else 'contradiction' end end")
 def pair_violations(s: Substrate) -> DataFrame:
-    acc = corpora.accumulate_directions(_directions(s))
-    x = _candidates(s)
-    for side in ("a", "b"):
-        x = x.join(acc.select("key", F.col("paper_id").alias(f"paper_{side}"), F.col("directions").alias(f"d{side}")), ["key", f"paper_{side}"], "left")
-    return x.filter(~F.col("label").eqNullSafe(corpora.label_of_directions(F.col("da"), F.col("db"))) | (F.col("paper_a") >= F.col("paper_b"))).select("key", "paper_a", "paper_b")
+    return corpora.pair_violations(_candidates(s), corpora.accumulate_directions(_directions(s)))
 
 
 def _gold(s: Substrate) -> DataFrame:
@@ -379,7 +377,22 @@ def compressed(s: Substrate) -> DataFrame:
     return _outputs(s).select("paper_id", quality.compression(F.col("output"), F.col("source")).alias("compression"))
 
 
-@case("f18_score_output")
+def _list(values) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + "]"
+
+
+_SQL_NUMERALS = r"regexp_extract_all({}, '(?:^|[^\w.])(\d+(?:\.\d+)?)', 1)"
+_SQL_JWORDS = "list_filter(string_split_regex(lower({}), '[^a-z0-9]+'), lambda w: w <> '')"
+
+
+@case(
+    "f18_score_output",
+    _with("papers") + f""", {_OUTPUTS}, n as (select *, {_SQL_NUMERALS.format("output")} as found, {_SQL_NUMERALS.format("source")} as allowed, {_SQL_JWORDS.format("output")} as w, {_SQL_JWORDS.format("source")} as g from o),
+    b as (select *, list_filter(found, lambda x: not list_contains(allowed, x) and x <> '2') as bad, list_transform(generate_series(1, len(g)), lambda i: concat_ws(' ', g[i], coalesce(g[i + 1], ''))) as given from n),
+    v as (select paper_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(generate_series(1, len(w)), lambda i: len(list_filter({_list(quality.JUDGEMENT_STEMS)}, lambda x: starts_with(w[i], x))) > 0 and w[i] not in {tuple(quality.JUDGEMENT_EXCLUSIONS)}
+      and not coalesce(i > 1 and list_contains(given, w[i - 1] || ' ' || w[i]), false) and not coalesce(i < len(w) and list_contains(given, w[i] || ' ' || w[i + 1]), false)), lambda i: w[i]))), ',') as volunteered from b)
+    select b.paper_id, (len(found) - len(bad))::bigint as supported, len(found)::bigint as numerals, array_to_string(bad, ',') as unsupported, volunteered, case when length(coalesce(source, '')) = 0 then 0.0 else length(output) / length(source) end as compression from b join v using (paper_id)""",
+)
 def scored_output(s: Substrate) -> DataFrame:
     o, src = F.col("output"), F.col("source")
     ok, bad = quality.supported(text.numerals(o), text.numerals(src), F.lit(2))
@@ -426,7 +439,13 @@ def abbreviations(s: Substrate) -> DataFrame:
     return evidence.abbreviations(s.papers)
 
 
-@case("f27_spend_bound")
+@case(
+    "f27_spend_bound",
+    """with per as (select event_type, count(*) as n, avg(c) as mean, coalesce(stddev_samp(c), 0) as sd from (select event_type, round(coalesce(value, 0.0) * 100)::bigint as c from events) group by event_type),
+    z as (select 1.6448536269514722::double as z, min(n) - 1 as df from per),
+    t as (select z + (z ** 3 + z) / 4 / df + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96 / df ** 2 + (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384 / df ** 3 as t from z)
+    select count(*) as arms, round(sum(mean + t * sd / sqrt(n)), 6) as bound from per, t""",
+)
 def spend(s: Substrate) -> DataFrame:
     cents = F.round(F.coalesce("value", F.lit(0.0)) * 100).cast("long")
     per = s.table("events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg(cents).alias("mean"), F.stddev_samp(cents).alias("sd"))
@@ -443,15 +462,14 @@ def distracted(s: Substrate) -> DataFrame:
     return selection.distractors(ranked, "seed")
 
 
-@case("v2_gold_outside_cross_pairs", _with("gold") + "select paper_id, chemical_id, disease_id from gold where false")
+@case("v2_gold_outside_cross_pairs", _with("gold", "crossp") + "select paper_id, chemical_id, disease_id from gold except select paper_id, chemical_id, disease_id from crossp")
 def outside(s: Substrate) -> DataFrame:
     return s.gold_relations.join(cross_pairs(s.mentions), ["paper_id", "chemical_id", "disease_id"], "left_anti")
 
 
-@case("v4_excerpts_not_verbatim", _with("sent") + "select paper_id, sentence_index from sent where false")
+@case("v4_excerpts_not_verbatim", _with("sent", "found", "papers") + "select paper_id, sentence_index from sent semi join found using (paper_id, sentence_index) join papers using (paper_id) where substr(abstract, s + 1, length(text)) <> text")
 def verbatim(s: Substrate) -> DataFrame:
-    f = findings(s.located, s.sentences).select("paper_id", "sentence_index", "text").join(s.sentences.select("paper_id", "sentence_index", "start", "end"), ["paper_id", "sentence_index"]).join(s.papers.select("paper_id", "abstract"), "paper_id")
-    return f.filter(F.substring(F.col("abstract"), F.col("start") + 1, F.col("end") - F.col("start")) != F.col("text")).select("paper_id", *_long("sentence_index"))
+    return evidence.not_verbatim(findings(s.located, s.sentences), s.papers).select("paper_id", *_long("sentence_index"))
 
 
 @case("w3_best_spans", _with("ment") + """, f as (select paper_id, label, s, e, w, ('0x' || substr(md5(concat_ws('|', 'score', paper_id, s, w)), 1, 13))::bigint / 4503599627370496.0::double as score from ment, (values (0), (1)) t(w) where substr(md5(concat_ws('|', paper_id, s)), 1, 1) < '8' or w = 0) select paper_id, label, s as start, e as "end", w as "window" from f qualify row_number() over (partition by paper_id, label, s, e order by score desc, w) = 1""")
@@ -513,3 +531,85 @@ def pooled(s: Substrate) -> DataFrame:
 def phrase(s: Substrate) -> DataFrame:
     w = s.papers.select("paper_id", quality.judgement_words(F.col("abstract")).alias("w"))
     return w.select("paper_id", text.contains_phrase(F.col("w"), F.slice("w", 3, 2)).alias("own"), text.contains_phrase(F.col("w"), F.array(F.lit("all"), F.lit("rights"))).alias("other"))
+
+
+_SQL["f7_numerals"] = _with("papers") + f"select paper_id, array_to_string({_SQL_NUMERALS.format('abstract')}, ',') as numerals from papers"
+_SQL["f34_shingles"] = _with("papers") + r""", w as (select paper_id, list_filter(string_split_regex(abstract, '\s+'), lambda x: x <> '') as w from papers),
+    s as (select paper_id, list_transform(generate_series(1, len(w) - 9, 5), lambda i: array_to_string(w[i:i + 9], ' ')) as s from w) select paper_id, len(s)::bigint as n, md5(array_to_string(s, '|')) as digest from s"""
+# the exact test's tail by log-gamma: n over k is gamma(n + 1) / (gamma(k + 1) gamma(n - k + 1))
+_SQL["f25_mcnemar"] = """with j as (select journal, count(*) filter (where predicted = gold and other <> gold) as b, count(*) filter (where predicted <> gold and other = gold) as c from (select source as journal, toxic as gold, case when substr(md5(doc_id::varchar), 1, 1) = '0' then 1 - toxic else toxic end as predicted, case when substr(md5(doc_id::varchar), 1, 1) < '3' then 0 else toxic end as other from labels join documents using (doc_id)) group by journal)
+    select journal, b, c, round(case when b + c = 0 then 1.0 else least(1.0, 2 * (select sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2))) from generate_series(0, least(b, c)) as t(i))) end, 9) as p from j"""
+_SQL["w2_merge_fragments"] = _with("papers") + r""", g as (select paper_id, abstract, string_split_regex(abstract, '\p{L}+') as gaps, regexp_extract_all(abstract, '\p{L}+') as ms from papers),
+    t as (select paper_id, abstract, i, ms[i] as w, gaps[i] as gap from g, unnest(generate_series(1, len(ms))) as s(i)),
+    o as (select *, (sum(length(gap) + length(w)) over (partition by paper_id order by i))::bigint as e, i > 1 and regexp_full_match(gap, '[-‐‑‒–/]*') as goes_on from t),
+    r as (select *, sum(case when goes_on then 0 else 1 end) over (partition by paper_id order by i) as run from o)
+    select paper_id, s as start, e as "end", substr(abstract, (s + 1)::bigint, (e - s)::bigint) as text, n as n_parts from (select paper_id, run, any_value(abstract) as abstract, min(e - length(w)) as s, max(e) as e, count(*) as n, bool_or(not regexp_full_match(w, '\p{L}{3,}') or upper(w) = w) as shaped from r group by paper_id, run) where n >= 2 and shaped"""
+
+
+@case("j5_canonicalize", _with("dict") + r""", g as (select paper_id, abstract, string_split_regex(abstract, '\p{L}+') as gaps, regexp_extract_all(abstract, '\p{L}+') as ms from papers),
+    t as (select paper_id, abstract, i, ms[i] as w, gaps[i] as gap from g, unnest(generate_series(1, len(ms))) as s(i)),
+    o as (select *, (sum(length(gap) + length(w)) over (partition by paper_id order by i))::bigint as e, i > 1 and regexp_full_match(gap, '[-‐‑‒–/]*') as goes_on from t),
+    r as (select *, sum(case when goes_on then 0 else 1 end) over (partition by paper_id order by i) as run from o),
+    m as (select paper_id, run, substr(any_value(abstract), (min(e - length(w)) + 1)::bigint, (max(e) - min(e - length(w)))::bigint) as text from r group by paper_id, run having count(*) >= 2 and bool_or(not regexp_full_match(w, '\p{L}{3,}') or upper(w) = w)),
+    k as (select alias_key, concept_id from dict union all select alias_key || '-' || alias_key, concept_id from dict where substr(md5(alias_key), 9, 1) < '8')
+    select paper_id, e - length(w) as start, coalesce(d.concept_id, f.concept_id) as canonical_id from r left join k d on d.alias_key = replace(replace(lower(w), 'ß', 'ss'), 'ς', 'σ')
+      left join (select paper_id, run, concept_id from m join k on alias_key = replace(replace(lower(text), 'ß', 'ss'), 'ς', 'σ')) f using (paper_id, run)""")
+def canonicalized(s: Substrate) -> DataFrame:
+    """All letter runs as mentions; the dictionary also knows half of its names doubled by a hyphen."""
+    short = text.pieces(s.papers.select("paper_id", "abstract"), "paper_id", "abstract", r"\p{L}+")
+    m = short.select("paper_id", F.col("pos").alias("ord"), F.col("match").alias("text"), F.lit("CHEMICAL").alias("label"), "start", "end")
+    doubled = s.resolved.filter(F.substring(F.md5("alias_key"), 9, 1) < "8").withColumn("alias_key", F.concat_ws("-", "alias_key", "alias_key"))
+    return linking.canonicalize(m, s.papers, s.resolved.unionByName(doubled)).select("paper_id", *_long("start"), "canonical_id")
+
+
+_ERRORS = _with("gspan", "pspan") + ", fn as (select label, s, e, text from (select g.paper_id, g.label, g.s, g.e, substr(abstract, g.s + 1, g.e - g.s) as text from (select paper_id, label, s, e from gspan except all select paper_id, label, s, e from pspan) g join papers using (paper_id)))"
+
+
+@case("o6_top_errors", _ERRORS + " select label, text, count(*) as n from fn group by label, text order by n desc, label, text limit 25")
+def top_errors(s: Substrate) -> DataFrame:
+    cols = ["paper_id", "label", "start", "end"]
+    missed = s.gold_spans.select(*cols).exceptAll(s.predicted_spans.select(*cols)).join(s.papers.select("paper_id", "abstract"), "paper_id")
+    return scoring.top_errors(missed.select("label", F.expr("substring(abstract, start + 1, end - start)").alias("text")), ["label", "text"], 25)
+
+
+@case("j18_paper_document_mismatches", _with("papers") + "select paper_id, case when abstract = text then 'same' else 'differs' end as verdict from papers join (select doc_id, case when doc_id % 11 = 0 then text || ' ' else text end as text from documents where doc_id % 13 <> 0) on doc_id = paper_id where abstract <> text union all select doc_id, 'missing' from documents where doc_id % 13 = 0")
+def mismatched(s: Substrate) -> DataFrame:
+    documents = s.papers.filter("paper_id % 13 <> 0").select("paper_id", F.when(F.col("paper_id") % 11 == 0, F.concat("abstract", F.lit(" "))).otherwise(F.col("abstract")).alias("text"))
+    return evidence.paper_document_mismatches(s.papers, documents)
+
+
+@case("o3_clusters_in_order", _with("clusters") + "select key, row_number() over (order by key) as position from clusters")
+def ordered(s: Substrate) -> DataFrame:
+    return evidence.positions(s.clusters.select("key"), ["key"])
+
+
+@case("o8_viewer_tables", _with("ranked", "members", "papers") + "select query_id, rank, extraction_allowed as licensed, paper_id, row_number() over (partition by query_id, key, extraction_allowed order by year desc nulls last, journal, paper_id) as position from ranked join members using (key) join papers using (paper_id)")
+def viewer(s: Substrate) -> DataFrame:
+    ranked, _ = _tiers(s)
+    return evidence.viewer_tables(ranked, pair_table(s.pairs), s.papers).select("query_id", *_long("rank"), "licensed", "paper_id", *_long("position"))
+
+
+@case("f36_labels", _with("papers1") + r"select paper_id, case when token is null then 'licence unknown' when token like 'cc%' then upper(replace(token, '_', '-')) else replace(token, '_', ' ') end as licence_label, 'paper ' || paper_id || ' (' || coalesce(year::varchar, 'n.d.') || ')' as title from papers1")
+def labels(s: Substrate) -> DataFrame:
+    return s.papers.select("paper_id", rendering.licence_label(licence.any_token(F.col("license"))).alias("licence_label"), rendering.dated_title(F.col("paper_id"), F.col("year")).alias("title"))
+
+
+@case(
+    "r6_controls",
+    _with("ment") + """, e as (select distinct text, canonical_id, label from ment where canonical_id is not null), d as (select *, md5(concat_ws('|', 'seed', text, canonical_id)) as draw from e),
+    n as (select *, lead(text) over w as other, lead(canonical_id) over w as other_id from d window w as (partition by label, substr(draw, 1, 2) order by draw, text, canonical_id))
+    select text, canonical_id, other_id as control_id from n where other_id <> canonical_id and other <> text and not exists (select 1 from e where e.text = n.text and e.canonical_id = n.other_id)""",
+)
+def controls(s: Substrate) -> DataFrame:
+    return selection.controls(s.mentions.filter("canonical_id is not null"), "seed")
+
+
+@case(
+    "r7_baseline_sweep",
+    _with("flags", "selected") + """, draws as (select paper_id, sentence_index, is_gold, seed, ('0x' || substr(md5(concat_ws('|', seed, paper_id, sentence_index)), 1, 13))::bigint / 4503599627370496.0::double as u from flags, range(1, 21) as t(seed) where is_gold),
+    swept as (select 'rate_' || p as selector, seed, count(*) filter (where u < p / 10.0::double) / count(*) as recall from draws, (values (1), (2), (3), (4), (5), (6)) as v(p) group by p, seed)
+    select selector, count(*) as n, round(avg(recall), 9) as mean, round(stddev_samp(recall), 9) as sd, min(recall) as low, max(recall) as high from swept group by selector
+    union all select selector, 1, round(recall, 9), null, recall, recall from (select selector, hits / (select count(*) from flags where is_gold) as recall from selected)""",
+)
+def sweep(s: Substrate) -> DataFrame:
+    return selection.baseline_sweep(s.sentences, _gold(s), seeds=20).select("selector", "n", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), "low", "high")

@@ -18,9 +18,9 @@ _TABLES = {
     "sent": "select * from (select paper_id, sentence_index, text, (sum(length(text) + length(gap)) over (partition by paper_id order by sentence_index rows unbounded preceding) - length(text) - length(gap))::bigint as s from sent1) where length(text) > 0 or sentence_index = 0",
     "tok0": r"select paper_id, regexp_split_to_array(abstract, '\p{L}{7,}') as gaps, regexp_extract_all(abstract, '\p{L}{7,}') as ms from papers",
     "tok1": "select paper_id, i - 1 as pos, gaps[i] as gap, ms[i] as token from tok0, unnest(generate_series(1, len(ms))) as s(i)",
-    "tok": "select paper_id, pos, token, lower(token) as k, (sum(length(gap) + length(token)) over (partition by paper_id order by pos rows unbounded preceding))::bigint as e from tok1",
-    "lex": "select k, count(distinct paper_id) as df from tok group by k having count(distinct paper_id) between 2 and 20",
-    "alias": "select k as alias_key, 'MESH:' || upper(substr(md5(k), 1, 6)) as concept_id, true as is_preferred from lex where df >= 3 union all select k, 'MESH:' || upper(substr(md5(k || '#'), 1, 6)), substr(md5(k), 3, 1) < '8' from lex where df >= 3 and substr(md5(k), 2, 1) = '0'",
+    "tok": "select paper_id, pos, token, replace(replace(lower(token), 'ß', 'ss'), 'ς', 'σ') as k, (sum(length(gap) + length(token)) over (partition by paper_id order by pos rows unbounded preceding))::bigint as e from tok1",
+    "lex": "select distinct k from tok where substr(md5(k), 10, 1) < '8'",
+    "alias": "select k as alias_key, 'MESH:' || upper(substr(md5(k), 1, 6)) as concept_id, true as is_preferred from lex where substr(md5(k), 11, 1) < 'c' union all select k, 'MESH:' || upper(substr(md5(k || '#'), 1, 6)), substr(md5(k), 3, 1) < '8' from lex where substr(md5(k), 11, 1) < 'c' and substr(md5(k), 2, 1) = '0'",
     "dict": "select alias_key, coalesce(min(concept_id) filter (where is_preferred), min(concept_id)) as concept_id, count(distinct concept_id) > 1 as tiebroken from alias group by alias_key",
     "ment": "select paper_id, pos, token as text, k, e - length(token) as s, e, case when substr(md5(k), 1, 1) < '8' then 'CHEMICAL' else 'DISEASE' end as label, concept_id as canonical_id, coalesce(tiebroken, false) as tiebroken from tok join lex using (k) left join dict on alias_key = k",
     "loc": "select m.*, sentence_index from ment m join sent on sent.paper_id = m.paper_id and m.s >= sent.s and m.s < sent.s + length(sent.text)",
@@ -38,7 +38,7 @@ _TABLES = {
     "path": "select concept_id, string_split(tree_number, '.') as p from tree where tree_number is not null",
     "actions": "select c.concept_id, n.class_id from concepts c join (select substr(concept_id, 6, 3) as stem, min(concept_id) as class_id from concepts group by 1) n on substr(c.concept_id, 6, 3) = n.stem where substr(c.concept_id, 11, 1) < '4' and c.concept_id <> n.class_id",
     "terms0": r"select item_id as query_id, i, w[i] as w from (select item_id, regexp_extract_all(text, '\p{L}{7,}') as w from benchmark), unnest(generate_series(1, len(w))) as s(i)",
-    "terms": "select query_id, concept_id, arg_min(w, i) as term from terms0 join dict on alias_key = lower(w) group by query_id, concept_id",
+    "terms": "select query_id, concept_id, arg_min(w, i) as term from terms0 join dict on alias_key = replace(replace(lower(w), 'ß', 'ss'), 'ς', 'σ') group by query_id, concept_id",
     "sides": "select distinct key, unnest([chemical_id, disease_id]) as side from clusters",
     "matched": "select query_id, key, side from sides join terms on side = concept_id union select query_id, key, side from sides join actions on side = actions.concept_id join terms on terms.concept_id = class_id",
     "cnt": "select query_id, key, count(*) as matched from matched group by all",
@@ -143,7 +143,7 @@ def oracle_sql() -> dict[str, str]:
         "w9_positional_selectors": _with("sent") + "select paper_id, count(*) filter (where sentence_index < least(4, n)) as first_4, count(*) filter (where sentence_index >= greatest(0, n - 3)) as last_3, count(*) filter (where sentence_index < ceil(0.3::double * n)) as first_30 from (select *, max(sentence_index) over (partition by paper_id) + 1 as n from sent) group by paper_id",
         "r3_stratified_sample": _with("clusters") + ", b as (select key, n_papers, case when n_papers <= 3 then 'small' when n_papers <= 7 then 'medium' else 'large' end as band from clusters) select band, key, n_papers from b qualify row_number() over (partition by band order by md5('seed|' || key), key) <= 10",
         "r4_select_at_rate": _with("sent") + "select paper_id, sentence_index from sent where ('0x' || substr(md5(concat_ws('|', 'seed', paper_id, sentence_index)), 1, 13))::bigint / 4503599627370496.0::double < 0.25",
-        "k5_content_hash": "select substr(sha256(string_agg(l, chr(10) order by l)), 1, 16) as content_hash from (select concat_ws('|', doc_id, quality, toxic) as l from labels)",
+        "k5_content_hash": "select substr(sha256(concat_ws('|', count(*), " + ", ".join(f"sum(('0x' || substr(d, {at}, 12))::bigint)::hugeint::varchar" for at in (1, 13, 25, 37)) + ")), 1, 16) as content_hash from (select sha256(concat_ws('|', doc_id, quality, toxic)) as d from labels)",
         "f31_size_bands": _with("clusters") + "select case when n_papers <= 3 then 'small' when n_papers <= 7 then 'medium' else 'large' end as band, count(*) as n from clusters group by 1",
         "p17_direction": "select doc_id as paper_id, case when c > t then 'causes' when t > c then 'treats' else 'neither' end as direction from (select doc_id, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in ("induced by", "-induced", "caused", "causes", "toxicity", "adverse", "risk of")) + " as c, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in ("treatment of", "therapy", "therapeutic", "efficacy", "improved", "ameliorat")) + " as t from documents)",
         "f37_links": """select page_id, href, count(*) as n from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages) group by all""".replace("group by all", "group by page_id, href"),

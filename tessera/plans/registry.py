@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import licence, stats, text
-from ..operators import linking, pairing, question, rendering, scoring
+from ..operators import corpora, linking, pairing, question, rendering, scoring
 from .oracles import oracle_sql
 from .substrate import Substrate
 
@@ -66,7 +66,7 @@ def mentions(s: Substrate) -> DataFrame:
 
 @query("j2_mention_sentence")
 def located(s: Substrate) -> DataFrame:
-    return s.located.select("paper_id", *_long("start"), "canonical_id", *_long("sentence_index"))
+    return linking.in_sentences(s.mentions, s.sentences).select("paper_id", *_long("start"), "canonical_id", *_long("sentence_index"))
 
 
 @query("j3_cross_pairs")
@@ -352,13 +352,7 @@ def shingled(s: Substrate) -> DataFrame:
 
 @query("p17_direction")
 def direction(s: Substrate) -> DataFrame:
-    # Cues of the two directions.
-    causes = ("induced by", "-induced", "caused", "causes", "toxicity", "adverse", "risk of")
-    treats = ("treatment of", "therapy", "therapeutic", "efficacy", "improved", "ameliorat")
-    low = F.lower("abstract")
-    n = lambda cues: sum((low.contains(c).cast("int") for c in cues), F.lit(0))
-    c, t = n(causes), n(treats)
-    return s.papers.select("paper_id", F.when(c > t, "causes").when(t > c, "treats").otherwise("neither").alias("direction"))
+    return s.papers.select("paper_id", corpora.direction_of(F.col("abstract")).alias("direction"))
 
 
 @query("f37_links")

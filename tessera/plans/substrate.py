@@ -1,4 +1,8 @@
-"""The inputs of the analytics, derived by rule from the given tables: papers, mentions, dictionary, hierarchy, gold."""
+"""The inputs of the analytics, derived by rule from the given tables: papers, mentions, dictionary, hierarchy, gold.
+
+Which words are mentions, and which of those the dictionary knows, follows from a digest of the word alone. So the rules are the
+same at every size, and a word of any number of documents is in or out with all of them.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import licence, text
 from ..operators import linking, pairing
-from .materialize import written
+from ..functions.tables import written
 
 WORD = r"\p{L}{7,}"
 #: Licence strings by document id modulo their number.
@@ -20,9 +24,19 @@ def _hex(c, at: int):
     return F.substring(F.md5(c), at, 1)
 
 
+def is_mention(key):
+    """Half of all words."""
+    return _hex(key, 10) < "8"
+
+
+def is_known(key):
+    """Three quarters of the mentions' words."""
+    return _hex(key, 11) < "c"
+
+
 class Substrate:
-    """DataFrames of one data folder; nothing is read until a query asks for it. What a query reads more than once is
-    written: the lexicon, the linked mentions, those in sentences, and the clusters."""
+    """DataFrames of one data folder; nothing is read until a query asks for it. Only the clusters, which stand behind all
+    shuffles of a query and are read several times, are written."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -43,16 +57,12 @@ class Substrate:
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return text.pieces(self.papers.select("paper_id", "abstract"), "paper_id", "abstract", WORD).withColumn("alias_key", F.lower("match"))
-
-    @cached_property
-    def lexicon(self) -> DataFrame:
-        words = self.papers.select("paper_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("abstract", F.lit(WORD), F.lit(0)), F.lower))).alias("alias_key"))
-        return written(words.distinct().groupBy("alias_key").agg(F.count("*").alias("df")).filter("df between 2 and 20"))
+        return text.pieces(self.papers.select("paper_id", "abstract"), "paper_id", "abstract", WORD).withColumn("alias_key", text.normalize_surface(F.col("match")))
 
     @cached_property
     def aliases(self) -> DataFrame:
-        known = self.lexicon.filter("df >= 3").select("alias_key")
+        words = self.papers.select("paper_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("abstract", F.lit(WORD), F.lit(0)), text.normalize_surface))).alias("alias_key"))
+        known = words.filter(is_mention("alias_key") & is_known("alias_key")).select("alias_key").distinct()
         concept = lambda c: F.concat(F.lit("MESH:"), F.upper(F.substring(F.md5(c), 1, 6)))
         own = known.select("alias_key", concept(F.col("alias_key")).alias("concept_id"), F.col("alias_key").alias("name"), F.lit(True).alias("is_preferred"), F.lit(0).alias("ord"))
         other = known.filter(_hex("alias_key", 2) == "0").select("alias_key", concept(F.concat("alias_key", F.lit("#"))).alias("concept_id"), F.concat("alias_key", F.lit("#")).alias("name"), (_hex("alias_key", 3) < "8").alias("is_preferred"), F.lit(1).alias("ord"))
@@ -63,16 +73,20 @@ class Substrate:
         return linking.resolve_aliases(self.aliases)
 
     @cached_property
-    def mentions(self) -> DataFrame:
-        """Linked and unlinked mentions of all papers."""
-        m = self.tokens.join(self.lexicon.select("alias_key"), "alias_key", "left_semi")
+    def placed(self) -> DataFrame:
+        """Mentions of all papers with the sentence in which they start, linked or not."""
+        found = text.sentence_pieces(self.papers.select("paper_id", "abstract"), "paper_id", "abstract", WORD).withColumn("alias_key", text.normalize_surface(F.col("match"))).filter(is_mention("alias_key"))
         label = F.when(_hex("alias_key", 1) < "8", "CHEMICAL").otherwise("DISEASE")
-        m = m.select("paper_id", F.col("pos").alias("ord"), F.col("match").alias("text"), "alias_key", label.alias("label"), "start", "end")
-        return written(linking.link(m, self.resolved))
+        m = found.select("paper_id", "sentence_index", F.col("match").alias("text"), "alias_key", label.alias("label"), "start", "end")
+        return linking.link(m, self.resolved)
+
+    @cached_property
+    def mentions(self) -> DataFrame:
+        return self.placed.drop("sentence_index")
 
     @cached_property
     def located(self) -> DataFrame:
-        return written(linking.in_sentences(self.mentions, self.sentences))
+        return self.placed
 
     @cached_property
     def pairs(self) -> DataFrame:

@@ -16,6 +16,46 @@ def test_sentences_cover_edges(spark):
     assert got == {(1, 0): (0, 4, "One."), (1, 1): (5, 9, "Two!"), (1, 2): (11, 17, "Three?"), (2, 0): (0, 0, ""), (3, 0): (0, 4, "a😀b."), (3, 1): (5, 6, "c"), (4, 0): (0, 6, " lead."), (4, 1): (7, 8, "x")}
 
 
+def test_rows_of_one_key_keep_their_own_offsets(spark):
+    texts = ["Alpha beta. Gamma", "Alpha beta. Gamma", "x Alpha! Delta y", None, ""]
+    rows = spark.createDataFrame([(1, t) for t in texts], "paper_id long, abstract string")
+    words = sorted((r.pos, r.match, r.start, r.end) for r in text.pieces(rows, "paper_id", "abstract", r"[A-Za-z]{4,}").collect())
+    assert words == sorted([(0, "Alpha", 0, 5), (1, "beta", 6, 10), (2, "Gamma", 12, 17)] * 2 + [(0, "Alpha", 2, 7), (1, "Delta", 9, 14)])
+    sents = sorted((r.sentence_index, r.start, r.end) for r in text.sentences(rows).collect())
+    assert sents == sorted([(0, 0, 11), (1, 12, 17)] * 2 + [(0, 0, 8), (1, 9, 16), (0, 0, 0)])
+    both = sorted((r.sentence_index, r.match, r.start, r.end) for r in text.sentence_pieces(rows, "paper_id", "abstract", r"[A-Za-z]{4,}").collect())
+    assert both == sorted([(0, "Alpha", 0, 5), (0, "beta", 6, 10), (1, "Gamma", 12, 17)] * 2 + [(0, "Alpha", 2, 7), (1, "Delta", 9, 14)])
+
+
+def test_walks_over_long_arrays(spark):
+    from tessera.functions.arrays import walk
+
+    xs = [(i * 7) % 11 for i in range(1500)]
+    got = spark.createDataFrame([(xs,), ([],)], "xs array<int>").select(walk(F.col("xs"), F.lit(0), lambda at, x: at + x, lambda at, x: at + x).alias("s")).collect()
+    assert got[0].s == [sum(xs[: i + 1]) for i in range(1500)] and got[1].s == []
+
+
+def test_normalized_surfaces(spark):
+    rows = spark.createDataFrame([("  STRAßE  ",), ("a\u00a0\t b",), ("ΟΔΟΣ",), (None,)], "s string")
+    assert [r.n for r in rows.select(text.normalize_surface(F.col("s")).alias("n")).collect()] == ["strasse", "a b", "οδοσ", None]
+
+
+def test_merged_fragments_fill_unlinked_mentions_only(spark):
+    t = spark.createDataFrame([(1, "GLP-1RA and N-methyl acid")], "paper_id long, abstract string")
+    m = spark.createDataFrame([(1, 0, "GLP", "CHEMICAL", 0, 3), (1, 1, "1RA", "CHEMICAL", 4, 7), (1, 2, "N", "CHEMICAL", 12, 13), (1, 3, "methyl", "CHEMICAL", 14, 20), (1, 4, "acid", "CHEMICAL", 21, 25)], "paper_id long, ord int, text string, label string, start int, end int")
+    names = spark.createDataFrame([("glp-1ra", "M1", "GLP-1RA", True, 0), ("methyl", "M2", "Methyl", True, 0), ("n-methyl", "M3", "N-Methyl", True, 0)], "alias_key string, concept_id string, name string, is_preferred boolean, ord int")
+    got = {r.ord: (r.canonical_id, r.canonical_name) for r in linking.canonicalize(m, t, linking.resolve_aliases(names)).collect()}
+    assert got == {0: ("M1", "GLP-1RA"), 1: ("M1", "GLP-1RA"), 2: ("M3", "N-Methyl"), 3: ("M2", "Methyl"), 4: (None, None)}
+
+
+def test_pairs_of_a_large_key_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pairing, "PAIR_BLOCK", 7)
+    rows = [("a", p) for p in range(40)] + [("b", p) for p in (3, 50, 51)]
+    long = spark.createDataFrame([(k, p, sum(x == k for x, _ in rows)) for k, p in rows], "key string, paper_id long, n_papers long")
+    want = {(p, q) for k in "ab" for x, p in rows for y, q in rows if x == y == k and p < q}
+    assert sorted(map(tuple, pairing.paper_pairs(long).collect())) == sorted(want)
+
+
 @pytest.mark.parametrize("raw,token,tier", [("CC BY", "cc_by", "open"), ("cc-by--nc", "cc_by_nc", "non_commercial"), ("https://creativecommons.org/licenses/by-nc-nd/4.0/", "cc_by_nc_nd", "non_commercial"), ("https://evil.org/creativecommons.org/licenses/by/4.0", "https://evil.org/creativecommons.org/licenses/by/4.0", "unknown"), ("no-cc-code", "no_cc_code", "restricted")])
 def test_licences(spark, raw, token, tier):
     r = spark.createDataFrame([(raw,)], "x string").select(licence.any_token(F.col("x")).alias("t"), licence.tier(licence.any_token(F.col("x"))).alias("tier")).first()

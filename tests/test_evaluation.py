@@ -29,6 +29,80 @@ def test_hard_negatives_share_no_key(spark):
     assert {(x.endpoint, x.paper_a, x.paper_b) for x in corpora.hard_negatives(r).collect()} == {("C", 1, 2), ("C", 2, 3)}
 
 
+def test_hard_negatives_walk_past_papers_that_share_keys(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(p, "C", "D") for p in range(30)] + [(30, "C", "E"), (31, "C", "F"), (2, "B", "D")] + [(rng.randrange(60), rng.choice("XYZ"), rng.choice("DEFGH")) for _ in range(150)]
+    r = spark.createDataFrame(sorted(set(rows)), "paper_id long, chemical_id string, disease_id string").withColumn("key", F.concat_ws("|", "chemical_id", "disease_id"))
+    keys = {}
+    for p, c, d in rows:
+        keys.setdefault(p, set()).add((c, d))
+    for at, column in ((1, "chemical_id"), (2, "disease_id")):
+        want = set()
+        for e in {x[at] for x in rows}:
+            papers = sorted({x[0] for x in rows if x[at] == e})
+            want |= {(e, a, b) for a, b in [(a, b) for a, b in combinations(papers, 2) if not keys[a] & keys[b]][:4]}
+        assert {(x.endpoint, x.paper_a, x.paper_b) for x in corpora.hard_negatives(r, column).collect()} == want
+    assert corpora.hard_negatives(r.limit(0)).count() == 0
+
+
+def test_violations_are_found(spark):
+    acc = spark.createDataFrame([("k", 1, ["c"]), ("k", 2, ["t"]), ("k", 3, ["c", "t"])], "key string, paper_id long, directions array<string>")
+    pairs = spark.createDataFrame([("k", 1, 2, "contradiction"), ("k", 1, 2, "agreement"), ("k", 2, 1, "contradiction"), ("k", 1, 3, "agreement"), ("j", 1, 2, "agreement")], "key string, paper_a long, paper_b long, label string")
+    assert sorted(map(tuple, corpora.pair_violations(pairs, acc).collect())) == [("j", 1, 2), ("k", 1, 2), ("k", 1, 3), ("k", 2, 1)]
+    papers = spark.createDataFrame([(1, "One. Two."), (2, "x")], "paper_id long, abstract string")
+    found = spark.createDataFrame([(1, 0, 0, 4, "One."), (1, 1, 4, 9, "Two."), (9, 0, 0, 1, "x")], "paper_id long, sentence_index int, start int, end int, text string")
+    assert sorted(map(tuple, evidence.not_verbatim(found, papers).collect())) == [(1, 1), (9, 0)]
+    documents = spark.createDataFrame([(1, "One. Two."), (3, "y")], "paper_id long, text string")
+    assert sorted(map(tuple, evidence.paper_document_mismatches(papers, documents).collect())) == [(2, "missing"), (3, "extra")]
+    with pytest.raises(ValueError, match="2 missing, 3 extra"):
+        evidence.assert_papers_match_documents(papers, documents)
+    evidence.assert_papers_match_documents(papers, papers.withColumnRenamed("abstract", "text"))
+
+
+def test_greedy_batch_reads_on_until_its_quota_is_filled(spark):
+    pool = spark.createDataFrame([(0 if i % 50 else i, i, "x") for i in range(1, 400)], "a long, b long, label string")
+    got = corpora.greedy_batch(pool, "label", {"x": 8}, {("a",): 1}, "s", ["a", "b"], reach=1).collect()
+    assert len(got) == 8 and len({r.a for r in got}) == 8
+
+
+def test_abbreviations_look_back_by_words():
+    long = "x" * 3000
+    assert evidence.defined(f"a {long} method named polymerase chain reaction (PCR) works") == {"PCR": "polymerase chain reaction"}
+    assert evidence.defined(f"p{long} chain reaction (PCR)") == {"PCR": f"p{long} chain reaction"}
+    assert evidence.defined("tumor necrosis factor (TNF), again total nonsense first (TNF)") == {"TNF": "tumor necrosis factor"}
+    assert evidence.defined("one two three four five six seven eight polymer nine ten eleven twelve thirteen fourteen chain rest (PCR)") == {}
+
+
+def test_positions_number_a_total_order(spark):
+    rows = spark.createDataFrame([(f"k{(i * 37) % 500:03d}",) for i in range(500)], "key string").repartition(7)
+    got = evidence.positions(rows, ["key"]).collect()
+    assert {(r.key, r.position) for r in got} == {(f"k{i:03d}", i + 1) for i in range(500)}
+
+
+def test_viewer_checks(spark, tmp_path):
+    from tessera.operators import viewer
+
+    files = spark.createDataFrame([("index.html", '<a href="/b/runs/x/">x</a> <a href="#top">t</a> <p id="here"> <a href="https://e.org/">e</a> <img src="no.png">'), ("runs/x/index.html", '<a href="../../index.html#here">h</a> <a href="../y/">y</a> <a href="/other/">o</a> <a href="../../index.html#gone">g</a>'), ("a.css", "x")], "path string, text string")
+    assert sorted(map(tuple, viewer.broken_links(files, "/b/").collect())) == [("index.html", "#top", "no such id"), ("index.html", "no.png", "no such file"), ("runs/x/index.html", "../../index.html#gone", "no such id"), ("runs/x/index.html", "../y/", "no such file"), ("runs/x/index.html", "/other/", "outside the base path")]
+    anchors = spark.createDataFrame([("stage:extract/dropped/no_text",), ("stage:extract/dropped/other",), ("cluster:A|B",), ("cluster:A|C",), ("nonsense",)], "anchor string")
+    ledger, clusters = spark.createDataFrame([("extract", "no_text")], "stage string, reason string"), spark.createDataFrame([("A|B",)], "key string")
+    assert sorted(r.anchor for r in viewer.unresolved_anchors(anchors, ledger, clusters).collect()) == ["cluster:A|C", "nonsense", "stage:extract/dropped/other"]
+    papers = spark.createDataFrame([(1, True, "https://creativecommons.org/licenses/by/4.0/"), (2, True, None), (3, False, None), (4, True, "https://e.org")], "paper_id long, excerpted boolean, license_url string")
+    assert sorted(r.paper_id for r in viewer.unattributable_excerpts(papers).collect()) == [2, 4]
+    (tmp_path / "one.json").write_text('{"schema_version": 2, "slug": "one", "clusters": ["a"], "stages": []}')
+    assert [r.slug for r in viewer.load_runs(spark, str(tmp_path), 2).collect()] == ["one"]
+    runs, notes = spark.createDataFrame([("one",)], "slug string"), spark.createDataFrame([("two",)], "slug string")
+    assert sorted(map(tuple, viewer.unmatched_notes(runs, notes).collect())) == [("one", "left"), ("two", "right")]
+    with pytest.raises(Exception, match="schema version"):
+        viewer.load_runs(spark, str(tmp_path), 3).collect()
+    (tmp_path / "two.json").write_text('{"schema_version": 2, "slug": "three", "clusters": [], "stages": []}')
+    with pytest.raises(Exception, match="slug"):
+        viewer.load_runs(spark, str(tmp_path), 2).collect()
+    assert viewer.provenance({"a": 1, "b": 2}, "v", date(2026, 1, 1)) == viewer.provenance({"b": 2, "a": 1}, "v", date(2026, 1, 1)) != viewer.provenance({"a": 1}, "v", date(2026, 1, 1))
+
+
 def test_judges(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "paper_a long, paper_b long")
     texts = spark.createDataFrame([(1, "Harm caused by x"), (2, "therapy"), (3, "caused, induced by"), (4, None)], "paper_id long, abstract string")
