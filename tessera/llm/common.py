@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -29,10 +31,26 @@ def word_list(text: str | None) -> list[bytes]:
     return encode(text).translate(WORDS).split()
 
 
+def _read(column: pa.Array) -> list:
+    """Values; lists of numbers come as numpy arrays."""
+    if pa.types.is_list(column.type) and pa.types.is_integer(column.type.value_type) and not column.null_count:
+        ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+        return [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return column.to_pylist()
+
+
+def _write(values: list, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_list(kind) and values and isinstance(values[0], np.ndarray):
+        ends = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values), type=kind.value_type), type=kind)
+    return pa.array(values, type=kind)
+
+
 def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: str | T.StructType) -> DataFrame:
-    """Apply ``fn`` from columns to columns, batch by batch, through Arrow.
+    """Apply ``fn`` from columns to columns through Arrow, at most ``BATCH_ROWS`` rows at once.
 
-    ``fn`` may return more or fewer rows than it gets. Batches are small, so that memory has a bound.
+    ``fn`` may return more or fewer rows than it gets. Spark bounds the batches it sends by
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` and ``maxBytesPerBatch``; what is made of one is bounded here.
     """
     out = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
@@ -41,8 +59,8 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                got = fn({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
-                yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in arrow], schema=arrow)
+                got = fn({name: _read(part.column(i)) for i, name in enumerate(part.schema.names)})
+                yield pa.RecordBatch.from_arrays([_write(got[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
 
@@ -71,6 +89,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, rows: int, text_bytes: int, all_bytes: int) -> list[tuple[str | None, int]]:
+    """Texts and labels of a bounded sample by hash, in a fixed order: at most ``rows`` rows of texts up to ``text_bytes``, and of those
+    the first that together have ``all_bytes``. Null ids and labels are left out. A repeated id is drawn with all its rows, within the bounds."""
+    y = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y is not null").distinct()
+    # the ids are drawn first, so that only drawn documents carry their texts through the join
+    drawn = y.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "y").limit(rows)
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).withColumn("size", size).filter(F.col("size") <= text_bytes)
+    order = ("h", "id", "y", F.md5(F.coalesce("text", F.lit(""))))
+    few = d.join(F.broadcast(drawn), "id").orderBy(*order).limit(rows)
+    upto = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = few.withColumn("upto", upto).filter(F.col("upto") <= all_bytes).orderBy("upto", *order).select("text", "y").collect()
+    return [(r.text, r.y) for r in got]
+
+
 class Cut:
     """A table written once to the shared folder and read back: lineage ends there, and lost executors cost nothing."""
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, insort
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .common import map_columns
 
-KINDS = ("email", "ip", "card", "phone", "number", "handle")
+KINDS = ("email", "ip", "card", "phone", "number", "handle", "iban")
 
 # The base patterns. A look-behind stands where a match can only start at a run's start, so that a run
 # of any length costs its length and not its square.
@@ -25,6 +27,7 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 #: Generators of the method: groups of digits with separators, and handles after an at sign.
 _NUMBER = re.compile(r"(?<![0-9A-Za-z])[0-9(][0-9()./\x20-]{5,}[0-9](?![0-9A-Za-z])")
 _HANDLE = re.compile(r"(?<![A-Za-z0-9._%+-])@[A-Za-z_][A-Za-z0-9_.]{2,}")
+_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[0-9A-Z]{4}){2,7}(?:\x20?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
 _DIGIT = re.compile("[0-9]")
 
 
@@ -36,6 +39,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def mod_97(s: str) -> bool:
+    """Whether an account number's check digits hold."""
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the base rules, leftmost non-overlapping per kind; failing matches are dropped, not retried."""
     out, end = [], 0
@@ -66,6 +75,7 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) of the wide generators; spans may overlap each other and base spans."""
     out = []
     if _DIGIT.search(text):
+        out += [(6, m.start(), m.end()) for m in _IBAN.finditer(text)]
         for m in _NUMBER.finditer(text):
             out.append((4, m.start(), m.end()))
             # the same run without a bracket or a first group is a proposal of its own
@@ -77,10 +87,10 @@ def proposals(text: str) -> list[tuple[int, int, int]]:
 
 
 # Words before a candidate that speak for or against it.
-FOR = ("phone", "tel", "call", "mobile", "fax", "whatsapp", "contact", "card", "ssn", "account", "iban", "passport", "twitter", "insta", "follow")
-AGAINST = ("version", "page", "pages", "total", "chapter", "figure", "isbn", "price", "usd", "eur", "year", "years", "section", "order", "score")
+FOR = ("phone", "tel", "telephone", "call", "mobile", "fax", "whatsapp", "contact", "card", "ssn", "account", "konto", "iban", "passport", "twitter", "insta", "instagram", "follow", "reach", "text", "dial")
+AGAINST = ("version", "page", "pages", "total", "chapter", "figure", "isbn", "price", "usd", "eur", "year", "years", "section", "order", "score", "build", "sku", "model", "part", "issue", "row", "line", "seed")
 
-NAMES = ("kind", "digits", "length", "groups", "separators", "dots", "slashes", "brackets", "longest", "luhn", "grouped_3_4", "for", "against", "date_like", "decimal_like", "starts_zero")
+NAMES = ("kind", "digits", "length", "groups", "separators", "dots", "slashes", "brackets", "longest", "luhn", "grouped_3_4", "for", "against", "date_like", "decimal_like", "starts_zero", "check_97")
 
 
 def features(text: str, span: tuple[int, int, int]) -> list[float]:
@@ -93,36 +103,51 @@ def features(text: str, span: tuple[int, int, int]) -> list[float]:
     return [
         float(kind), float(len(digits)), float(b - a), float(len(groups)), float(sum(c in " -" for c in s)), float(s.count(".")), float(s.count("/")), float(s.count("(")),
         float(max(map(len, groups), default=0)), float(len(digits) >= 12 and luhn(digits)), float(len(groups) >= 2 and all(len(g) in (2, 3, 4) for g in groups[-2:])),
-        float(bool(words & set(FOR))), float(bool(words & set(AGAINST))), float(bool(re.fullmatch(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}", s))), float(s.count(".") == 1 and len(groups) == 2), float(digits.startswith("0")),
+        float(bool(words & set(FOR))), float(bool(words & set(AGAINST))), float(bool(re.fullmatch(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}", s))), float(s.count(".") == 1 and len(groups) == 2), float(digits.startswith("0")), float(kind == 6 and mod_97(s)),
     ]
 
 
+def _iban(rng: random.Random) -> str:
+    """A made account number whose check digits hold, with or without blanks."""
+    country, body = rng.choice(("DE", "FR", "GB", "ES", "NL")), "".join(rng.choice("0123456789") for _ in range(rng.choice((14, 16, 18, 20))))
+    check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+    s = f"{country}{check:02d}{body}"
+    return " ".join(s[i : i + 4] for i in range(0, len(s), 4)) if rng.random() < 0.5 else s
+
+
 def examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Seeded candidates in sentences, made by rule: private formats and their look-alikes, with and without context."""
+    """Seeded candidates in sentences, made by rule: formats that are private wherever they stand, formats that are so only
+    behind a word that says so, and look-alikes that are not; a word that speaks against makes any of them public."""
     rng = random.Random(seed)
     d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    private = (lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"{d(3)}-{d(2)}-{d(4)}", lambda: f"{d(4)} {d(4)} {d(4)} {d(4)}", lambda: f"0{d(3)} {d(3)} {d(3)}", lambda: f"@user_{d(2)}")
-    other = (lambda: f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}", lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: f"{d(5)}.{d(2)}", lambda: d(rng.randint(7, 15)), lambda: f"{rng.randint(1, 9)}.{d(2)}.{d(2)}.{d(3)}.{d(1)}", lambda: f"{d(4)} {d(4)}", lambda: f"{d(2)} {d(2)} {d(2)} {d(1)}", lambda: f"@{rng.choice(('media', 'param', 'return', 'override', 'import'))}")
+    name = lambda: "".join(rng.choice("aeilmnorstu") for _ in range(rng.randint(3, 10)))
+    always = (lambda: (4, f"({d(3)}) {d(3)}-{d(4)}"), lambda: (4, f"{d(3)}-{d(3)}-{d(4)}"), lambda: (4, f"{d(3)}.{d(3)}.{d(4)}"), lambda: (4, f"{d(3)}-{d(2)}-{d(4)}"), lambda: (4, f"{d(4)} {d(4)} {d(4)} {d(4)}"), lambda: (4, f"0{d(3)} {d(3)} {d(3)}"), lambda: (4, f"0{d(2)}/{d(7)}"), lambda: (5, f"@{name()}{rng.choice(('_', '', '.'))}{d(rng.randint(1, 4))}"), lambda: (6, _iban(rng)))
+    said = (lambda: (4, d(rng.randint(7, 15))), lambda: (4, f"0{d(rng.randint(7, 11))}"), lambda: (4, f"{d(4)} {d(4)}"), lambda: (4, f"{d(3)} {d(3)} {d(2)}"), lambda: (4, f"{d(3)}-{d(4)}"))
+    never = (lambda: (4, f"20{d(2)}-0{rng.randint(1, 9)}-1{d(1)}"), lambda: (4, f"{d(2)}/{d(2)}/20{d(2)}"), lambda: (4, f"{d(5)}.{d(2)}"), lambda: (4, f"{rng.randint(1, 9)}.{d(2)}.{d(2)}.{d(3)}.{d(1)}"), lambda: (4, f"{d(2)} {d(2)} {d(2)} {d(1)}"), lambda: (4, f"19{d(2)}-20{d(2)}"), lambda: (5, f"@{rng.choice(('media', 'param', 'return', 'override', 'import', 'property', 'app.route'))}"), lambda: (6, f"{rng.choice(('AB', 'DE', 'XK'))}{d(2)} {d(4)} {d(4)} {rng.choice(('ABCD', d(4)))}"))
     rows, y = [], []
     for _ in range(n):
-        yes = rng.random() < 0.5
-        s = rng.choice(private if yes else other)()
-        lead = rng.choice(FOR if yes else AGAINST) if rng.random() < 0.5 else rng.choice(("the", "of", "und", "que", "le"))
-        text = f"and {lead} {s} then"
-        at = text.index(s)
-        rows.append(features(text, (5 if s[0] == "@" else 4, at, at + len(s))))
-        y.append(float(yes))
+        made, lead = rng.choice((always, said, never)), rng.choice((FOR, AGAINST, ("the", "of", "und", "que", "le", "about", "nearly", "is")))
+        kind, s = rng.choice(made)()
+        word = rng.choice(lead)
+        text = f"and {word}{rng.choice((' ', ': ', ' no. ', ' number '))}{s} then"
+        at = text.index(s, 4 + len(word))
+        x = features(text, (kind, at, at + len(s)))
+        # of the look-alikes of an account number those that check out are one, whatever was meant
+        private = bool(x[-1]) or (made is always and lead is not AGAINST) or (made is said and lead is FOR)
+        rows.append(x)
+        y.append(float(private and lead is not AGAINST if kind != 5 else private))
     return np.array(rows), np.array(y)
 
 
 @dataclass(frozen=True)
 class Trees:
-    """Boosted trees of depth 2: (feature, cut, (feature, cut, low, high) below, the same above); then Platt's a and b."""
+    """Boosted trees of depth 2: (feature, cut, (feature, cut, low, high) below, the same above); then Platt's a and b, and
+    the least chance at which a candidate of a kind is taken."""
 
     trees: tuple
     bias: float
     scale: tuple[float, float]
-    threshold: float
+    thresholds: tuple[float, ...]
 
     def margin(self, x: list[float]) -> float:
         z = self.bias
@@ -151,10 +176,10 @@ def _stump(x, g, h, rows):
     return best
 
 
-def fit(n: int = 1200, trees: int = 20, rate: float = 0.3, precision: float = 0.98, seed: int = 11) -> Trees:
+def fit(n: int = 3000, trees: int = 40, rate: float = 0.3, precision: float = 0.98, seed: int = 11) -> Trees:
     """Newton boosting on made examples; Platt scaling and the threshold come from a part that no tree has seen.
 
-    The threshold is the least at which the calibration part's precision is at least ``precision``.
+    A kind's threshold is the least at which the precision among its candidates of the calibration part is at least ``precision``.
     """
     x, y = examples(n, seed)
     fit_x, fit_y, cal_x, cal_y = x[: n // 2], y[: n // 2], x[n // 2 :], y[n // 2 :]
@@ -171,27 +196,43 @@ def fit(n: int = 1200, trees: int = 20, rate: float = 0.3, precision: float = 0.
             sides.append((sf, sc, rate * a, rate * b))
             z[rows] += np.where(fit_x[rows, sf] <= sc, rate * a, rate * b)
         made.append((f, c, *sides))
-    raw = Trees(tuple(made), 0.0, (1.0, 0.0), 0.5)
+    raw = Trees(tuple(made), 0.0, (1.0, 0.0), ())
     m = np.array([raw.margin(list(r)) for r in cal_x])
     a, b = 1.0, 0.0
     for _ in range(500):
         p = 1 / (1 + np.exp(-(a * m + b)))
         a, b = a - 0.1 * ((p - cal_y) * m).mean(), b - 0.1 * (p - cal_y).mean()
     p = 1 / (1 + np.exp(-(a * m + b)))
-    good = [t for t in np.unique(p) if cal_y[p >= t].mean() >= precision]
-    return Trees(tuple(made), 0.0, (float(a), float(b)), float(min(good, default=0.99)))
+    thresholds = []
+    for kind in range(len(KINDS)):
+        mine = cal_x[:, 0] == kind
+        good = [t for t in np.unique(p[mine]) if cal_y[mine & (p >= t)].mean() >= precision]
+        thresholds.append(float(min(good, default=1.01)))
+    return Trees(tuple(made), 0.0, (float(a), float(b)), tuple(thresholds))
 
 
 def find_spans(text: str | None, model: Trees) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, float]]]:
     """Base spans, and added ones with their chance: accepted proposals that cross no base span, best first."""
     t = text or ""
     base = sorted(base_spans(t))
-    taken = [(a, b) for _, a, b in base]
-    scored = [(p, s) for s in proposals(t) if not any(a < s[2] and s[1] < b for a, b in taken) and (p := model.chance(features(t, s))) >= model.threshold]
-    added = []
-    for p, s in sorted(scored, key=lambda x: (-x[0], x[1][1], -x[1][2])):
-        if not any(a < s[2] and s[1] < b for a, b in taken):
-            taken.append(s[1:])
+    proposed = proposals(t)
+    if not proposed:
+        return base, []
+    fixed = sorted((a, b) for _, a, b in base)
+    starts, reach = [a for a, _ in fixed], list(accumulate((b for _, b in fixed), max))
+    scored = []
+    for s in proposed:
+        i = bisect_left(starts, s[2])  # base spans that start before its end; does one of them end after its start?
+        if not i or reach[i - 1] <= s[1]:
+            x = features(t, s)
+            if (p := model.chance(x)) >= model.thresholds[s[0]]:
+                scored.append((p, s))
+    added, taken = [], []  # disjoint spans in order
+    # an account number that checks out goes before the numbers that stand in it
+    for p, s in sorted(scored, key=lambda x: (x[1][0] != 6, -x[0], x[1][1], -x[1][2])):
+        i = bisect_left(taken, (s[2], 0))
+        if not i or taken[i - 1][1] <= s[1]:
+            insort(taken, (s[1], s[2]))
             added.append((*s, p))
     return base, sorted(added)
 

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, map_columns
+from .common import encode, labelled_sample, map_columns
 
-#: Most labelled rows, bytes of a text and lines of it that training reads; the content share that keeps a document.
-TRAIN_ROWS, TRAIN_BYTES, TRAIN_LINES, LEAST_SHARE = 1_500, 40_000, 120, 0.5
+#: Most labelled rows, bytes of a text, of all texts, and lines of a text that training reads (it leaves out texts of more);
+#: the content share that keeps a document.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_ALL_BYTES, TRAIN_LINES, LEAST_SHARE = 1_500, 40_000, 16_000_000, 400, 0.5
+#: Evidence, as a log ratio, from which on a line's own features outweigh its document's label.
+EVIDENCE = 3.0
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
@@ -99,29 +104,49 @@ class Crf:
         return out[::-1]
 
 
+def gold_labels(data: list[tuple[list[list[int]], int]]) -> list[list[int]]:
+    """A label for each line of labelled documents (features, quality). No lines are labelled, so a line bears its document's
+    label, unless its own features speak against that by ``EVIDENCE`` or more: by how much more often each is seen among the lines of
+    good documents than among those of bad ones, both labels weighing alike. So a menu in a good document is boilerplate and a
+    paragraph in a bad one is content, and sequences change state where lines do."""
+    k = len(NAMES)
+    seen = np.zeros((2, k))
+    for f, y in data:
+        for on in f:
+            seen[y, on] += 1.0 / len(f)
+    rate = (seen + 0.5) / (seen[:, :1] + 1)
+    log = np.log(rate[1] / rate[0])
+    log[0] = 0.0
+    out = []
+    for f, y in data:
+        evidence = [float(log[on].sum()) for on in f]
+        out.append([1 if e >= EVIDENCE else 0 if e <= -EVIDENCE else y for e in evidence])
+    return out
+
+
 def fit(rows: list[tuple[str | None, int]], rounds: int = 120, rate: float = 0.2, decay: float = 1e-3) -> Crf:
-    """Maximum likelihood by full-batch Adam: a labelled document's lines all bear its quality label.
+    """Maximum likelihood by full-batch Adam on the sequences of :func:`gold_labels`.
 
     Documents are padded to one length and run through forward and backward passes together. Without both
     labels all lines are content.
     """
-    data = [(f, y) for t, y in rows if (f := line_features(encode(t))[0][:TRAIN_LINES])]
+    data = [(f, y) for t, y in rows if 0 < len(f := line_features(encode(t))[0]) <= TRAIN_LINES]
     k = len(NAMES)
     if len({y for _, y in data}) < 2:
         return Crf((1.0,) + (0.0,) * (k - 1), ((0.0, 0.0), (0.0, 0.0)))
     n, length = len(data), max(len(f) for f, _ in data)
     x = np.zeros((n, length, k), np.float32)
     mask = np.zeros((n, length), np.float32)
-    for i, (f, _) in enumerate(data):
+    gold = np.zeros((n, length), np.int8)
+    for i, ((f, _), labels) in enumerate(zip(data, gold_labels(data), strict=True)):
         for j, on in enumerate(f):
             x[i, j, on] = 1
             mask[i, j] = 1
+        gold[i, : len(labels)] = labels
     y = np.array([y for _, y in data])
     share = np.where(y == 1, 0.5 / max((y == 1).sum(), 1), 0.5 / max((y == 0).sum(), 1))  # both labels weigh alike
-    steps = mask[:, 1:].sum(1)
-    gold_emit = np.einsum("n,nlk->k", share * (y == 1), x)
-    gold_move = np.zeros((2, 2))
-    gold_move[0, 0], gold_move[1, 1] = (share * steps * (y == 0)).sum(), (share * steps * (y == 1)).sum()
+    gold_emit = np.einsum("n,nl,nlk->k", share, gold * mask, x)
+    gold_move = np.array([[(share[:, None] * mask[:, 1:] * (gold[:, :-1] == a) * (gold[:, 1:] == b)).sum() for b in (0, 1)] for a in (0, 1)])
     theta = np.zeros(k + 4)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
@@ -160,12 +185,15 @@ def measures(text: str, raw: bytes) -> tuple[int, int, int, int]:
 
 
 def repeated_words(words: list[bytes]) -> int:
-    """Words inside 3-word windows that occur twice or more. Windows compare by a 64-bit mix of their words' hashes."""
+    """Words inside 3-word windows that occur twice or more. Distinct words are numbered, and a window is a number made of three."""
     if len(words) < 4:
         return 0
-    h = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-    with np.errstate(over="ignore"):
-        w = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ (h[1:-1] >> np.uint64(1))) * np.uint64(0xBF58476D1CE4E5B9) + h[1:-1] * np.uint64(0x94D049BB133111EB) ^ h[2:]
+    number = defaultdict(count().__next__)
+    h = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    pairs = h[:-1] * len(number) + h[1:]
+    if len(number) > 2_000_000:  # three numbers in one need less than 63 bits
+        pairs = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+    w = pairs[:-1] * len(number) + h[2:]
     order = w.argsort()
     same = w[order][1:] == w[order][:-1]
     if not same.any():
@@ -203,9 +231,5 @@ def judge(docs: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "text
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality") -> list[tuple[str | None, int]]:
-    """At most ``TRAIN_ROWS`` labelled documents by hash, of texts up to ``TRAIN_BYTES``; nulls are left out."""
-    y = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y is not null")
-    drawn = y.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "y").limit(TRAIN_ROWS)
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
-    got = d.join(F.broadcast(drawn), "id").select("h", "id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(got, key=lambda r: (r.h, r.id, r.y, r.text or ""))]
+    """A bounded sample of labelled documents by hash, see :func:`common.labelled_sample`."""
+    return labelled_sample(docs, labels, doc_id, text, label, TRAIN_ROWS, TRAIN_BYTES, TRAIN_ALL_BYTES)

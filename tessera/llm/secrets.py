@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import STEP, bound, walk
 from .common import cut
 
 # The base patterns, in the order in which kinds are listed.
@@ -26,38 +27,52 @@ class Ownership:
     max_repos: int = 3
 
 
+#: Shares that the rows of one hash are dealt into where they meet its verdict.
+SALT = 16
+
+
 def _hits(text: Column, pattern: str, kind: int, group: int, keep) -> Column:
     """Array of (start, kind, end, value) of a pattern, leftmost non-overlapping, in code points.
 
     The text is split by the pattern; a match starts where the parts and matches before it end.
-    ``keep`` filters on the whole match and the value.
+    ``keep`` filters on the value.
     """
     parts = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    zipped = F.arrays_zip(F.transform(parts, F.length).alias("gap"), whole.alias("match"), value.alias("value"))
+    lengths = lambda xs: F.transform(xs, F.length)
+    zipped = F.arrays_zip(lengths(parts).alias("gap"), lengths(whole).alias("match"), value.alias("value"))
+    some = F.filter(zipped, lambda z: z.match.isNotNull())
+    span = lambda at, z: F.struct((at + z.gap).alias("start"), F.lit(kind).alias("kind"), (at + z.gap + z.match).alias("end"), z.value.alias("value"))
+    walked = bound(some, lambda xs: walk(xs, F.lit(0), lambda at, z: at + z.gap + z.match, span))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-    walked = F.aggregate(
-        F.filter(zipped, lambda z: z.match.isNotNull()),
-        F.struct(F.lit(0).alias("at"), empty.alias("found")),
-        lambda s, z: F.struct(
-            (s.at + z.gap + F.length(z.match)).alias("at"),
-            F.when(keep(z), F.concat(s.found, F.array(F.struct((s.at + z.gap).alias("start"), F.lit(kind).alias("kind"), (s.at + z.gap + F.length(z.match)).alias("end"), z.value.alias("value"))))).otherwise(s.found).alias("found"),
-        ),
-        lambda s: s.found,
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    return F.when(text.rlike(pattern), F.filter(walked, lambda z: keep(z.value))).otherwise(empty)
 
 
 def candidates(text: Column) -> tuple[Column, Column]:
     """Arrays of base spans and of generic ones; a null text has none."""
     t = F.coalesce(text, F.lit(""))
-    yes = lambda z: F.lit(True)
-    base = F.concat(_hits(t, ASSIGN, 0, 2, lambda z: F.length(z.value) >= 6), _hits(t, ACCESS, 1, 0, yes), _hits(t, HEX, 2, 0, yes))
-    mixed = lambda z: z.value.rlike("[0-9]") & z.value.rlike("[A-Za-z]") & (z.value.rlike("[0-9][A-Za-z]+[0-9]|[a-z][A-Z]+[a-z]"))
+    yes = lambda v: F.lit(True)
+    base = F.concat(_hits(t, ASSIGN, 0, 2, lambda v: F.length(v) >= 6), _hits(t, ACCESS, 1, 0, yes), _hits(t, HEX, 2, 0, yes))
+    mixed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (v.rlike("[0-9][A-Za-z]+[0-9]|[a-z][A-Z]+[a-z]"))
     return F.array_sort(base), _hits(t, GENERIC, 3, 0, mixed)
 
 
+def loose(base: Column, generic: Column) -> Column:
+    """Generic spans that cross no base span.
+
+    Along all spans in order, a generic one is crossed from before where a base span ended after its start; going back,
+    it is crossed from behind where a base span starts before its end.
+    """
+    far = F.lit(2**31 - 1)
+    keep = lambda at, x: F.struct(x.alias("x"), at.alias("at"))
+    ahead = F.filter(bound(F.array_sort(F.concat(base, generic)), lambda xs: walk(xs, F.lit(0), lambda at, x: F.when(x.kind < 3, F.greatest(at, x.end)).otherwise(at), keep)), lambda r: (r.x.kind < 3) | (r["at"] <= r.x.start))
+    back = bound(F.reverse(F.transform(ahead, lambda r: r.x)), lambda xs: walk(xs, far, lambda at, x: F.when(x.kind < 3, x.start).otherwise(at), keep))
+    free = F.filter(back, lambda r: (r.x.kind == 3) & (r["at"] >= r.x.end))
+    crossing = F.reverse(F.transform(free, lambda r: r.x))
+    return F.when(F.size(generic) == 0, generic).when(F.size(base) == 0, generic).otherwise(crossing)
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start, s.end)), ",")
@@ -86,18 +101,25 @@ def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", re
     base, generic = candidates(F.col(text))
     found = docs.select(F.col(doc_id).alias("doc_id"), F.col(repo).alias("repo"), F.col(owner).alias("owner"), base.alias("base"), generic.alias("generic"))
     # a generic candidate that crosses a base span is that span's own text
-    loose = F.filter("generic", lambda g: ~F.exists("base", lambda b: (b.start < g.end) & (g.start < b.end)))
-    rows = cut(found.withColumn("generic", loose).withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(found.withColumn("generic", loose(F.col("base"), F.col("generic"))).withColumn("row", F.monotonically_increasing_id()))
     some = rows.filter((F.size("base") > 0) | (F.size("generic") > 0))
-    hashed = some.select("row", "repo", "owner", F.explode(F.concat("base", "generic")).alias("span")).withColumn("hash", F.xxhash64("span.value"))
-    verdict = ownership(hashed, rule)
-    judged = hashed.join(verdict, "hash").groupBy("row").agg(
-        F.count_if("live").alias("n_live"),
-        F.count_if(~F.col("live")).alias("n_example"),
-        F.collect_list(F.when(F.col("live") & (F.col("span.kind") == 3), F.col("span"))).alias("added"),
-    )
-    none = rows.filter((F.size("base") == 0) & (F.size("generic") == 0)).select("doc_id", "base", F.col("generic").alias("added"), F.lit(0).cast("long").alias("n_live"), F.lit(0).cast("long").alias("n_example"))
-    return some.join(judged, "row").select("doc_id", "base", "added", "n_live", "n_example").unionByName(none)
+    judged = live_spans(some, rule).groupBy("row").agg(F.count("*").alias("n_live"), F.collect_list(F.when(F.col("span.kind") == 3, F.col("span"))).alias("added"))
+    all_spans = (F.size("base") + F.size("generic")).cast("long")
+    zero, nothing = F.lit(0).cast("long"), F.slice("generic", 1, 0)
+    none = rows.filter((F.size("base") == 0) & (F.size("generic") == 0)).select("doc_id", "base", F.col("generic").alias("added"), zero.alias("n_live"), zero.alias("n_example"))
+    n_live = F.coalesce("n_live", zero)
+    return some.join(judged, "row", "left").select("doc_id", "base", F.coalesce("added", nothing).alias("added"), n_live.alias("n_live"), (all_spans - n_live).alias("n_example")).unionByName(none)
+
+
+def live_spans(rows: DataFrame, rule: Ownership) -> DataFrame:
+    """``row, span`` of the candidates whose value looks live, from ``row, repo, owner, base, generic``.
+
+    Only live values enter the join, and few rows hold such a value; the rows of a wide one, which meet nothing, are dealt
+    into ``SALT`` shares.
+    """
+    hashed = rows.select("row", "repo", "owner", F.explode(F.concat("base", "generic")).alias("span")).withColumn("hash", F.xxhash64("span.value"))
+    live = ownership(hashed, rule).filter("live").select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    return hashed.withColumn("salt", F.pmod("row", F.lit(SALT)).cast("int")).join(live, ["hash", "salt"], "left_semi").select("row", "span")
 
 
 def report(scanned: DataFrame) -> DataFrame:
@@ -123,27 +145,32 @@ def redact(docs: DataFrame, text: str = "text", repo: str = "doc_id", owner: str
     likely = F.coalesce(F.col(text).rlike(f"{ASSIGN}|{ACCESS}|{HEX}|{GENERIC}"), F.lit(False))
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
     some = cut(_with_spans(docs.filter(likely), names, text, repo, owner))
-    loose = F.filter("generic", lambda g: ~F.exists("base", lambda b: (b.start < g.end) & (g.start < b.end)))
-    some = some.withColumn("generic", loose)
-    hashed = some.select("row", "repo", "owner", F.explode(F.concat("base", "generic")).alias("span")).withColumn("hash", F.xxhash64("span.value"))
-    chosen = (
-        hashed.join(ownership(hashed, rule), "hash")
-        .filter((F.col("span.kind") < 3) | F.col("live"))
-        .groupBy("row")
-        .agg(F.array_sort(F.collect_list("span")).alias("cuts"))
-    )
+    some = some.withColumn("generic", loose(F.col("base"), F.col("generic")))
+    live = live_spans(some, rule).filter("span.kind = 3").groupBy("row").agg(F.collect_list("span").alias("live"))
     t = F.col(names[text])
     # overlapping spans are masked once: what follows starts at the furthest end so far
-    done = F.aggregate(
-        "cuts",
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda s, x: F.when(x.end <= s.at, s).otherwise(F.struct(x.end.alias("at"), F.concat(s.out, F.when(x.start >= s.at, F.concat(F.substring(t, s.at + 1, x.start - s.at), F.lit(mask))).otherwise(F.lit(""))).alias("out"))),
-        lambda s: F.concat(s.out, F.substring(t, s.at + 1, F.length(t))),
-    )
-    fixed = some.join(chosen, "row", "left").withColumn(names[text], F.when(F.col("cuts").isNull(), t).otherwise(done))
+    walked = walk(F.col("cuts"), F.lit(0), lambda at, x: F.greatest(at, x.end), lambda at, x: F.struct(at.alias("begin"), x.start.alias("end")))
+    kept = F.filter(walked, lambda g: g.begin <= g.end)
+    furthest = F.array_max(F.transform("cuts", lambda x: x.end))
+    done = F.concat(bound(kept, lambda gaps: _pasted(t, gaps, mask)), F.substring(t, furthest + 1, F.length(t)))
+    cuts = F.array_sort(F.concat("base", F.coalesce("live", F.slice("generic", 1, 0))))
+    fixed = some.join(live, "row", "left").withColumn("cuts", cuts).withColumn(names[text], F.when(F.size("cuts") == 0, t).otherwise(done))
     return docs.filter(~likely).unionByName(fixed.select(*[F.col(v).alias(k) for k, v in names.items()]))
 
 
+def _pasted(text: Column, gaps: Column, mask: str) -> Column:
+    """The pieces of a text named by ``gaps``, a mask behind each. A piece is found from its text's beginning on, so ``STEP``
+    pieces at a time are first cut out together."""
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(gaps) - 1) / STEP).cast("int")), lambda i: F.slice(gaps, i * STEP + 1, STEP))
+
+    def paste(p: Column) -> Column:
+        first = F.element_at(p, 1).begin
+        block = F.substring(text, first + 1, F.element_at(p, -1).end - first)
+        return bound(block, lambda b: F.array_join(F.transform(p, lambda g: F.concat(F.substring(b, g.begin - first + 1, g.end - g.begin), F.lit(mask))), ""))
+
+    return F.array_join(F.transform(parts, paste), "")
+
+
 def _with_spans(docs: DataFrame, names: dict[str, str], text: str, repo: str, owner: str) -> DataFrame:
     base, generic = candidates(F.col(text))
     return docs.select(

@@ -11,11 +11,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encode, map_columns
+from .common import encode, labelled_sample, map_columns
 
-#: Most labelled rows and most bytes of one of them that training reads, and most words in the model.
-TRAIN_ROWS, TRAIN_BYTES, MODEL_WORDS, LEAST_DOCS = 6_000, 40_000, 60_000, 8
-THRESHOLD = 0.3
+#: Most labelled rows, bytes of one text and of all that training reads, most words in the model, and fewest documents of a word.
+TRAIN_ROWS, TRAIN_BYTES, TRAIN_ALL_BYTES, MODEL_WORDS, LEAST_DOCS = 6_000, 40_000, 24_000_000, 60_000, 8
+#: From these scores on a document is rejected, and a sentence is named as offending.
+THRESHOLD, OFFENDING = 0.3, 0.15
 #: The most that a model scores which had no two labels to learn from.
 UNLEARNT = 0.25
 #: Words whose weight a worker remembers.
@@ -77,12 +78,11 @@ class Model:
         of = self._seen.__getitem__
         return [1 / (1 + math.exp(-max(-40.0, min(40.0, self.bias + sum(map(of, s)))))) for s in sentences(text)]
 
-    def score(self, text: str | None) -> tuple[float, int, float]:
-        """The document's score, its worst sentence (-1: none) and that sentence's own score."""
+    def score(self, text: str | None) -> tuple[float, list[float]]:
+        """The document's score and those of its sentences with words."""
         p = self.sentence_scores(text)
         log = math.log1p(-self.leak) + sum(math.log1p(-min(x, 1 - 1e-12)) for x in p)
-        worst = max(range(len(p)), key=p.__getitem__, default=-1)
-        return min(1.0, max(0.0, -math.expm1(log))), worst, p[worst] if p else 0.0
+        return min(1.0, max(0.0, -math.expm1(log))), p
 
 
 def fit(rows: list[tuple[str | None, int]], rounds: int = 150, rate: float = 0.15, decay: float = 5e-5) -> Model:
@@ -129,16 +129,11 @@ def fit(rows: list[tuple[str | None, int]], rounds: int = 150, rate: float = 0.1
 def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", held_out: bool = True) -> list[tuple[str | None, int]]:
     """A bounded sample of labelled documents by hash, without the held-out quarter (crc32 of the id mod 4 is 2).
 
-    At most ``TRAIN_ROWS`` rows, of texts up to ``TRAIN_BYTES``: both bounds are of the fit alone. Null labels are left out.
+    The bounds of :func:`common.labelled_sample` are of the fit alone.
     """
-    y = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).filter("id is not null and y is not null")
     if held_out:
-        y = y.filter(~is_held_out("id"))
-    # the ids are drawn first, so that only drawn documents carry their texts through the join
-    drawn = y.withColumn("h", F.xxhash64("id")).orderBy("h", "id", "y").limit(TRAIN_ROWS)
-    d = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
-    got = d.join(F.broadcast(drawn), "id").select("h", "id", "text", "y").collect()
-    return [(r.text, r.y) for r in sorted(got, key=lambda r: (r.h, r.id, r.y, r.text or ""))]
+        labels = labels.filter(~is_held_out(doc_id))
+    return labelled_sample(docs, labels, doc_id, text, label, TRAIN_ROWS, TRAIN_BYTES, TRAIN_ALL_BYTES)
 
 
 def is_held_out(column: str):
@@ -146,18 +141,30 @@ def is_held_out(column: str):
 
 
 def score_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document row: ``doc_id, held_out, score, predicted, n_sentences, worst_sentence, worst_score``.
+    """One row per document row: ``doc_id, held_out, score, predicted, n_sentences, offending, worst_sentence, worst_score``.
 
-    The whole text is scored; ids, languages and sources are no input. Null and empty texts get the leak.
-    ``worst_sentence`` counts sentences with words from 0, -1 where there are none.
+    The whole text is scored; ids, languages and sources are no input. Null and empty texts get the leak. Sentences with
+    words count from 0. ``offending`` are all whose own score is ``OFFENDING`` or more, ``worst_sentence`` is the one of the highest score (-1 and
+    score 0 where there is none).
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(c: dict[str, list]) -> dict[str, list]:
         got = [shared.value.score(t) for t in c["text"]]
-        return {"doc_id": c["doc_id"], "held_out": c["held_out"], "score": [s for s, _, _ in got], "predicted": [int(s >= threshold) for s, _, _ in got], "worst_sentence": [w for _, w, _ in got], "worst_score": [p for _, _, p in got]}
-
-    return map_columns(docs.select(F.col(doc_id).alias("doc_id"), is_held_out(doc_id).alias("held_out"), F.col(text).alias("text")), run, "doc_id long, held_out boolean, score double, predicted int, worst_sentence int, worst_score double")
+        worst = [max(range(len(p)), key=p.__getitem__, default=-1) for _, p in got]
+        return {
+            "doc_id": c["doc_id"],
+            "held_out": c["held_out"],
+            "score": [s for s, _ in got],
+            "predicted": [int(s >= threshold) for s, _ in got],
+            "n_sentences": [len(p) for _, p in got],
+            "offending": [[i for i, x in enumerate(p) if x >= OFFENDING] for _, p in got],
+            "worst_sentence": worst,
+            "worst_score": [p[w] if p else 0.0 for (_, p), w in zip(got, worst, strict=True)],
+        }
+
+    columns = "doc_id long, held_out boolean, score double, predicted int, n_sentences int, offending array<int>, worst_sentence int, worst_score double"
+    return map_columns(docs.select(F.col(doc_id).alias("doc_id"), is_held_out(doc_id).alias("held_out"), F.col(text).alias("text")), run, columns)
 
 
 def clean_filter(spark, model: Model, threshold: float = THRESHOLD):
