@@ -106,8 +106,8 @@ class Crf:
 
 def gold_labels(data: list[tuple[list[list[int]], int]]) -> list[list[int]]:
     """A label for each line of labelled documents (features, quality). No lines are labelled, so a line bears its document's
-    label, unless its own features speak against that by ``EVIDENCE`` or more: by how much more often each is seen among the lines of
-    good documents than among those of bad ones, both labels weighing alike. So a menu in a good document is boilerplate and a
+    label, unless its own features, those it has and those it hasn't, speak against that by ``EVIDENCE`` or more: by how much more
+    often each is seen among the lines of good documents than among those of bad ones, both labels weighing alike. So a menu in a good document is boilerplate and a
     paragraph in a bad one is content, and sequences change state where lines do."""
     k = len(NAMES)
     seen = np.zeros((2, k))
@@ -115,11 +115,11 @@ def gold_labels(data: list[tuple[list[list[int]], int]]) -> list[list[int]]:
         for on in f:
             seen[y, on] += 1.0 / len(f)
     rate = (seen + 0.5) / (seen[:, :1] + 1)
-    log = np.log(rate[1] / rate[0])
-    log[0] = 0.0
+    on_log, off_log = np.log(rate[1] / rate[0]), np.log((1 - rate[1]) / (1 - rate[0]))
+    on_log[0] = off_log[0] = 0.0  # the feature that all lines have
     out = []
     for f, y in data:
-        evidence = [float(log[on].sum()) for on in f]
+        evidence = [float(off_log.sum() + (on_log - off_log)[on].sum()) for on in f]
         out.append([1 if e >= EVIDENCE else 0 if e <= -EVIDENCE else y for e in evidence])
     return out
 
