@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_surface
 
 #: Connectors that may join fragments of one mention.
-CONNECTOR = r"^[-‐‑‒–/]*$"
+CONNECTOR = r"\A[-‐‑‒–/]*\z"
 
 
 def resolve_aliases(aliases: DataFrame) -> DataFrame:
