@@ -233,12 +233,17 @@ def test_quality_finds_planted_boilerplate(spark):
 
     made = [(doc(i % 2 == 0), int(i % 2 == 0)) for i in range(400)]
     model = quality.fit([(t, y) for (t, _), y in made[:300]])
-    right = total = kept = 0
-    for (t, labels), y in made[300:]:
+    right = total = 0
+    for (t, labels), _ in made[300:]:
         got = model.viterbi(quality.line_features(t.encode())[0])
         right, total = right + sum(a == b for a, b in zip(got, labels, strict=True)), total + len(labels)
-        kept += quality.judge(spark.createDataFrame([(1, t)], "doc_id long, text string"), model).collect()[0].kept == bool(y) if total < 300 else 1
-    assert right / total > 0.97 and kept == 100
+    assert right / total > 0.97
+    rows = spark.createDataFrame([(i, t) for i, ((t, _), _) in enumerate(made[300:])], "doc_id long, text string")
+    for r in quality.judge(rows, model).collect():
+        (t, labels), _ = made[300 + r.doc_id]
+        sizes = [len(line.split()) for line in t.split("\n")]
+        share = sum(n for n, y in zip(sizes, labels, strict=True) if y) / sum(sizes)
+        assert abs(r.content_share - share) < 0.2 and (abs(share - 0.5) < 0.2 or r.kept == (share > 0.5 and not r.base_failed))
     golds = quality.gold_labels([(quality.line_features(t.encode())[0], y) for (t, _), y in made[:300]])
     assert sum(len(set(g)) == 2 for g in golds) > 200
 
@@ -346,7 +351,8 @@ def test_passages_whose_parts_occur_in_earlier_documents(spark):
     got = passages.find_passages(rows).collect()
     n = len(parts)
     places = {(r.doc_id, r.start, r.end) for r in got} | {(r.ref_id, r.ref_start, r.ref_end) for r in got}
-    assert places == {(n + 12 * k + i, 10 + 3 * i, 60 + 4 * i) for k in (0, 1, 2) for i in range(12)} and len(got) == 24
+    assert places == {(n + 12 * k + i, 10 + 3 * i, 60 + 4 * i) for k in (0, 1, 2) for i in range(12)}
+    assert len({frozenset((r.doc_id, r.ref_id)) for r in got}) == 24  # a first holder and the last may name each other
     assert all((r.doc_id - r.ref_id) % 12 == 0 for r in got)
 
 
@@ -393,7 +399,9 @@ def test_runs_equal_brute_force():
         held = [set(v.tolist()) for v, _ in found]
         got = []
         for x, (v, at) in zip(h, found, strict=True):
-            got.append(passages.runs(x, passages.np.array([p for s, p in zip(v.tolist(), at.tolist(), strict=True) if s in held[0] & held[1]], int), 50))
+            both = passages.np.array([s in held[0] & held[1] for s in v.tolist()], bool)
+            where = passages.stretches(at[both], passages.reaches(at, len(x))[both], 50) if both.any() else []
+            got.append(passages.runs(x, where, 50))
         grams = [{} for _ in docs]
         for d, g in zip(docs, grams, strict=True):
             for i in range(len(d) - 49):
