@@ -245,7 +245,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     sequence of lower-cased words are one class; classes meet where all minima of a band agree, those of too unlike sizes or
     fingerprints are discarded, and the shingles of the others decide. In a bucket each class is first compared with one
     of the bucket's own, for ``STAR_ROUNDS`` rounds with another one each; then all pairs that still stand in
-    different components, except within the component that holds most of the bucket. So a bucket of many copies costs a line
+    different components, except within the component that holds most of the bucket; what each text lost and gained against a pivot
+    of the bucket gives their shared shingles inside the join. So a bucket of many copies costs a line
     and no pair of a bucket that could join two groups is left out. Buckets are met by equi-joins behind partial
     aggregates, which split a bucket of any size. Null and empty texts are copies of each other. The first document has the
     group's least id (then text hash); a group without any id has its least text hash.
@@ -254,8 +255,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     prints = Cut(sketches(docs, doc_id, text))
     classes = Cut(prints.df.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), *[F.first(c).alias(c) for c in (*small[1:], "bands")]))
     rows = Cut(classes.df.select(*small, F.explode("bands").alias("h")))
-    shared = rows.df.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
-    held = Cut(rows.df.join(shared, "h").select("h", *small))
+    met_twice = rows.df.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
+    held = Cut(rows.df.join(met_twice, "h").select("h", *small))
     rows.drop()
     wanted = classes.df.select("node", "first").join(held.df.select("node").distinct(), "node", "left_semi")
     sets = Cut(_shingle_sets(docs, doc_id, text, wanted))
@@ -290,16 +291,29 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         now = held.df.join(group.df, held.df["node"] == group.df["node"], "left").select("h", *[held.df[c] for c in small], F.coalesce("component", held.df["node"]).alias("c"))
     main = now.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("groups")).filter("groups > 1").select("h", "main")
     mixed = Cut(now.join(main, "h").withColumn("in_main", F.col("c") == F.col("main")))
-    a, b = mixed.df.filter("not in_main").alias("a"), mixed.df.alias("b")
+    # one of the bucket's main component is its pivot: what two texts lost and gained against it says what they share
+    pivot = Cut(mixed.df.filter("in_main").groupBy("h").agg(F.min_by("node", F.xxhash64("node")).alias("pivot")))
+    held_by = mixed.df.join(pivot.df, "h").select("node", "pivot").distinct()
+    one, two = sets.df.select("node", F.col("sh").alias("x")), sets.df.select(F.col("node").alias("pivot"), F.col("sh").alias("y"))
+    against = held_by.join(one, "node").join(two, "pivot").select("node", "pivot", F.array_except("y", "x").alias("lost"), F.array_except("x", "y").alias("gained"), F.size("y").alias("whole"))
+    profiled = Cut(mixed.df.join(pivot.df, "h").join(against, ["node", "pivot"]).drop("pivot", "main"))
+    a, b = profiled.df.filter("not in_main").alias("a"), profiled.df.alias("b")
     apart = (F.col("a.c") != F.col("b.c")) & (F.col("b.in_main") | (F.col("a.node") < F.col("b.node")))
-    found.append(verified(a.join(b, (F.col("a.h") == F.col("b.h")) & apart & like("a", "b"))))
+    both_lost = F.size("a.lost") + F.size("b.lost") - F.size(F.array_intersect("a.lost", "b.lost"))
+    shared = F.col("a.whole") - both_lost + F.size(F.array_intersect("a.gained", "b.gained"))
+    similar = shared * (p + q) >= (F.col("a.n") + F.col("b.n")) * p
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & apart & like("a", "b") & similar)
+    found.append(Cut(met.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()))
     group = grouped(found)
-    for x in (held, sets, mixed, *found):
+    for x in (held, sets, mixed, pivot, profiled, *found):
         x.drop()
     node = classes.df.select(F.col("node").alias("own")).join(group.df, F.col("own") == group.df["node"], "left").select(F.col("own").alias("node"), F.coalesce("component", "own").alias("c"))
-    rows_of = prints.df.select("doc_id", "raw", "node").join(node, "node").select("doc_id", "raw", "c")
-    first = rows_of.groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("least"))
-    return rows_of.join(first, "c").select("doc_id", "raw", F.col("least.doc_id").alias("first_id"), F.col("least.raw").alias("first_raw"))
+    # by class first, then by group: rows of a class of any size meet its name in a plain join
+    of_class = Cut(prints.df.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "raw")).alias("least")).join(node, "node"))
+    first = of_class.df.groupBy("c").agg(F.min("least").alias("first"))
+    named = Cut(of_class.df.join(first, "c").select("node", F.col("first.doc_id").alias("first_id"), F.col("first.raw").alias("first_raw")))
+    of_class.drop()
+    return prints.df.join(named.df, "node").select("doc_id", "raw", "first_id", "first_raw")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
