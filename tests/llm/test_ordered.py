@@ -133,3 +133,51 @@ def test_features_of_awkward_rows(spark):
         assert rows == want
     none = features.point_in_time(*(d.limit(0) for d in frames.values()))
     assert none.count() == 0 and none.columns[:4] == ["sale_id", "d", "t_us", "label"]
+
+
+def test_id_blocks_round_trip():
+    """Blocks of every kind come back; a changed, cut or foreign block is refused."""
+    from tessera.llm import idcoder
+
+    rng = np.random.default_rng(3)
+    common = rng.zipf(1.3, 20_000) % 49_408
+    blocks = [common[i : i + idcoder.BLOCK] for i in range(0, len(common), idcoder.BLOCK)]
+    blocks += [np.zeros(0, np.int64), np.array([0]), np.array([49_407] * 4096), rng.permutation(49_408)[:4096], np.tile(rng.integers(0, 49_408, 7), 500), np.array([(1 << 31) - 1, 0])]
+    data = idcoder.encode(blocks)
+    assert all(np.array_equal(a, b) for a, b in zip(blocks, idcoder.decode(data), strict=True))
+    assert [list(idcoder.decode([d]))[0].tolist() for d in data] == [b.tolist() for b in blocks]  # each alone
+    assert len(data[-4]) < 64 and len(data[-2]) < 300  # one id, and a period: learnt
+    for bad in (b"", data[0][:10], b"XX1" + data[0][3:], data[0][:-40], data[0][:200] + bytes([data[0][200] ^ 1]) + data[0][201:]):
+        with pytest.raises(ValueError):
+            list(idcoder.decode([bad]))
+
+
+def _plain_ids(rows):
+    """The library's own ids of whole texts."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokens.vocabulary("word_bpe_49k.json"))
+    return [[*t.encode(r["text"] or "", add_special_tokens=False).ids, tokens.END] for r in rows]
+
+
+def test_ids_by_the_library(spark, awkward, tmp_path):
+    """Whole tables and awkward rows against the tokenizer on whole texts: order, places, counts, checksums and the ids themselves."""
+    odd = ["a|b | c||", "É é ́x", "x y z\u0085w\x1cq", "<|startoftext|>|", "ΑΣ ΣΑ Σ", "'s don't |'ll", "\r\n\t", "1234 ١٢", "😀😀 ﬁ Ⅳ"]
+    extra = spark.createDataFrame([(100 + i, s, None, None, None, None, None) for i, s in enumerate(odd)], SCHEMA)
+    long = spark.createDataFrame([(200, "very long text " * 9000, None, None, None, None, None)], SCHEMA)
+    for docs in (awkward.unionByName(extra).unionByName(long), table(spark, "/root/testdata/sf0.001", "documents")):
+        folder = tokens.write_ids(docs, tokens.vocabulary("word_bpe_49k.json"))
+        rows = sorted((r.asDict() for r in docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["h"]))
+        want, start = [], 0
+        plain = _plain_ids(rows)
+        for r, ids in zip(rows, plain, strict=True):
+            want.append((r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        got = sorted((tuple(r) for r in tokens.document_digests(spark, folder).collect()), key=lambda r: r[1])
+        assert got == want
+        back = {}
+        for r in tokens.read_ids(spark, folder).orderBy("part", "first").collect():
+            back.setdefault((r.part, r["at"]), []).extend(r.ids)
+        assert [back[k] for k in sorted(back)] == plain
+    none = tokens.write_ids(awkward.limit(0), tokens.vocabulary("word_bpe_49k.json"), str(tmp_path / "none"))
+    assert tokens.document_digests(spark, none).count() == 0 and Path(none).exists()
