@@ -149,50 +149,51 @@ def pair_id(*parts: Column, letter: str = "p") -> Column:
     return F.concat(F.lit(letter), F.substring(F.sha2(F.concat_ws("|", *[p.cast("string") for p in parts]), 256), 1, 12))
 
 
-def greedy_batch(pool: DataFrame, stratum: str, quotas: dict[str, int], caps: dict[tuple[str, ...], int], seed: str, key: list[str], reach: int = 3) -> DataFrame:
+def greedy_batch(pool: DataFrame, stratum: str, quotas: dict[str, int], caps: dict[tuple[str, ...], int], seed: str, key: list[str]) -> DataFrame:
     """A seeded batch: strata in the stated order, each row in hash order, taken while every value of the capped columns has room.
 
-    ``caps`` names columns that share a counter, as (paper_a, paper_b) do. The pass is sequential by nature, and whether a row is
-    taken depends on those before it alone: so it runs in one task on the first ``reach`` times the quota of each stratum, and
-    where a quota isn't filled again on twice as many, until it is or the pool ends. A stratum that comes short of its quota on the whole
-    pool raises. Strata take from each other's room, so all are read to one depth.
+    ``caps`` names columns that share a counter, as (paper_a, paper_b) do; a null counts as a value. A stratum's quota is the cap of
+    its name. The pass by rows is done by rounds instead, with the same result: a row that stands, for each of its values, among
+    as many first open rows as the value has room is taken, whatever becomes of those before it; then rows of values
+    without room are closed. The first open row is always such a row. Of a value, however frequent, no more than its cap of rows passes a
+    partial limit. The driver holds the taken rows alone, which are as many as the quotas say; a stratum that comes
+    short raises.
     """
-    draw = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]))
-    strata = list(quotas)
-    named = written(pool.filter(F.col(stratum).isin(*strata)).withColumn("_draw", draw))
-    n = {r[0]: r[1] for r in named.groupBy(stratum).agg(F.count("*")).collect()}
-    depth = reach * max(quotas.values())
-    while True:
-        taken = _greedy(first_by(named, [stratum], ["_draw", *key], depth), pool.schema, stratum, quotas, caps, key)
-        # at most the sum of the quotas
-        rows = taken.collect()
-        short = {s: k for s in strata if (k := sum(r[stratum] == s for r in rows)) < quotas[s]}
-        if not short:
-            return pool.sparkSession.createDataFrame(rows, pool.schema)
-        if all(n.get(s, 0) <= depth for s in strata):
-            raise ValueError(f"strata short of their quota: {short}")
-        depth *= 2
-
-
-def _greedy(few: DataFrame, schema, stratum: str, quotas: dict[str, int], caps: dict[tuple[str, ...], int], key: list[str]) -> DataFrame:
     strata = list(quotas)
-
-    def run(frames):
-        import pandas as pd
-
-        rows = pd.concat(list(frames))
-        rows = rows.assign(_at=rows[stratum].map(strata.index)).sort_values(["_at", "_draw", *key]).reset_index(drop=True)
-        used: dict = {}
-        taken: list[int] = []
-        count = dict.fromkeys(strata, 0)
-        for i, row in enumerate(rows.to_dict("records")):
-            s = row[stratum]
-            wanted = [(columns, v) for columns in caps for v in {row[c] for c in columns}]
-            if count[s] < quotas[s] and all(used.get((c, v), 0) < caps[c] for c, v in wanted):
-                for w in wanted:
-                    used[w] = used.get(w, 0) + 1
-                count[s] += 1
-                taken.append(i)
-        yield rows.iloc[taken].drop(columns=["_at", "_draw"])
-
-    return few.coalesce(1).mapInPandas(run, schema)
+    draw = F.md5(F.concat_ws("|", F.lit(seed), *[F.col(k).cast("string") for k in key]))
+    at = F.array_position(F.array(*map(F.lit, strata)), F.col(stratum))
+    none = F.lit("\0")
+    value = lambda kind, c: F.concat(F.lit(f"{kind}|"), F.coalesce(F.col(c).cast("string"), none))
+    of = F.array_distinct(F.array(*(value(i, c) for i, columns in enumerate(caps) for c in columns), value("s", stratum)))
+    base = written(pool.filter(F.col(stratum).isin(*strata)).withColumns({"_values": of, "_row": F.monotonically_increasing_id(), "_at": at, "_draw": draw}))
+    limits = {f"{i}|": cap for i, cap in enumerate(caps.values())}
+    limit_of = lambda v: quotas[v[2:]] if v[:2] == "s|" else limits[v[: v.index("|") + 1]]
+    most = max([*quotas.values(), *caps.values()])
+    taken, used = [], {}
+    while len(taken) < sum(quotas.values()):
+        rest = base.filter(~F.col("_row").isin([r["_row"] for r in taken]))
+        ready = _first_of_all(rest, used, limit_of, limits, quotas, most, ["_at", "_draw", *key, "_row"]).collect()
+        if not ready:
+            break
+        for r in ready:
+            for v in r["_values"]:
+                used[v] = used.get(v, 0) + 1
+        taken += ready
+    short = {s: quotas[s] - n for s in strata if (n := sum(r[stratum] == s for r in taken)) < quotas[s]}
+    if short:
+        raise ValueError(f"strata short of their quota: {short}")
+    return pool.sparkSession.createDataFrame([tuple(r[c] for c in pool.columns) for r in taken], pool.schema)
+
+
+def _first_of_all(base: DataFrame, used: dict[str, int], limit_of, limits: dict[str, int], quotas: dict[str, int], most: int, order: list[str]) -> DataFrame:
+    """The open rows that stand among the first of all their values, as far as there is room. ``used`` holds values of taken rows only."""
+    spark = base.sparkSession
+    counted = spark.createDataFrame([(v, n, n >= limit_of(v)) for v, n in used.items()], "_v string, _used int, _full boolean")
+    each = base.select(*order, F.explode("_values").alias("_v")).join(F.broadcast(counted), "_v", "left")
+    cap = F.coalesce(*(F.when(F.col("_v").startswith(p), c) for p, c in limits.items()), *(F.when(F.col("_v") == f"s|{s}", q) for s, q in quotas.items()))
+    # values without room close their rows
+    shut = each.filter("_full").select("_row").distinct()
+    open_ = each.join(shut, "_row", "left_anti")
+    by = Window.partitionBy("_v").orderBy(*order)
+    first = open_.withColumn("_rn", F.row_number().over(by)).filter(F.col("_rn") <= most).filter(F.col("_rn") <= cap - F.coalesce("_used", F.lit(0)))
+    return base.join(first.groupBy("_row").agg(F.count("*").alias("_n")), "_row").filter(F.col("_n") == F.size("_values"))

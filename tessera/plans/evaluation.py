@@ -145,15 +145,39 @@ def signals(s: Substrate) -> DataFrame:
     return x.select("claim_a", "claim_b", F.array_join(corpora.pair_signals(F.col("question"), F.col("text_a"), F.col("text_b")), ",").alias("signals"))
 
 
-@case("r1_greedy_pairs")
+def _greedy_sql(pool: str, stratum: str, quotas: dict[str, int], caps: dict[tuple[str, ...], int], key: list[str], shown: str) -> str:
+    """The greedy pass row by row: each step goes on to the next row all of whose values have room."""
+    at = "case " + " ".join(f"when {stratum} = '{q}' then {i}" for i, q in enumerate(quotas)) + " end"
+    quota = "case " + " ".join(f"when {stratum} = '{q}' then {n}" for q, n in quotas.items()) + " end"
+    values = [f"{{'v': '{i}|' || {c}, 'cap': {n}}}" for i, (columns, n) in enumerate(caps.items()) for c in columns] + [f"{{'v': 's|' || {stratum}, 'cap': {quota}}}"]
+    return f""", pool as (
+      select *, row_number() over (order by {at}, md5(concat_ws('|', 'seed', {", ".join(key)})), {", ".join(key)}) as o, [{", ".join(values)}] as vals from ({pool}) where {at} is not null),
+    steps as (
+      select 0::bigint as o, []::varchar[] as used
+      union all
+      select n.o, list_concat(used, n.names) from (
+        select used, (select min(o) from pool where pool.o > steps.o and len(list_filter(vals, lambda x: len(list_filter(steps.used, lambda u: u = x.v)) >= x.cap)) = 0) as next from steps) s
+      join (select o, list_transform(vals, lambda x: x.v) as names from pool) n on n.o = s.next)
+    select {shown} from pool where o in (select o from steps)"""
+
+
+_PAIR_BATCH = _greedy_sql("select key, paper_a, paper_b, label from usable", "label", {"contradiction": 5, "agreement": 5}, {("paper_a", "paper_b"): 1, ("key",): 1}, ["key", "paper_a", "paper_b"], "key, paper_a, paper_b, label")
+_CLAIM_BATCH = _greedy_sql("select * from claim_pairs", "label", {"contradiction": 15, "agreement": 10}, {("claim_a", "claim_b"): 1, ("question_id",): 3}, ["claim_a", "claim_b"], "question_id, claim_a, claim_b, label")
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("with ", "with recursive ", 1)
+
+
+@case("r1_greedy_pairs", _recursive(_with("cand", "papers") + f", usable as ({_USABLE})" + _PAIR_BATCH))
 def greedy(s: Substrate) -> DataFrame:
     pool = _usable(s).select("key", "paper_a", "paper_b", "label")
-    return corpora.greedy_batch(pool, "label", {"contradiction": 5, "agreement": 5}, {("paper_a", "paper_b"): 1, ("key",): 1}, "seed", ["key", "paper_a", "paper_b"], reach=20)
+    return corpora.greedy_batch(pool, "label", {"contradiction": 5, "agreement": 5}, {("paper_a", "paper_b"): 1, ("key",): 1}, "seed", ["key", "paper_a", "paper_b"])
 
 
-@case("r2_claim_batch")
+@case("r2_claim_batch", _recursive(_with("papers") + f", {_CLAIMS}, {_CLAIM_PAIRS}" + _CLAIM_BATCH))
 def batch(s: Substrate) -> DataFrame:
-    return corpora.greedy_batch(corpora.claim_pairs(_claims(s)), "label", {"contradiction": 15, "agreement": 10}, {("claim_a", "claim_b"): 1, ("question_id",): 3}, "seed", ["claim_a", "claim_b"], reach=20)
+    return corpora.greedy_batch(corpora.claim_pairs(_claims(s)), "label", {"contradiction": 15, "agreement": 10}, {("claim_a", "claim_b"): 1, ("question_id",): 3}, "seed", ["claim_a", "claim_b"])
 
 
 @case("v1_pair_violations", _with("cand", "acc") + "select c.key, paper_a, paper_b from cand c left join acc a on a.key = c.key and a.paper_id = paper_a left join acc b on b.key = c.key and b.paper_id = paper_b where paper_a >= paper_b or label is distinct from case when len(a.directions) = 1 and len(b.directions) = 1 then case when a.directions = b.directions then 'agreement' else 'contradiction' end end")

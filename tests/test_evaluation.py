@@ -1,5 +1,6 @@
 """Pair corpora, selections, evidence and text measures on small rows, against plain versions, and queries against SQL."""
 
+import random
 from datetime import date
 from itertools import combinations
 
@@ -63,7 +64,7 @@ def test_violations_are_found(spark):
 
 def test_greedy_batch_reads_on_until_its_quota_is_filled(spark):
     pool = spark.createDataFrame([(0 if i % 50 else i, i, "x") for i in range(1, 400)], "a long, b long, label string")
-    got = corpora.greedy_batch(pool, "label", {"x": 8}, {("a",): 1}, "s", ["a", "b"], reach=1).collect()
+    got = corpora.greedy_batch(pool, "label", {"x": 8}, {("a",): 1}, "s", ["a", "b"]).collect()
     assert len(got) == 8 and len({r.a for r in got}) == 8
 
 
@@ -119,7 +120,7 @@ def test_signals(spark):
 
 def test_greedy_batch_honours_caps_and_raises_when_short(spark):
     pool = spark.createDataFrame([(a, b, f"k{(a * b) % 5}", "x" if (a + b) % 2 else "y") for a in range(12) for b in range(a + 1, 12)], "a long, b long, key string, label string")
-    run = lambda q: corpora.greedy_batch(pool, "label", q, {("a", "b"): 1, ("key",): 2}, "s", ["a", "b"], reach=40)
+    run = lambda q: corpora.greedy_batch(pool, "label", q, {("a", "b"): 1, ("key",): 2}, "s", ["a", "b"])
     got = run({"x": 2, "y": 2}).collect()
     papers = [v for r in got for v in (r.a, r.b)]
     assert len(got) == 4 and len(set(papers)) == 8 and max(sum(r.key == k for r in got) for k in {r.key for r in got}) <= 2
@@ -128,6 +129,34 @@ def test_greedy_batch_honours_caps_and_raises_when_short(spark):
         run({"x": 30, "y": 2}).collect()
 
 
+def test_greedy_rounds_equal_the_pass_by_rows(spark):
+    """Against the sequential pass, over hot values, shared counters, nulls, repeated rows and caps above one."""
+    import hashlib
+
+    def plain(rows, quotas, caps):
+        draw = lambda r: hashlib.md5("|".join(["s", *(str(r[c]) for c in "ab" if r[c] is not None)]).encode()).hexdigest()
+        small = lambda v: (v is not None, v or 0)
+        used, count, out = {}, dict.fromkeys(quotas, 0), []
+        for r in sorted((r for r in rows if r["label"] in quotas), key=lambda r: (list(quotas).index(r["label"]), draw(r), small(r["a"]), small(r["b"]))):
+            wanted = {(c, r[x]) for c in caps for x in c}
+            if count[r["label"]] < quotas[r["label"]] and all(used.get(w, 0) < caps[w[0]] for w in wanted):
+                count[r["label"]] += 1
+                out.append(tuple(r.values()))
+                for w in wanted:
+                    used[w] = used.get(w, 0) + 1
+        return out
+
+    rng = random.Random(4)
+    for caps in ({("a", "b"): 1}, {("a", "b"): 2, ("key",): 3}, {("a",): 1, ("b",): 4}):
+        pick = lambda n: rng.choice([None, 0, *range(n)])
+        rows = [{"a": pick(60), "b": pick(60), "key": f"k{rng.randrange(9)}", "label": rng.choice("xyz")} for _ in range(900)]
+        rows += rows[:40]
+        pool = spark.createDataFrame([tuple(r.values()) for r in rows], "a long, b long, key string, label string")
+        quotas = {"y": 7, "x": 5}
+        got = corpora.greedy_batch(pool, "label", quotas, caps, "s", ["a", "b"]).collect()
+        assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, plain(rows, quotas, caps)))
+
+
 def test_padding_reaches_the_budget(spark):
     rows = spark.range(500).withColumnRenamed("id", "k")
     base = rows.filter("k < 10")
