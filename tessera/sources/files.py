@@ -103,8 +103,8 @@ def claims(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("_PMID").alias("pmid"), F.col("_QUESTION").alias("question"), F.col("_ASSERTION").alias("assertion"), F.col("_TYPE").alias("kind"), F.trim("_VALUE").alias("text"))
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.split(F.rtrim("value"), "\t", -1).alias("c"))
+def _fields(rows: DataFrame) -> DataFrame:
+    return rows.select(F.split(F.rtrim("value"), "\t", -1).alias("c"))
 
 
 def _ids(raw: Column) -> Column:
@@ -113,20 +113,35 @@ def _ids(raw: Column) -> Column:
 
 def span_mentions(spark: SparkSession, path: str, labels: tuple[str, ...] = ("Chemical", "Disease")) -> DataFrame:
     """``paper_id, start, end, text, label, concept_ids`` of lines with six fields or more and a known label."""
-    rows = _lines(spark, path).filter((F.size("c") >= 6) & F.col("c")[3].isNotNull() & F.col("c")[4].isin(*labels))
+    return mentions_of(spark.read.text(path), labels)
+
+
+def mentions_of(rows: DataFrame, labels: tuple[str, ...]) -> DataFrame:
+    """As ``span_mentions``, of rows that hold a line in ``value``."""
+    rows = _fields(rows).filter((F.size("c") >= 6) & F.col("c")[3].isNotNull() & F.col("c")[4].isin(*labels))
     return rows.select(F.col("c")[0].alias("paper_id"), F.col("c")[1].cast("int").alias("start"), F.col("c")[2].cast("int").alias("end"), F.col("c")[3].alias("text"), F.upper(F.col("c")[4]).alias("label"), _ids(F.col("c")[5]).alias("concept_ids"))
 
 
 def span_relations(spark: SparkSession, path: str, kind: str = "CID") -> DataFrame:
     """``paper_id, chemical_id, disease_id``, distinct, of lines of exactly four fields whose second is ``kind``."""
-    rows = _lines(spark, path).filter((F.size("c") == 4) & (F.col("c")[1] == kind))
+    return relations_of(spark.read.text(path), kind)
+
+
+def relations_of(rows: DataFrame, kind: str) -> DataFrame:
+    """As ``span_relations``, of rows that hold a line in ``value``."""
+    rows = _fields(rows).filter((F.size("c") == 4) & (F.col("c")[1] == kind))
     left = rows.select(F.col("c")[0].alias("paper_id"), F.explode(_ids(F.col("c")[2])).alias("chemical_id"), F.col("c")[3].alias("d"))
     return left.select("paper_id", "chemical_id", F.explode(_ids(F.col("d"))).alias("disease_id")).distinct()
 
 
 def span_documents(spark: SparkSession, path: str) -> DataFrame:
     """``paper_id, text``: a title and its abstract with a blank between, which the offsets of the mentions count in."""
-    part = spark.read.text(path).select(F.regexp_extract("value", r"^([^|\t]+)\|[ta]\|", 1).alias("paper_id"), F.regexp_extract("value", r"^[^|\t]+\|([ta])\|", 1).alias("part"), F.regexp_replace("value", r"^[^|\t]+\|[ta]\|", "").alias("said")).filter("paper_id <> ''")
+    return documents_of(spark.read.text(path))
+
+
+def documents_of(rows: DataFrame) -> DataFrame:
+    """As ``span_documents``, of rows that hold a line in ``value``."""
+    part = rows.select(F.regexp_extract("value", r"^([^|\t]+)\|[ta]\|", 1).alias("paper_id"), F.regexp_extract("value", r"^[^|\t]+\|([ta])\|", 1).alias("part"), F.regexp_replace("value", r"^[^|\t]+\|[ta]\|", "").alias("said")).filter("paper_id <> ''")
     one = lambda p: F.max(F.when(F.col("part") == p, F.col("said")))
     return part.groupBy("paper_id").agg(F.concat_ws(" ", one("t"), one("a")).alias("text"))
 

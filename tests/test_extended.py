@@ -48,3 +48,58 @@ def test_index_recall_on_the_given_vectors(spark):
     share = sum(r.hits for r in got) / sum(r.wanted for r in got)
     print("recall", share, "probes", index.probes, "of", len(index.centroids))
     assert share >= 0.9
+
+
+def _zip(path, entries, **kinds):
+    import zipfile
+
+    with zipfile.ZipFile(path, "w") as z:
+        for name, data in entries:
+            z.writestr(name, data, kinds.get(name.split(".")[0], zipfile.ZIP_DEFLATED))
+
+
+def test_archives_are_read_where_they_lie(spark, tmp_path):
+    """Stored and packed members, several archives, member ranges as partitions, line ends, and what can't be read."""
+    import zipfile
+
+    from tessera.sources import archives
+
+    long = "".join(f"row {i} é\n" for i in range(30_000))
+    _zip(tmp_path / "a.zip", [("one.txt", "a\r\nb\n\nlast"), ("dir/two.txt", long), ("empty.txt", ""), ("dir/", ""), ("skip.bin", b"\xff\xfe\n")], one=zipfile.ZIP_STORED)
+    _zip(tmp_path / "b.zip", [(f"m{i}.txt", f"{i}\n" * 5) for i in range(40)])
+    _zip(tmp_path / "none.zip", [])
+    got = archives.zip_lines(spark, str(tmp_path), members="*.txt", bytes="200")
+    assert got.rdd.getNumPartitions() >= 4
+    rows = {}
+    for r in got.orderBy("archive", "member", "line").collect():
+        rows.setdefault((r.archive.rpartition("/")[2], r.member), []).append((r.line, r.value))
+    assert rows["a.zip", "one.txt"] == [(0, "a"), (1, "b"), (2, ""), (3, "last")]
+    assert [v for _, v in rows["a.zip", "dir/two.txt"]] == long.splitlines() and len(rows) == 42
+    assert [r.value for r in archives.zip_lines(spark, f"{tmp_path}/a*.zip", members="*.bin").collect()] == ["��"]
+    assert archives.zip_lines(spark, f"file://{tmp_path}/none.zip").count() == 0
+    bad = bytearray((tmp_path / "b.zip").read_bytes())
+    bad[bad.index(b"m3.txt") + 8] ^= 0xFF  # the packed bytes of one member
+    (tmp_path / "c.zip").write_bytes(bytes(bad))
+    (tmp_path / "d.zip").write_bytes(b"no archive")
+    for name in ("c.zip", "d.zip"):
+        with pytest.raises(Exception, match=r"damaged|invalid|zip|Error|incorrect"):
+            archives.zip_lines(spark, f"{tmp_path}/{name}").count()
+    assert archives.zip_lines(spark, f"{tmp_path}/c.zip,{tmp_path}/d.zip", errors="skip").count() == 39 * 5
+
+
+def test_annotated_documents_from_an_archive(spark, tmp_path):
+    from tessera.sources import archives, files
+
+    text = "11|t|Drug trial\n11|a|Causes harm.\n11\t0\t4\tDrug\tChemical\tD1|D2\n11\t18\t22\tharm\tDisease\tD9\n11\tCID\tD1\tD9\n\n12|t|Other\n12|a|\n"
+    (tmp_path / "gold.txt").write_text(text)
+    _zip(tmp_path / "gold.zip", [("corpus/train.txt", text), ("readme.md", "x")])
+    rows = archives.zip_lines(spark, str(tmp_path / "gold.zip"), members="corpus/*")
+    got = archives.span_gold(rows)
+    plain = files.span_documents(spark, str(tmp_path / "gold.txt")), files.span_mentions(spark, str(tmp_path / "gold.txt")), files.span_relations(spark, str(tmp_path / "gold.txt"))
+    for a, b in zip(got, plain, strict=True):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect())) and a.count()
+    assert sorted(r.paper_id for r in archives.paper_ids(rows).collect()) == ["11", "12"]
+    archives.check_labels(["O", "B-Chemical"], {0: "O", 1: "B-Chemical"})
+    for named in (["O"], ["B-Chemical", "O"]):
+        with pytest.raises(ValueError):
+            archives.check_labels(named, {0: "O", 1: "B-Chemical"})
