@@ -5,15 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written once and read back, so that later reads and lost executors don't compute it again.
-
-    It goes to ``spark.checkpoint.dir``; only a session of one machine, as in tests, gets a temporary folder where that is unset.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new path under ``spark.checkpoint.dir``; only a session of one machine, as in tests, gets a temporary folder where that is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         master = spark.sparkContext.master
@@ -21,6 +17,11 @@ def written(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read back, so that later reads and lost executors don't compute it again."""
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

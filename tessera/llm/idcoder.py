@@ -23,7 +23,7 @@ import numpy as np
 
 MAGIC = b"TI1"
 #: Ids of a block, at most the places of order 0, and blocks that go in step.
-BLOCK, LANES = 4096, 1024
+BLOCK, LANES = 4096, 1536
 #: Both the weights and the frequencies of order 0 sum up to 2 ** BITS.
 BITS = 12
 WHOLE = 1 << BITS
@@ -96,31 +96,35 @@ class Model:
 
 
 def _gaps(ids: np.ndarray) -> bytes:
-    out = bytearray()
-    for gap in np.diff(ids, prepend=0).tolist():
-        while gap > 127:
-            out.append(gap & 127 | 128)
-            gap >>= 7
-        out.append(gap)
-    return bytes(out)
+    """Ascending ids as LEB128 gaps."""
+    gap = np.diff(ids, prepend=0)
+    parts = np.stack([gap >> 7 * i & 127 for i in range(5)], axis=1)
+    more = np.stack([gap >> 7 * (i + 1) > 0 for i in range(5)], axis=1)
+    kept = np.concatenate([np.ones((len(gap), 1), bool), more[:, :-1]], axis=1)
+    return (parts | more << 7)[kept].astype(np.uint8).tobytes()
 
 
 def _from_gaps(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
-    out, value = np.zeros(n, np.int64), 0
-    for i in range(n):
-        shift = gap = 0
-        while True:
-            if at >= len(data):
-                raise BadBlock("cut off")
-            b = data[at]
-            at += 1
-            gap |= (b & 127) << shift
-            shift += 7
-            if b < 128:
-                break
-        value += gap
-        out[i] = value
-    return out, at
+    """``n`` ids, and where they end."""
+    raw = np.frombuffer(data, np.uint8, min(len(data) - at, 5 * n), at)
+    ends = np.flatnonzero(raw < 128)[:n]
+    if len(ends) < n:
+        raise BadBlock("cut off")
+    if not n:
+        return np.zeros(0, np.int64), at
+    raw = raw[: ends[-1] + 1].astype(np.int64)
+    begin = np.concatenate([[0], ends[:-1] + 1])
+    place = np.arange(len(raw)) - np.repeat(begin, ends - begin + 1)
+    return np.cumsum(np.add.reduceat((raw & 127) << 7 * np.minimum(place, 8), begin)), at + int(ends[-1]) + 1
+
+
+def _named(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and each id's rank among them."""
+    if not len(ids) or ids.max() >= 1 << 18:
+        return np.unique(ids, return_inverse=True)
+    there = np.zeros(int(ids.max()) + 1, bool)
+    there[ids] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[ids]
 
 
 def crc_of(ids: np.ndarray) -> int:
@@ -139,10 +143,10 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def _encode(blocks: list[np.ndarray]) -> list[bytes]:
-    names, ranks = zip(*(np.unique(b, return_inverse=True) for b in blocks), strict=True)
+    names, ranks = zip(*map(_named, blocks), strict=True)
     lengths = np.array([len(b) for b in blocks])
     longest, lanes = int(lengths[0]), len(blocks)
-    ids = np.zeros((longest, lanes), np.int64)
+    ids = np.zeros((longest, lanes), np.int32)
     for i, r in enumerate(ranks):
         ids[: len(r), i] = r
     model = Model(np.array([len(x) for x in names]), False)
@@ -151,7 +155,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
     for step in range(longest):
         n = int(np.searchsorted(-lengths, -step, side="left"))  # lengths fall: those above step
         model.begin(step, n)
-        now = ids[step, :n]
+        now = ids[step, :n].astype(np.int64)
         second = model.id2 != now
         third = second & (model.id1 != now)
         w21 = model.w2 + model.w1
@@ -213,7 +217,7 @@ def _decode(data: list[bytes]) -> list[np.ndarray]:
     words = np.zeros((lanes, max(map(len, bodies)) + 4), np.int64)
     for i, b in enumerate(bodies):
         words[i, : len(b)] = b
-    ids = np.zeros((longest, lanes), np.int64)
+    ids = np.zeros((longest, lanes), np.int32)
     span, code = np.full(lanes, 1 << WIDE, np.int64), (words[:, 0] << SHORT) + (words[:, 1] >> 2)
     # the stream's bits below the interval's, two of them from the second word on
     taken, most = np.ones(lanes, np.int64), words.shape[1] - 1

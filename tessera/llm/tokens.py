@@ -12,8 +12,8 @@ dataset's files (Parquet keeps them whole on any store and commits them once, wh
 So a reader needs no row but the block's own; what it finds of a document that goes on in other blocks adds up, the checksum too,
 as a CRC is linear.
 
-White space never becomes a token and no token spans it, so a text's ids are those of its words between blanks and line feeds.
-Each batch's distinct words are encoded once, by the tokenizers library, and remembered by the worker up to a bound.
+White space never becomes a token and no token spans it, so a text's ids are those of its words between blanks and line feeds, of a tokenizer
+that lower-cases and splits letters from punctuation, as ``word_bpe_49k.json`` does (``Words`` refuses others). Each batch's distinct words are encoded once, by the tokenizers library, and remembered by the worker up to a bound.
 
 Defined results: null and empty texts have the end id only; a null doc_id stands first; rows of one id stand in order of a
 digest of their texts, and each is its own document; an empty table makes an empty dataset. Other columns aren't read.
@@ -21,6 +21,7 @@ digest of their texts, and each is its own document; an empty table makes an emp
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -39,9 +40,9 @@ from .ordered import spread
 #: The id that closes a document.
 END = 1
 #: Characters of texts that are split at once, and words that a worker remembers.
-CHARS, WORDS = 16_000_000, 1_000_000
-#: Between words that are encoded together; words that hold it are encoded alone.
-MARK = "|"
+CHARS, WORDS = 4_000_000, 500_000
+#: Words that are encoded together, and such texts at once: the library's results are large.
+JOINED, AT_ONCE = 256, 64
 
 SCHEMA = "part int, first long, n int, docs array<struct<at: long, doc_id: long, ids: int, left: long>>, data binary"
 _DOC = pa.struct([("at", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.int32()), ("left", pa.int64())])
@@ -61,8 +62,11 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task a core
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids[0]
+        for a, b in (("Ab. c,d\n\ne", "ab .  c ,d e"), ("x", " X ")):
+            if not np.array_equal(self._whole(a), self._whole(b)):
+                raise ValueError("a tokenizer that minds case or white space")
         self.known: dict[str, int] = {}
         self._clear()
 
@@ -70,26 +74,44 @@ class Words:
         self.known.clear()
         self.flat, self.ends, self.total = [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)], 0
 
+    def _encode(self, texts: list[str]) -> Iterator:
+        for i in range(0, len(texts), AT_ONCE):
+            yield from self.tokenizer.encode_batch(texts[i : i + AT_ONCE], add_special_tokens=False)
+
     def _add(self, words: list[str]) -> None:
-        alone = [w for w in words if MARK in w]
-        rest = [w for w in words if MARK not in w]
-        encode = lambda texts: [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        got = [np.array(x, np.uint32) for x in encode([f" {MARK} ".join(rest[i : i + 256]) + f" {MARK}" for i in range(0, len(rest), 256)])]
-        flat = np.concatenate(got) if got else np.zeros(0, np.uint32)
-        stops = np.flatnonzero(flat == self.mark)
-        if len(stops) != len(rest):
-            raise ValueError("the vocabulary has no mark of its own between words")
-        more = [np.array(x, np.uint32) for x in encode(alone)]
-        ends = np.concatenate([stops - np.arange(len(rest)), len(flat) - len(rest) + np.cumsum([len(x) for x in more], dtype=np.int64)])
-        self.flat.append(np.concatenate([flat[flat != self.mark], *more]))
+        alone, flat, sizes, named = [], [], [], []
+        letters = [w for w in words if w.isalpha()]
+        groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
+        for group, got in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
+            # a word of letters is one piece of the library's own; where it isn't, the words go alone
+            count = np.bincount(got.word_ids, minlength=len(group)) if got.word_ids else np.zeros(0, int)
+            if len(count) == len(group) and count.all():
+                flat.append(np.array(got.ids, np.uint32))
+                sizes.append(count)
+                named += group
+            else:
+                alone += group
+        alone += [w for w in words if not w.isalpha()]
+        for w, got in zip(alone, self._encode(alone), strict=True):
+            flat.append(np.array(got.ids, np.uint32))
+            sizes.append(np.array([len(got.ids)]))
+            named.append(w)
+        ends = np.cumsum(np.concatenate(sizes))
+        self.flat.append(np.concatenate(flat))
         self.ends.append(ends + self.total)
         self.total += len(self.flat[-1])
-        for w in (*rest, *alone):
-            self.known[w] = len(self.known)
+        self.known.update(zip(named, range(len(self.known), len(self.known) + len(named)), strict=True))
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        # ASCII letters in lower case, and a blank between one and a full stop or comma, change no piece; but they could make a special token's name
+        special = pc.match_substring(texts, "<|")
+        plain = pc.ascii_lower(pc.if_else(special, "", texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
+        plain = pc.replace_substring_regex(plain, r"([a-z])([.,])", r"\1 \2")
+        lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.known) + len(words) > WORDS:
@@ -100,11 +122,19 @@ class Words:
         if len(self.flat) > 1:
             self.flat, self.ends = [np.concatenate(self.flat)], [np.concatenate(self.ends)]
         ends, flat = self.ends[0], self.flat[0]
-        number = np.fromiter((self.known[w] for w in words), np.int64, len(words))[coded.indices.to_numpy()]
+        number = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
         begin, size = ends[number], ends[number + 1] - ends[number]
+        place = coded.indices.to_numpy()
+        begin, size = begin[place], size[place]
         upto = np.concatenate([[0], np.cumsum(size)])
         ids = flat[np.arange(upto[-1]) + np.repeat(begin - upto[:-1], size)]
-        return ids, np.diff(upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+        sizes = np.diff(upto[lists.offsets.to_numpy() - lists.offsets[0].as_py()])
+        if special.true_count:
+            parts = np.split(ids, np.cumsum(sizes)[:-1])
+            for i in np.flatnonzero(special.to_numpy(zero_copy_only=False)):
+                parts[i] = self._whole(texts[int(i)].as_py())
+            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+        return ids, sizes
 
 
 _WORDS: dict[str, Words] = {}

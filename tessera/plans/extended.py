@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import new_folder
 from ..operators import vectors
+from ..streaming import spending
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -60,3 +62,13 @@ def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     index, asked = vectors.build(rows, "vec_id", "embedding"), rows.filter("vec_id % 50 = 0")
     by = lambda exact: vectors.search(index, asked, "vec_id", "embedding", exact=exact)
     return vectors.recall(by(False), by(True))
+
+
+_SPENT = "select user_id, event_id, (sum(round(coalesce(value, 0.0) * 100)::bigint) over (partition by user_id order by event_id rows unbounded preceding))::bigint as spent from events"
+
+
+@case("a22_kill_switch", f"select user_id, event_id, spent, spent > {spending.LIMIT} as aborted from ({_SPENT}) where spent <= {spending.LIMIT}")
+def kill_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that a running kill switch lets through, the stream started anew for each quarter of the table."""
+    charges = spending.cents_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return spending.run_slices(charges, 4, new_folder(spark, "spending"), stops=True)

@@ -103,3 +103,109 @@ def test_annotated_documents_from_an_archive(spark, tmp_path):
     for named in (["O"], ["B-Chemical", "O"]):
         with pytest.raises(ValueError):
             archives.check_labels(named, {0: "O", 1: "B-Chemical"})
+
+
+def _service(folder, n, fails_at=None):
+    """A service of ``n`` results that logs what it is asked for; one page fails until a file says that it may not."""
+    from pathlib import Path
+
+    log, flag, size = Path(folder) / "asked", Path(folder) / "failed", Path(folder) / "n"
+    size.write_text(str(n))
+
+    def count(query):
+        return 200, int(size.read_text())
+
+    def page(query, start, wanted):
+        with log.open("a") as f:
+            f.write(f"{start}\n")
+        if fails_at is not None and start == fails_at and not flag.exists():
+            flag.touch()
+            return 404, None
+        return 200, [(f"{query}-{i}", i * i) for i in range(start, min(start + wanted, int(size.read_text())))]
+
+    return count, page, log, size
+
+
+def _until(query, done, seconds=90):
+    import time
+
+    end = time.time() + seconds
+    while time.time() < end and not done():
+        if query.exception() is not None:
+            break
+        time.sleep(0.2)
+
+
+def test_a_stopped_search_goes_on_at_its_cursor(spark, tmp_path):
+    """Stopped, failed in a batch and grown meanwhile: each result once, no committed page again."""
+    from tessera.streaming import search
+
+    count, page, log, size = _service(tmp_path, 57, fails_at=30)
+    source = search.search_source("fake_search", count, page, "id string, weight long")
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "cp")
+    rows = lambda: spark.read.schema("query string, position long, id string, weight long").parquet(table).collect() if (tmp_path / "table").exists() else []
+    run = lambda: search.keep(search.search(spark, source, "q", page=5, requests=2, per_second=50), table, checkpoint)
+    q = run()
+    _until(q, lambda: False, 60)  # until the failing page ends it
+    assert "404" in str(q.exception()) and len(rows()) == 30
+    before = log.read_text().split()
+    q = run()
+    _until(q, lambda: len(rows()) == 57)
+    q.stop()
+    size.write_text("61")
+    q = run()
+    _until(q, lambda: len(rows()) == 61)
+    q.stop()
+    got = sorted(map(tuple, rows()))
+    assert got == [("q", i, f"q-{i}", i * i) for i in range(61)]
+    asked = [int(x) for x in log.read_text().split()[len(before) :]]
+    assert min(asked) == 30 and sorted(set(asked)) == [*range(30, 57, 5), 57]
+
+
+def test_a_search_keeps_to_its_rate_and_to_its_pages():
+    import time
+
+    from tessera.streaming.search import _Cursor
+
+    c = _Cursor("q", lambda q: (200, 1000), lambda q, s, n: (200, [(s,)] * (n - (s == 20))), 10, 3, 20.0)
+    assert c.initialOffset() == {"cursor": 0} and c.latestOffset() == {"cursor": 30}
+    first = c.partitions({"cursor": 0}, {"cursor": 30})
+    assert c.latestOffset() == {"cursor": 60}
+    second = c.partitions({"cursor": 30}, {"cursor": 60})
+    at = [p.at for p in first + second]
+    assert all(b - a > 0.049 for a, b in zip(at, at[1:], strict=False)) and [(p.start, p.end) for p in second] == [(30, 40), (40, 50), (50, 60)]
+    began = time.time()
+    assert [r[1] for r in c.read(second[0])] == list(range(30, 40)) and time.time() >= second[0].at and time.time() - began < 5
+    with pytest.raises(ValueError, match="not 10"):
+        list(c.read(first[2]))
+    again = _Cursor("q", lambda q: (200, 1000), None, 10, 3, 20.0)
+    again.partitions({"cursor": 60}, {"cursor": 90})  # as after a restart
+    assert again.latestOffset() == {"cursor": 120}
+
+
+def test_running_cost_over_restarts(spark, tmp_path):
+    """Slices of the table in turn, each by a new start on one checkpoint, against the window over all; repeated and late events don't count."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans.registry import queries
+    from tessera.streaming import spending
+
+    sf = "/root/testdata/sf0.01"
+    charges = spending.cents_of(spark.read.parquet(f"{sf}/events.parquet"))
+    folder, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
+
+    def start(stops, out, cp):
+        stream = spark.readStream.schema(charges.schema).parquet(folder)
+        spending.running_cost(stream, stops=stops).writeStream.format("parquet").option("path", out).option("checkpointLocation", cp).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+
+    for lo, hi in ((0, 4000), (4000, 7500), (7500, 10_000)):
+        charges.filter((F.col("event_id") >= lo) & (F.col("event_id") < hi)).repartition(2).write.mode("append").parquet(folder)
+        if hi == 7500:
+            charges.filter("event_id < 500").coalesce(1).write.mode("append").parquet(folder)  # again, and late
+        start(False, out, cp)
+    want = queries()["a22_cumulative_cost"](spark, sf)
+    got = spark.read.schema(spending.SCHEMA).parquet(out)
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 and got.count() == want.count()
+    start(True, str(tmp_path / "let"), str(tmp_path / "cp2"))
+    let = spark.read.schema(spending.SCHEMA).parquet(str(tmp_path / "let"))
+    assert let.exceptAll(want.filter("not aborted").select(*let.columns)).count() == 0 and let.count() == want.filter("not aborted").count()
