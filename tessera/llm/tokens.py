@@ -41,6 +41,8 @@ from .ordered import spread
 END = 1
 #: Characters of texts that are split at once, and words that a worker remembers.
 CHARS, WORDS = 4_000_000, 500_000
+#: What the vocabulary's names of tokens at the end of a piece end with.
+PIECE_END = "</w>"
 #: Words that are encoded together, and such texts at once: the library's results are large.
 JOINED, AT_ONCE = 256, 64
 
@@ -67,6 +69,9 @@ class Words:
         for a, b in (("Ab. c,d\n\ne", "ab .  c ,d e"), ("x", " X ")):
             if not np.array_equal(self._whole(a), self._whole(b)):
                 raise ValueError("a tokenizer that minds case or white space")
+        names = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(names.values()) + 1, bool)  # tokens that end a piece
+        self.last[[i for name, i in names.items() if name.endswith(PIECE_END)]] = True
         self.known: dict[str, int] = {}
         self._clear()
 
@@ -76,18 +81,19 @@ class Words:
 
     def _encode(self, texts: list[str]) -> Iterator:
         for i in range(0, len(texts), AT_ONCE):
-            yield from self.tokenizer.encode_batch(texts[i : i + AT_ONCE], add_special_tokens=False)
+            yield from self.tokenizer.encode_batch_fast(texts[i : i + AT_ONCE], add_special_tokens=False)
 
     def _add(self, words: list[str]) -> None:
         alone, flat, sizes, named = [], [], [], []
         letters = [w for w in words if w.isalpha()]
         groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
         for group, got in zip(groups, self._encode([" ".join(g) for g in groups]), strict=True):
-            # a word of letters is one piece of the library's own; where it isn't, the words go alone
-            count = np.bincount(got.word_ids, minlength=len(group)) if got.word_ids else np.zeros(0, int)
-            if len(count) == len(group) and count.all():
-                flat.append(np.array(got.ids, np.uint32))
-                sizes.append(count)
+            # a word of letters is one piece of the library's own, and a piece ends with a token of its end; where it isn't, the words go alone
+            ids = np.array(got.ids, np.uint32)
+            stops = np.flatnonzero(self.last[ids]) + 1
+            if len(stops) == len(group):
+                flat.append(ids)
+                sizes.append(np.diff(stops, prepend=0))
                 named += group
             else:
                 alone += group
@@ -107,10 +113,10 @@ class Words:
 
     def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and how many each has."""
-        # ASCII letters in lower case, and a blank between one and a full stop or comma, change no piece; but they could make a special token's name
+        # ASCII letters in lower case, and a blank between a letter and ASCII punctuation other than ', change no piece; but they could make a special token's name
         special = pc.match_substring(texts, "<|")
         plain = pc.ascii_lower(pc.if_else(special, "", texts)) if pc.any(special).as_py() else pc.ascii_lower(texts)
-        plain = pc.replace_substring_regex(plain, r"([a-z])([.,])", r"\1 \2")
+        plain = pc.replace_substring_regex(plain, r"(\p{L})([!-&(-/:-@\[-`{-~])", r"\1 \2")
         lists = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
+from ..functions.arrays import bound
 from ..functions.tables import written
 from .pairing import first_by
 
@@ -107,54 +106,68 @@ def attributable(members: DataFrame) -> DataFrame:
     return x.select("key", "paper_id", F.coalesce("_one", F.lit(False)).alias("attributable"))
 
 
+#: What stands in parentheses, and what a short form is.
+PARENTHESES, SHORT = r"\([^()]{2,15}\)", r"^(?=[\p{L}\p{N}])(?=.*\p{L})(?U)\S{2,10}\z"
+#: The words looked at before a parenthesis: five more than the longest short form has characters.
+MOST_WORDS = 15
+#: A word (a letter or digit of ASCII, and more of them or hyphens) of a text read backwards, with what stands behind it in the text.
+_BACKWARDS = r"(?:[^A-Za-z0-9-]|-+(?![A-Za-z0-9-]))*[A-Za-z0-9-]*[A-Za-z0-9]"
+
+
 def abbreviations(rows: DataFrame, text: str = "abstract") -> DataFrame:
     """``paper_id, short, long``: abbreviations a text defines in parentheses; the first definition of each wins.
 
     The long form is the shortest run of words before the parenthesis, of at most five more than the short form has
-    letters, that begins with its first letter and holds its letters in order. A search for subsequences has no built-in form.
+    characters, that begins with its first letter and holds its letters in order. Texts without parentheses, null ones too, have none.
     """
+    some = rows.select("paper_id", text).filter(F.col(text).contains("("))
+    return some.select("paper_id", F.inline(definitions(F.col(text))))
+
+
+def definitions(text: Column) -> Column:
+    """Array of (short, long) of a text, as a fold along its parentheses inside the row.
+
+    The state holds the last words so far, backwards, so that they are the start of a string and are taken off it in one anchored match: no
+    prefix of the text is read again. Whether a run holds the letters in order is one lazy pattern made of them.
+    """
+    none = F.array().cast("array<struct<short:string,long:string>>")
+    items = F.arrays_zip(F.split(text, PARENTHESES, -1).alias("gap"), F.regexp_extract_all(text, F.lit(PARENTHESES), F.lit(0)).alias("held"))
+    begin = F.struct(F.lit("").alias("tail"), none.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        before = F.concat(F.reverse(x.gap), s.tail)
+        return bound(F.struct(before.alias("b"), _words_of(before).alias("w"), F.regexp_replace(F.substring(x.held, 2, F.length(x.held) - 2), r"(?U)^\s+|\s+$", "").alias("short")), lambda v: added(s, x, v))
+
+    def added(s: Column, x: Column, v: Column) -> Column:
+        known = F.exists(s.out, lambda d: d.short == v.short)
+        long = F.when(x.held.isNotNull() & F.rlike(v.short, F.lit(SHORT)) & ~known, _long_form(v.w, v.short))
+        out = F.when(long.isNotNull(), F.concat(s.out, F.array(F.struct(v.short.alias("short"), long.alias("long"))))).otherwise(s.out)
+        # the last words alone are kept, and the parenthesis before them
+        return F.struct(F.concat(F.reverse(F.coalesce(x.held, F.lit(""))), F.array_join(v.w, "")).alias("tail"), out.alias("out"))
+
+    return F.aggregate(items, begin, step, lambda s: s.out)
+
+
+def _words_of(backwards: Column) -> Column:
+    """The first ``MOST_WORDS`` words, each with what precedes it, of a text read backwards.
+
+    Anchored matches take them off one by one, so the text behind them isn't read.
+    """
+    grown = F.struct(F.array().cast("array<string>").alias("words"), backwards.alias("rest"))
+
+    def take(s: Column, _: Column) -> Column:
+        return bound(F.regexp_extract(s.rest, f"^{_BACKWARDS}", 0), lambda m: F.when(m != "", F.struct(F.concat(s.words, F.array(m)).alias("words"), F.substring(s.rest, F.length(m) + 1, F.lit(1 << 30)).alias("rest"))).otherwise(F.struct(s.words.alias("words"), F.lit("").alias("rest"))))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_WORDS)), grown, take, lambda s: s.words)
+
 
-    def run(frames):
-        import pandas as pd
-
-        for frame in frames:
-            found = [(p, s, w) for p, t in zip(frame["paper_id"], frame[text], strict=True) for s, w in defined(t or "").items()]
-            yield pd.DataFrame(found, columns=["paper_id", "short", "long"])
-
-    return rows.select("paper_id", text).filter(F.col(text).contains("(")).mapInPandas(run, f"paper_id {rows.schema['paper_id'].dataType.simpleString()}, short string, long string")
-
-
-#: What stands in parentheses, what a short form is, and a word before it.
-PARENTHESES, SHORT, WORD = re.compile(r"\(([^()]{2,15})\)"), re.compile(r"\S{2,10}"), re.compile(r"[A-Za-z0-9][A-Za-z0-9-]*")
-
-
-def last_words(text: str, end: int, n: int) -> list[int]:
-    """Where the last ``n`` words before ``end`` start, the last one first; all of them where there are fewer."""
-    reach = 40 * n
-    while True:
-        start = max(0, end - reach)
-        # a word that begins before the piece shows its rest alone, so the first one found counts only at the text's own start
-        found = [start + m.start() for m in WORD.finditer(text[start:end])]
-        if start == 0 or len(found) > n:
-            return found[: -n - 1 : -1]
-        reach *= 2
-
-
-def defined(text: str) -> dict[str, str]:
-    """Short forms of one text with their long forms."""
-    out: dict[str, str] = {}
-    for m in PARENTHESES.finditer(text):
-        short = m[1].strip()
-        letters = [c for c in short.lower() if c.isalnum()]
-        if short in out or not SHORT.fullmatch(short) or not short[0].isalnum() or not any(c.isalpha() for c in short):
-            continue
-        end = len(text[: m.start()].rstrip())
-        pattern = re.compile(".*?".join(map(re.escape, letters)), re.S)
-        for at in last_words(text, end, len(short) + 5):
-            if pattern.match(text[at:end].lower()):
-                out[short] = text[at:end]
-                break
-    return out
+def _long_form(words: Column, short: Column) -> Column:
+    """The shortest run of the last words that defines ``short``, or null."""
+    letters = F.regexp_extract_all(F.lower(short), F.lit(r"[\p{L}\p{N}]"), F.lit(0))
+    pattern = F.concat(F.lit("(?s)^"), F.array_join(letters, ".*?"))
+    most = F.least(F.size(words), F.length(short) + 5)
+    runs = F.transform(F.filter(F.sequence(F.lit(1), F.lit(MOST_WORDS)), lambda n: n <= most), lambda n: F.regexp_replace(F.reverse(F.array_join(F.slice(words, F.lit(1), n), "")), r"(?U)\s+$", ""))
+    return F.get(F.filter(runs, lambda r: F.rlike(F.lower(r), pattern)), F.lit(0))
 
 
 def spans_overlap(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import prf, ratio
 from ..functions.text import seeded_uniform
+from .spans import overlap_counts
 
 
 def _scores(counts: DataFrame, keep: list[str]) -> DataFrame:
@@ -30,10 +31,7 @@ def set_scores(gold: DataFrame, predicted: DataFrame, keys: list[str], by: list[
 
 def census(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Each gold span's outcome: EXACT, MERGEABLE (two overlaps or more), TRUNCATED (one) or MISSED, within document and label."""
-    p = predicted.select(F.col("paper_id").alias("_p"), F.col("label").alias("_l"), F.col("start").alias("ps"), F.col("end").alias("pe"))
-    over = (F.col("paper_id") == F.col("_p")) & (F.col("label") == F.col("_l")) & (F.greatest("start", "ps") < F.least("end", "pe"))
-    met = gold.join(p, over, "left")
-    each = met.groupBy("paper_id", "label", "start", "end").agg(F.count("ps").alias("n"), F.bool_or(F.coalesce((F.col("ps") == F.col("start")) & (F.col("pe") == F.col("end")), F.lit(False))).alias("exact"))
+    each = overlap_counts(gold, predicted, ["paper_id", "label"]).withColumn("exact", F.col("equal") > 0).drop("equal")
     return each.withColumn("outcome", F.when(F.col("exact"), "EXACT").when(F.col("n") >= 2, "MERGEABLE").when(F.col("n") == 1, "TRUNCATED").otherwise("MISSED"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import ratio
 from ..functions.text import seeded_uniform
 from .pairing import first_by
+from .spans import overlap_counts
 
 #: The ladders of the positional baselines, in sentences and in tenths.
 FIRST, TENTHS = (1, 2, 3, 4, 5, 6), (1, 2, 3, 4, 5)
@@ -137,8 +138,9 @@ def error_overlaps(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     cols = ["paper_id", "label", "start", "end"]
     g, p = gold.select(*cols), predicted.select(*cols)
     fn = g.exceptAll(p).groupBy(*cols).agg(F.count("*").alias("n"))
-    fp = p.exceptAll(g).select("paper_id", F.col("start").alias("_s"), F.col("end").alias("_e")).distinct()
-    met = fn.join(fp, (fn["paper_id"] == fp["paper_id"]) & (F.greatest("start", "_s") < F.least("end", "_e")), "left_semi").groupBy("label").agg(F.sum("n").alias("overlapped"))
+    fp = p.exceptAll(g).select("paper_id", "start", "end").distinct()
+    near = overlap_counts(fn, fp, ["paper_id"]).filter("n > 0").drop("n", "equal")
+    met = fn.join(near, ["paper_id", "start", "end"], "left_semi").groupBy("label").agg(F.sum("n").alias("overlapped"))
     return fn.groupBy("label").agg(F.sum("n").alias("missed")).join(met, "label", "left").na.fill(0, ["overlapped"])
 
 

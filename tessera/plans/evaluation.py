@@ -458,9 +458,28 @@ def attributable(s: Substrate) -> DataFrame:
     return evidence.attributable(pair_table(s.pairs).select("key", "paper_id").join(s.papers.select("paper_id", "year", "journal"), "paper_id"))
 
 
-@case("f6_abbreviations")
+#: Sentences that end with three words of ASCII letters get these words' initials in parentheses: texts that define abbreviations.
+_DEFINES = r"([A-Za-z])([A-Za-z]*) ([A-Za-z])([A-Za-z]*) ([A-Za-z])([A-Za-z]*)\."
+
+
+@case(
+    "f6_abbreviations",
+    rf"""with texts as (select doc_id as paper_id, regexp_replace(text, '{_DEFINES}', '\1\2 \3\4 \5\6 (\1\3\5).', 'g') as t from documents),
+    held as (select paper_id, regexp_extract_all(t, '\([^()]{{2,15}}\)') as hs, string_split_regex(t, '\([^()]{{2,15}}\)') as gaps from texts),
+    each as (
+      select paper_id, k, regexp_replace(hs[k][2:-2], '^\s+|\s+$', '', 'g') as short, regexp_replace(array_to_string(list_transform(range(1, k + 1), lambda i: gaps[i] || case when i < k then hs[i] else '' end), ''), '\s+$', '') as pre
+      from held, unnest(generate_series(1, len(hs))) as u(k)),
+    shorts as (
+      select *, regexp_extract_all(pre, '[A-Za-z0-9][A-Za-z0-9-]*') as ws, string_split_regex(pre, '[A-Za-z0-9][A-Za-z0-9-]*') as gs, '(?s)^' || array_to_string(regexp_extract_all(lower(short), '[\p{{L}}\p{{N}}]'), '.*?') as p
+      from each where regexp_full_match(short, '\S{{2,10}}') and regexp_matches(short, '^[\p{{L}}\p{{N}}]') and regexp_matches(short, '\p{{L}}')),
+    runs as (
+      select paper_id, k, short, n, right(pre, len(array_to_string(ws[-n:], '')) + len(array_to_string(gs[-n:], ''))) as long, p
+      from shorts, unnest(generate_series(1, least(len(ws), len(short) + 5))) as u(n)),
+    hits as (select * from runs where regexp_matches(lower(long), p) qualify row_number() over (partition by paper_id, short order by k, n) = 1)
+    select paper_id, short, long from hits""",
+)
 def abbreviations(s: Substrate) -> DataFrame:
-    return evidence.abbreviations(s.papers)
+    return evidence.abbreviations(s.papers.select("paper_id", F.regexp_replace("abstract", _DEFINES, r"$1$2 $3$4 $5$6 ($1$3$5).").alias("abstract")))
 
 
 @case(
@@ -504,9 +523,27 @@ def best_spans(s: Substrate) -> DataFrame:
     return windows.best_spans(scored).select("paper_id", "label", *_long("start", "end", "window"))
 
 
-@case("w12_plan_windows")
+#: The pass by windows: each step takes the longest window from its sentence, and goes back by one sentence that fits together with the next.
+_WINDOWS = """, places as (
+      select paper_id, row_number() over (partition by paper_id order by sentence_index) - 1 as i, s, s + length(text) as e, text, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) as w from sent),
+    run as (select *, sum(w) over (partition by paper_id order by i) as upto, count(*) over (partition by paper_id) as n from places),
+    reach as (select a.paper_id, a.i, a.n, (select coalesce(max(b.i) + 1, a.i) from run b where b.paper_id = a.paper_id and b.i >= a.i and b.upto - (a.upto - a.w) <= 30) as j from run a),
+    steps as (
+      select paper_id, i, j from reach where i = 0
+      union all
+      select r.paper_id, r.i, r.j from steps s join reach r on r.paper_id = s.paper_id
+        and r.i = case when s.j <= s.i then s.i + 1 when s.j < r.n then greatest(s.i + 1, case when (select sum(w) from run x where x.paper_id = s.paper_id and x.i in (s.j - 1, s.j)) <= 30 then s.j - 1 else s.j end) end),
+    whole as (select t.paper_id, a.s as start, b.e as stop from steps t join places a on a.paper_id = t.paper_id and a.i = t.i join places b on b.paper_id = t.paper_id and b.i = t.j - 1 where t.j > t.i),
+    parts as (select p.paper_id, p.s, p.e, regexp_extract_all(p.text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') as ps from steps t join places p on p.paper_id = t.paper_id and p.i = t.i where t.j <= t.i),
+    cut as (
+      select paper_id, s + coalesce(length(array_to_string(ps[1 : 30 * k], '')), 0) as start, least(e, s + length(array_to_string(ps[1 : 30 * k + 30], ''))) as stop
+      from parts, unnest(generate_series(0, (len(ps) - 1) // 30)) as u(k))
+    select paper_id, row_number() over (partition by paper_id order by start) - 1 as "window", start::bigint as start, stop::bigint as "end" from (select * from whole union all select * from cut)"""
+
+
+@case("w12_plan_windows", _recursive(_with("sent") + _WINDOWS))
 def planned(s: Substrate) -> DataFrame:
-    return windows.plan_windows(s.sentences, s.papers)
+    return windows.plan_windows(s.sentences, budget=30)
 
 
 @case(

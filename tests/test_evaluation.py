@@ -68,12 +68,54 @@ def test_greedy_batch_reads_on_until_its_quota_is_filled(spark):
     assert len(got) == 8 and len({r.a for r in got}) == 8
 
 
-def test_abbreviations_look_back_by_words():
+def _defined(text):
+    """The definitions of one text, word by word."""
+    import re
+
+    out, words = {}, re.compile("[A-Za-z0-9][A-Za-z0-9-]*")
+    for m in re.finditer(r"\(([^()]{2,15})\)", text):
+        short, before = m[1].strip(), text[: m.start()].rstrip()
+        letters = [c for c in short.lower() if c.isalnum()]
+        if short in out or not re.fullmatch(r"\S{2,10}", short) or not short[0].isalnum() or not any(c.isalpha() for c in short):
+            continue
+        for at in [w.start() for w in words.finditer(before)][: -len(short) - 6 : -1]:
+            if re.match(".*?".join(map(re.escape, letters)), before[at:].lower(), re.S):
+                out[short] = before[at:]
+                break
+    return out
+
+
+def _abbreviations(spark, texts):
+    got = {i: {} for i in range(len(texts))}
+    rows = spark.createDataFrame(list(enumerate(texts)), "paper_id long, abstract string")
+    for r in evidence.abbreviations(rows).collect():
+        got[r.paper_id][r.short] = r.long
+    return [got[i] for i in range(len(texts))]
+
+
+def test_abbreviations(spark):
     long = "x" * 3000
-    assert evidence.defined(f"a {long} method named polymerase chain reaction (PCR) works") == {"PCR": "polymerase chain reaction"}
-    assert evidence.defined(f"p{long} chain reaction (PCR)") == {"PCR": f"p{long} chain reaction"}
-    assert evidence.defined("tumor necrosis factor (TNF), again total nonsense first (TNF)") == {"TNF": "tumor necrosis factor"}
-    assert evidence.defined("one two three four five six seven eight polymer nine ten eleven twelve thirteen fourteen chain rest (PCR)") == {}
+    cases = {
+        f"a {long} method named polymerase chain reaction (PCR) works": {"PCR": "polymerase chain reaction"},
+        f"p{long} chain reaction (PCR)": {"PCR": f"p{long} chain reaction"},
+        "tumor necrosis factor (TNF), again total nonsense first (TNF)": {"TNF": "tumor necrosis factor"},
+        "one two three four five six seven eight polymer nine ten eleven twelve thirteen fourteen chain rest (PCR)": {},
+        "Polycystic ovary syndrome (PCOS) and polycystic ovaries (PCOS)": {"PCOS": "Polycystic ovary syndrome"},
+        "no definition (XY)": {},
+        "tumour necrosis factor (TNF-a) (n = 5) (12)": {"TNF-a": "tumour necrosis factor"},
+        "tumour necrosis factor alpha (TNF-a)": {"TNF-a": "tumour necrosis factor alpha"},
+        "": {},
+        "(AB)": {},
+        "an -odd- --case a-b- c\n (AC) (ab) é (éa)": None,
+    }
+    texts = list(cases)
+    got = _abbreviations(spark, texts)
+    assert all(g == (_defined(t) if cases[t] is None else cases[t]) == _defined(t) for t, g in zip(texts, got, strict=True))
+    rng = random.Random(8)
+    bits = ["a", "b", "ab", "ba-", "-c", "(ab)", "(a-b)", "(ba c)", " ", " ", "--", ".", "\n", "C1", "(1a)", "é", "(", ")"]
+    texts = ["".join(rng.choice(bits) for _ in range(60)) for _ in range(400)]
+    assert _abbreviations(spark, texts) == [_defined(t) for t in texts]
+    assert evidence.abbreviations(spark.createDataFrame([(1, None)], "paper_id long, abstract string")).count() == 0
 
 
 def test_positions_number_a_total_order(spark):
@@ -157,6 +199,41 @@ def test_greedy_rounds_equal_the_pass_by_rows(spark):
         assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, plain(rows, quotas, caps)))
 
 
+def test_windows_by_doubling_against_the_pass_by_windows(spark):
+    """Texts of one to many sentences, words over the budget in one of them, and overlaps of none to several sentences."""
+    from tessera.functions.text import sentences
+    from tessera.operators.windows import plan, plan_windows
+
+    rng = random.Random(2)
+    texts = [" ".join(" ".join("w" * rng.randrange(1, 4) for _ in range(rng.choice([1, 2, 5, 9, 30]))) + "." for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "paper_id long, abstract string")
+    cut = sentences(rows)
+    spans = {}
+    for r in cut.orderBy("paper_id", "sentence_index").collect():
+        spans.setdefault(r.paper_id, []).append((r.start, r.end))
+    for budget, overlap in ((12, 1), (25, 0), (25, 3), (1, 1)):
+        want = sorted((i, n, a, b) for i, t in enumerate(texts) for n, (a, b) in enumerate(plan(t, spans[i], lambda u: len(u.split()), budget, overlap)))
+        assert sorted(map(tuple, plan_windows(cut, budget, overlap).collect())) == want
+    assert plan_windows(cut.limit(0)).count() == 0
+
+
+def test_overlaps_by_a_sweep(spark):
+    """Against all pairs, with empty, repeated and null spans; then a document of 100,000 spans."""
+    from tessera.operators.spans import overlap_counts
+
+    rng = random.Random(3)
+    span = lambda: (rng.choice([1, 2, None]), rng.choice("xy"), *sorted((rng.randrange(40), rng.randrange(40))))
+    a, b = [span() for _ in range(150)] + [(1, "x", None, 4)], [span() for _ in range(150)] + [(1, "x", 3, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "paper_id long, label string, start int, end int")
+    hit = lambda p, q: None not in p + q and p[:2] == q[:2] and max(p[2], q[2]) < min(p[3], q[3])
+    want = {p: (sum(hit(p, q) for q in b), sum(hit(p, q) and p == q for q in b)) for p in a}
+    got = {tuple(r[:4]): (r.n, r.equal) for r in overlap_counts(frame(a), frame(b), ["paper_id", "label"]).collect()}
+    assert got == want
+    many = spark.range(100_000).select(F.lit(1).alias("paper_id"), F.lit("x").alias("label"), (F.col("id") * 3).alias("start"), (F.col("id") * 3 + 4).alias("end"))
+    n = overlap_counts(many, many, ["paper_id", "label"]).groupBy("n", "equal").count().collect()
+    assert {tuple(r) for r in n} == {(2, 1, 2), (3, 1, 99_998)}
+
+
 def test_padding_reaches_the_budget(spark):
     rows = spark.range(500).withColumnRenamed("id", "k")
     base = rows.filter("k < 10")
@@ -191,11 +268,6 @@ def test_unmatched_and_upsert(spark):
     assert {(r.k, r.v) for r in selection.upsert(a, b, ["k"]).collect()} == {(1, "x"), (2, "z"), (3, "w")}
 
 
-@pytest.mark.parametrize("text,want", [("Polycystic ovary syndrome (PCOS) and polycystic ovaries (PCOS)", {"PCOS": "Polycystic ovary syndrome"}), ("no definition (XY)", {}), ("tumour necrosis factor (TNF-a) (n = 5) (12)", {"TNF-a": "tumour necrosis factor"}), ("tumour necrosis factor alpha (TNF-a)", {"TNF-a": "tumour necrosis factor alpha"}), ("", {}), ("(AB)", {})])
-def test_abbreviations(text, want):
-    assert evidence.defined(text) == want
-
-
 def test_folding_and_words(spark):
     r = spark.createDataFrame([("Café TNF-α—x -ab- IL‐6",)], "t string").select(quality.alias_words(quality.fold(F.col("t"))).alias("w")).first()
     assert r.w == ["cafe", "tnf-alpha-x", "ab", "il-6"]
