@@ -35,8 +35,8 @@ def is_known(key):
 
 
 class Substrate:
-    """DataFrames of one data folder; nothing is read until a query asks for it. Only the clusters, which stand behind all
-    shuffles of a query and are read several times, are written."""
+    """DataFrames of one data folder; nothing is read until a query asks for it. What later steps read more than once
+    (mentions, linked mentions, gold relations, clusters) is written when it is first asked for, so that a query reads the texts once for all of them."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -59,10 +59,16 @@ class Substrate:
     def tokens(self) -> DataFrame:
         return text.pieces(self.papers.select("paper_id", "abstract"), "paper_id", "abstract", WORD).withColumn("alias_key", text.normalize_surface(F.col("match")))
 
+    @cached_property
+    def found(self) -> DataFrame:
+        """Mentions of all papers with the sentence in which they start, from one pass over the texts; what else is derived begins here."""
+        each = text.sentence_pieces(self.papers.select("paper_id", "abstract"), "paper_id", "abstract", WORD).withColumn("alias_key", text.normalize_surface(F.col("match"))).filter(is_mention("alias_key"))
+        label = F.when(_hex("alias_key", 1) < "8", "CHEMICAL").otherwise("DISEASE")
+        return written(each.select("paper_id", "sentence_index", F.col("match").alias("text"), "alias_key", label.alias("label"), "start", "end"))
+
     @cached_property
     def aliases(self) -> DataFrame:
-        words = self.papers.select("paper_id", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("abstract", F.lit(WORD), F.lit(0)), text.normalize_surface))).alias("alias_key"))
-        known = words.filter(is_mention("alias_key") & is_known("alias_key")).select("alias_key").distinct()
+        known = self.found.filter(is_known("alias_key")).select("alias_key").distinct()
         concept = lambda c: F.concat(F.lit("MESH:"), F.upper(F.substring(F.md5(c), 1, 6)))
         own = known.select("alias_key", concept(F.col("alias_key")).alias("concept_id"), F.col("alias_key").alias("name"), F.lit(True).alias("is_preferred"), F.lit(0).alias("ord"))
         other = known.filter(_hex("alias_key", 2) == "0").select("alias_key", concept(F.concat("alias_key", F.lit("#"))).alias("concept_id"), F.concat("alias_key", F.lit("#")).alias("name"), (_hex("alias_key", 3) < "8").alias("is_preferred"), F.lit(1).alias("ord"))
@@ -75,10 +81,7 @@ class Substrate:
     @cached_property
     def placed(self) -> DataFrame:
         """Mentions of all papers with the sentence in which they start, linked or not."""
-        found = text.sentence_pieces(self.papers.select("paper_id", "abstract"), "paper_id", "abstract", WORD).withColumn("alias_key", text.normalize_surface(F.col("match"))).filter(is_mention("alias_key"))
-        label = F.when(_hex("alias_key", 1) < "8", "CHEMICAL").otherwise("DISEASE")
-        m = found.select("paper_id", "sentence_index", F.col("match").alias("text"), "alias_key", label.alias("label"), "start", "end")
-        return linking.link(m, self.resolved)
+        return written(linking.link(self.found, self.resolved))
 
     @cached_property
     def mentions(self) -> DataFrame:
@@ -125,7 +128,7 @@ class Substrate:
     def gold_relations(self) -> DataFrame:
         """Co-occurring concept pairs of a paper whose digest starts below 8."""
         keep = F.substring(F.md5(F.concat_ws("|", "paper_id", "chemical_id", "disease_id")), 1, 1) < "8"
-        return pairing.cross_pairs(self.mentions).filter(keep)
+        return written(pairing.cross_pairs(self.mentions).filter(keep))
 
     @cached_property
     def gold_spans(self) -> DataFrame:
