@@ -25,3 +25,9 @@ def written(df: DataFrame) -> DataFrame:
     path = new_folder(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """A small table over all cores: where the scan gives fewer partitions than there are cores, its rows are dealt out anew; a larger table stays as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

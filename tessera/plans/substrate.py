@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import licence, text
 from ..operators import linking, pairing
-from ..functions.tables import written
+from ..functions.tables import dealt, written
 
 WORD = r"\p{L}{7,}"
 #: Licence strings by document id modulo their number.
@@ -51,18 +51,22 @@ class Substrate:
         tier = licence.tier(licence.any_token(F.col("license")))
         return p.withColumn("license_tier", tier).withColumn("extraction_allowed", licence.allowed(tier))
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        return dealt(self.papers.select("paper_id", "abstract"))
+
     @cached_property
     def sentences(self) -> DataFrame:
-        return text.sentences(self.papers.select("paper_id", "abstract"))
+        return text.sentences(self.texts)
 
     @cached_property
     def tokens(self) -> DataFrame:
-        return text.pieces(self.papers.select("paper_id", "abstract"), "paper_id", "abstract", WORD).withColumn("alias_key", text.normalize_surface(F.col("match")))
+        return text.pieces(self.texts, "paper_id", "abstract", WORD).withColumn("alias_key", text.normalize_surface(F.col("match")))
 
     @cached_property
     def found(self) -> DataFrame:
         """Mentions of all papers with the sentence in which they start, from one pass over the texts; what else is derived begins here."""
-        each = text.sentence_pieces(self.papers.select("paper_id", "abstract"), "paper_id", "abstract", WORD).withColumn("alias_key", text.normalize_surface(F.col("match"))).filter(is_mention("alias_key"))
+        each = text.sentence_pieces(self.texts, "paper_id", "abstract", WORD).withColumn("alias_key", text.normalize_surface(F.col("match"))).filter(is_mention("alias_key"))
         label = F.when(_hex("alias_key", 1) < "8", "CHEMICAL").otherwise("DISEASE")
         return written(each.select("paper_id", "sentence_index", F.col("match").alias("text"), "alias_key", label.alias("label"), "start", "end"))
 
@@ -70,9 +74,10 @@ class Substrate:
     def aliases(self) -> DataFrame:
         known = self.found.filter(is_known("alias_key")).select("alias_key").distinct()
         concept = lambda c: F.concat(F.lit("MESH:"), F.upper(F.substring(F.md5(c), 1, 6)))
-        own = known.select("alias_key", concept(F.col("alias_key")).alias("concept_id"), F.col("alias_key").alias("name"), F.lit(True).alias("is_preferred"), F.lit(0).alias("ord"))
-        other = known.filter(_hex("alias_key", 2) == "0").select("alias_key", concept(F.concat("alias_key", F.lit("#"))).alias("concept_id"), F.concat("alias_key", F.lit("#")).alias("name"), (_hex("alias_key", 3) < "8").alias("is_preferred"), F.lit(1).alias("ord"))
-        return own.unionByName(other)
+        entry = lambda name, preferred, at: F.struct(concept(name).alias("concept_id"), name.alias("name"), preferred.alias("is_preferred"), F.lit(at).alias("ord"))
+        own = entry(F.col("alias_key"), F.lit(True), 0)
+        other = entry(F.concat("alias_key", F.lit("#")), _hex("alias_key", 3) < "8", 1)
+        return known.select("alias_key", F.inline(F.when(_hex("alias_key", 2) == "0", F.array(own, other)).otherwise(F.array(own))))
 
     @cached_property
     def resolved(self) -> DataFrame:
