@@ -182,7 +182,8 @@ def batch(s: Substrate) -> DataFrame:
 
 @case("v1_pair_violations", _with("cand", "acc") + "select c.key, paper_a, paper_b from cand c left join acc a on a.key = c.key and a.paper_id = paper_a left join acc b on b.key = c.key and b.paper_id = paper_b where paper_a >= paper_b or label is distinct from case when len(a.directions) = 1 and len(b.directions) = 1 then case when a.directions = b.directions then 'agreement' else 'contradiction' end end")
 def pair_violations(s: Substrate) -> DataFrame:
-    return corpora.pair_violations(_candidates(s), corpora.accumulate_directions(_directions(s)))
+    accumulated = written(corpora.accumulate_directions(_directions(s)))
+    return corpora.pair_violations(corpora.candidate_pairs(accumulated), accumulated)
 
 
 def _gold(s: Substrate) -> DataFrame:

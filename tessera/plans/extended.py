@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import new_folder
 from ..operators import vectors
-from ..streaming import spending
+from ..streaming import logs, spending
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -72,3 +72,10 @@ def kill_switch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events that a running kill switch lets through, the stream started anew for each quarter of the table."""
     charges = spending.cents_of(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return spending.run_slices(charges, 4, new_folder(spark, "spending"), stops=True)
+
+
+@case("k3_compacted_log", "select user_id, event_type, event_id, value from events where event_id is not null qualify row_number() over (partition by user_id, event_type order by event_id desc) = 1")
+def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and kind, by a log that a restarted stream appends to and that is compacted on the way."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id", "value")
+    return logs.log_slices(events, 4, "event_id", new_folder(spark, "log"), ["user_id", "event_type"])

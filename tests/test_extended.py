@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import vectors
 
@@ -209,3 +210,39 @@ def test_running_cost_over_restarts(spark, tmp_path):
     start(True, str(tmp_path / "let"), str(tmp_path / "cp2"))
     let = spark.read.schema(spending.SCHEMA).parquet(str(tmp_path / "let"))
     assert let.exceptAll(want.filter("not aborted").select(*let.columns)).count() == 0 and let.count() == want.filter("not aborted").count()
+
+
+def test_a_failed_batch_leaves_one_copy(spark, tmp_path, monkeypatch):
+    """Batches that stop before, between and after their writes, then run again; compaction keeps the last writes and can be repeated."""
+    from tessera.streaming import logs
+
+    path, cp, come = (str(tmp_path / x) for x in ("log", "cp", "in"))
+    rows = lambda lo, hi: spark.range(lo, hi).select((F.col("id") % 7).alias("k"), "id", F.lit("x").alias("_last"))
+    say = logs._say
+    for i, when in enumerate(("never", "before", "after", "never")):
+        rows(i * 50, i * 50 + 50).write.mode("append").parquet(come)
+        start = lambda: logs.append(spark.readStream.schema(rows(0, 1).schema).parquet(come), path, cp).awaitTermination()
+
+        def stop(*a, when=when):
+            if when == "after":
+                say(*a)
+            raise RuntimeError("stopped")
+
+        if when != "never":
+            with monkeypatch.context() as m:
+                m.setattr(logs, "_say", stop)
+                with pytest.raises(Exception, match="stopped"):
+                    start()
+        seen = logs.read(spark, path) if i else None
+        assert seen is None or seen.count() == i * 50 + (50 if when == "after" else 0)
+        start()
+        got = logs.read(spark, path)
+        assert sorted(r.id for r in got.collect()) == list(range(i * 50 + 50))
+    logs.compact(spark, path, ["k"], ["id"])
+    logs.compact(spark, path, ["k"], ["id"])
+    got = logs.read(spark, path)
+    assert {r.k: r.id for r in got.collect()} == {k: max(i for i in range(200) if i % 7 == k) for k in range(7)} and got.count() == 7
+    rows(200, 203).write.mode("append").parquet(come)
+    start()
+    assert logs.read(spark, path).count() == 10 and logs.last_writes(logs.read(spark, path), ["k"], ["id"]).count() == 7
+    assert logs.clean(spark, path) >= 4 and logs.read(spark, path).count() == 10
