@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from ..functions.tables import written
 
 
 def _pairs(linked: DataFrame, keys: list[str]) -> DataFrame:
@@ -33,6 +41,62 @@ def cluster_papers(pairs: DataFrame, min_size: int = 2) -> DataFrame:
     return held.groupBy("chemical_id", "disease_id").agg(F.count("*").alias("n_papers"), F.sort_array(F.collect_list("paper_id")).alias("paper_ids"))
 
 
+#: Papers of a key up to which they are kept as one array; those of a larger key are bitmaps.
+ARRAY = 1_000
+_KEY = ["chemical_id", "disease_id"]
+
+
+def _bitmaps(rows: DataFrame) -> DataFrame:
+    """``chemical_id, disease_id, bucket, bits`` of rows with a paper each: a bitmap for every 32,768 consecutive ids, made by partial aggregates, in which repeats vanish."""
+    bucket = F.bitmap_bucket_number("paper_id").alias("bucket")
+    return rows.groupBy(*_KEY, bucket).agg(F.bitmap_construct_agg(F.bitmap_bit_position("paper_id")).alias("bits"))
+
+
+def cluster_members(pairs: DataFrame, min_size: int = 2, most: int = ARRAY) -> DataFrame:
+    """``chemical_id, disease_id, n_papers, paper_ids, bucket, bits``: the groups of :func:`cluster_papers` at any size; ids are whole numbers, not null.
+
+    A key of up to ``most`` papers is a row with their array; a larger one is a row for each bucket of ids, with a bitmap of 4 KB. So no
+    row grows with its key, and a key's rows are spread by bucket.
+    """
+    distinct = pairs.select("paper_id", *_KEY).filter("paper_id is not null").distinct()
+    sized = written(distinct.join(distinct.groupBy(*_KEY).agg(F.count("*").alias("n_papers")).filter(F.col("n_papers") >= min_size), _KEY))
+    few = sized.filter(F.col("n_papers") <= most).groupBy(*_KEY, "n_papers").agg(F.sort_array(F.collect_list("paper_id")).alias("paper_ids"))
+    many = sized.filter(F.col("n_papers") > most)
+    bits = _bitmaps(many).join(many.select(*_KEY, "n_papers").distinct(), _KEY)
+    return few.unionByName(bits, allowMissingColumns=True)
+
+
+def pooled_members(runs: DataFrame, most: int = ARRAY) -> DataFrame:
+    """As :func:`cluster_members`, one group a key, from the members of several runs: bitmaps are joined bit by bit, arrays as long as their union is short."""
+    total = runs.groupBy(*_KEY).agg((F.max(F.col("bits").isNotNull()) | (F.sum(F.coalesce(F.size("paper_ids"), F.lit(0))) > most)).alias("_large"))
+    each = written(runs.join(total, _KEY))
+    short = each.filter("paper_ids is not null").select(*_KEY, "_large", F.explode("paper_ids").alias("paper_id"))
+    few = short.filter("not _large").distinct().groupBy(*_KEY).agg(F.count("*").alias("n_papers"), F.sort_array(F.collect_list("paper_id")).alias("paper_ids"))
+    bits = each.filter("bits is not null").select(*_KEY, "bucket", "bits").unionByName(_bitmaps(short.filter("_large")))
+    bits = written(bits.groupBy(*_KEY, "bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+    n = bits.groupBy(*_KEY).agg(F.sum(F.bitmap_count("bits")).alias("n_papers"))
+    return few.unionByName(bits.join(n, _KEY), allowMissingColumns=True)
+
+
+def members_of(groups: DataFrame) -> DataFrame:
+    """``chemical_id, disease_id, paper_id``, a row a member, of groups as arrays and bitmaps."""
+    out = T.StructType([*(groups.schema[k] for k in _KEY), T.StructField("paper_id", T.LongType())])
+    arrow = to_arrow_schema(out)
+
+    def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                # buckets from 1 on hold ids from 1 on, upwards; those from 0 on, downwards, ids from 0 on, downwards
+                bits, bucket = np.unpackbits(np.frombuffer(batch.column(3)[i].as_py(), np.uint8), bitorder="little"), batch.column(2)[i].as_py()
+                at = np.flatnonzero(bits)
+                ids = (bucket - 1) * len(bits) + at + 1 if bucket > 0 else bucket * len(bits) - at
+                own = [pa.array([batch.column(c)[i].as_py()] * len(ids), arrow.field(c).type) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(ids)], schema=arrow)
+
+    few = groups.filter("paper_ids is not null").select(*_KEY, F.explode(F.col("paper_ids").cast("array<long>")).alias("paper_id"))
+    return few.unionByName(groups.filter("bits is not null").select(*_KEY, "bucket", "bits").mapInArrow(unpacked, out))
+
+
 def in_key_order(clusters: DataFrame) -> DataFrame:
     """Clusters by key in code-point order, by a range partitioning."""
     return clusters.orderBy("chemical_id", "disease_id")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import costs, licence, quality, stats, text
-from ..operators import corpora, evidence, linking, question, rendering, scoring, selection, windows
+from ..operators import corpora, evidence, linking, pairing, question, rendering, scoring, selection, windows
 from ..operators.linking import findings, licence_gate
 from ..operators.pairing import cross_pairs, first_by, pair_table
 from ..sources import state
@@ -589,6 +589,14 @@ def pooled(s: Substrate) -> DataFrame:
     return state.pooled(s.clusters.select("key", "paper_ids").unionByName(gold)).select("key", F.array_join(F.transform("paper_ids", lambda p: p.cast("string")), ",").alias("paper_ids"))
 
 
+@case("u4_pooled_members", _with("gold", "pairs") + """, p as (select chemical_id, disease_id, paper_id, count(*) over (partition by chemical_id, disease_id) as n from pairs)
+    select chemical_id, disease_id, paper_id from p where n >= 2 union select chemical_id, disease_id, paper_id from gold""")
+def pooled_members(s: Substrate) -> DataFrame:
+    """The members of two runs' groups, pooled; keys of more than eight papers as bitmaps."""
+    runs = pairing.cluster_members(s.pairs, most=8).unionByName(pairing.cluster_members(s.gold_relations, min_size=1, most=8))
+    return pairing.members_of(pairing.pooled_members(runs, most=8))
+
+
 @case("f11_contains_phrase", _with("papers") + r", w as (select paper_id, list_filter(string_split_regex(lower(abstract), '[^a-z0-9]+'), lambda x: x <> '') as w from papers) select paper_id, contains(' ' || array_to_string(w, ' ') || ' ', ' ' || array_to_string(w[3:4], ' ') || ' ') and len(w[3:4]) > 0 as own, contains(' ' || array_to_string(w, ' ') || ' ', ' all rights ') as other from w")
 def phrase(s: Substrate) -> DataFrame:
     w = s.papers.select("paper_id", quality.judgement_words(F.col("abstract")).alias("w"))

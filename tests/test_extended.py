@@ -246,3 +246,22 @@ def test_a_failed_batch_leaves_one_copy(spark, tmp_path, monkeypatch):
     start()
     assert logs.read(spark, path).count() == 10 and logs.last_writes(logs.read(spark, path), ["k"], ["id"]).count() == 7
     assert logs.clean(spark, path) >= 4 and logs.read(spark, path).count() == 10
+
+
+def test_members_of_large_keys(spark):
+    """A key of a million papers has no row larger than a bitmap; negative ids, repeats and small keys come back, pooled ones too."""
+    from tessera.operators import pairing
+
+    big = spark.range(-300_000, 700_000).select(F.lit("c").alias("chemical_id"), F.lit("d").alias("disease_id"), (F.col("id") * 3).alias("paper_id"))
+    rest = spark.createDataFrame([("x", "y", 1), ("x", "y", 1), ("x", "y", 5), ("one", "y", 2), ("x", "z", None)], "chemical_id string, disease_id string, paper_id long")
+    groups = pairing.cluster_members(big.unionByName(rest))
+    sizes = groups.select("chemical_id", "n_papers", F.coalesce(F.size("paper_ids"), F.lit(0)).alias("a"), F.coalesce(F.length("bits"), F.lit(0)).alias("b")).collect()
+    assert {(r.chemical_id, r.n_papers) for r in sizes} == {("c", 1_000_000), ("x", 2)} and max(r.a for r in sizes) == 2 and max(r.b for r in sizes) == 4096
+    back = pairing.members_of(groups)
+    want = big.unionByName(rest.filter("chemical_id = 'x' and paper_id is not null").distinct()).select("chemical_id", "disease_id", "paper_id")
+    assert back.exceptAll(want).count() == 0 and back.count() == 1_000_002
+    a = spark.createDataFrame([("k", "l", i) for i in range(0, 40)] + [("s", "l", 1)], "chemical_id string, disease_id string, paper_id long")
+    b = spark.createDataFrame([("k", "l", i) for i in range(35, 42)] + [("s", "l", 2), ("t", "l", 9)], "chemical_id string, disease_id string, paper_id long")
+    both = pairing.pooled_members(pairing.cluster_members(a, 1, 10).unionByName(pairing.cluster_members(b, 1, 10)), 10)
+    assert sorted(map(tuple, pairing.members_of(both).collect())) == sorted({tuple(r) for r in a.unionByName(b).collect()})
+    assert {(r.chemical_id, r.n_papers) for r in both.collect()} == {("k", 42), ("s", 2), ("t", 1)}
