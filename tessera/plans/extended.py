@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import display, licence
 from ..functions.tables import new_folder
 from ..operators import vectors
 from ..streaming import logs, spending
+from .oracles import _with
+from .substrate import Substrate
 
 __all__ = ["oracle_sql", "queries"]
 
@@ -79,3 +82,28 @@ def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last event of each user and kind, by a log that a restarted stream appends to and that is compacted on the way."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "event_id", "value")
     return logs.log_slices(events, 4, "event_id", new_folder(spark, "log"), ["user_id", "event_type"])
+
+
+_DISPLAY = r""", d as (
+  select *, case when regexp_matches(license, '^https?://') then string_split(regexp_extract(license, '^[a-z]+://[^/]*/(.*)$', 1), '/') end as parts0 from papers1),
+e as (select *, list_filter(parts0, lambda p: p <> '') as parts, [journal, 'A' || paper_id, 'B'][1 : paper_id % 4] as authors from d)
+select paper_id,
+  case when token is null then 'no licence' when starts_with(token, 'cc_') then 'CC ' || upper(replace(substr(token, 4), '_', '-')) else token end as licence,
+  case when parts is null then null else concat_ws(' ', case when parts[1] = 'publicdomain' and parts[2] = 'zero' then 'CC0' else 'CC ' || upper(parts[2]) end, parts[3], upper(parts[4])) end as deed,
+  case when len(authors) = 0 then 'No authors listed in PubMed' when len(authors) = 1 then authors[1] else array_to_string(authors[1 : len(authors) - 1], ', ') || ' and ' || authors[len(authors)] end as creators,
+  (paper_id % 3) || case when paper_id % 3 = 1 then ' study' else ' studies' end as counted,
+  case when year is null then null else '1 March ' || year end as dated
+from e"""
+
+
+@case("f36_display", _with("papers1") + _DISPLAY)
+def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each paper's licence, deed, authors, count and date as a viewer spells them; every paper has none to three authors."""
+    p = Substrate(spark, sf_dir).papers
+    id = F.col("paper_id")
+    authors = F.slice(F.array("journal", F.concat(F.lit("A"), id.cast("string")), F.lit("B")), F.lit(1), (id % 4).cast("int"))
+    web = F.when(F.col("license").rlike("^https?://"), F.col("license"))
+    return p.select(
+        "paper_id", display.licence_name(licence.any_token(F.col("license"))).alias("licence"), display.deed_name(web).alias("deed"), display.creators(authors).alias("creators"),
+        display.count_of(id % 3, F.lit("studies")).alias("counted"), display.long_date(F.make_date("year", F.lit(3), F.lit(1))).alias("dated"),
+    )

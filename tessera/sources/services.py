@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import random
 import time
-from collections.abc import Callable
+import zlib
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archives import lines
+
 #: Statuses that are worth another try, tries after the first, and the waits in seconds.
 RETRIED, TRIES, BASE, CAP = (429, 500, 502, 503, 504), 4, 0.5, 8.0
 _AUTHOR = r"(?s)<Author(?:\s[^>]*)?>.*?</Author>"
@@ -41,6 +45,36 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple[int, str]]) -> DataFrame:
     return urls.select("url").mapInPandas(run, "url string, body string")
 
 
+def download_report(spark: SparkSession, url: str, get: Callable[[str], tuple[int, Iterable[bytes]]], folder: str) -> str:
+    """Keeps the lines of a report that a service serves gzipped as text under ``folder``, for the readers of files.py, and returns it.
+
+    ``get`` answers with the body in pieces. One task unpacks them as they come, since a gzip stream has no second beginning; it holds a piece and a line. A
+    byte order mark before the first line goes; a body that ends early raises.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in batch.column(0).to_pylist():
+                held, unpack = [], zlib.decompressobj(31)
+                for i, line in enumerate(lines(_unpacked(unpack, with_retry(lambda at=at: get(at))))):
+                    held.append(line.removeprefix("\ufeff") if i == 0 else line)
+                    if len(held) == 10_000:
+                        yield pa.RecordBatch.from_pydict({"value": held})
+                        held = []
+                if not unpack.eof:
+                    raise OSError(f"{at} ends early")
+                yield pa.RecordBatch.from_pydict({"value": pa.array(held, pa.string())})
+
+    spark.createDataFrame([(url,)], "url string").coalesce(1).mapInArrow(run, "value string").write.mode("errorifexists").text(folder)
+    return folder
+
+
+def _unpacked(unpack, pieces: Iterable[bytes]) -> Iterator[bytes]:
+    for piece in pieces:
+        yield unpack.decompress(piece)
+    yield unpack.flush()
+
+
 def _elements(spark: SparkSession, path: str, tag: str) -> DataFrame:
     """``body``: one row an element; files are cut at the closing tag, so large ones are read in parts."""
     close = f"</{tag}>"

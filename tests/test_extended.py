@@ -265,3 +265,35 @@ def test_members_of_large_keys(spark):
     both = pairing.pooled_members(pairing.cluster_members(a, 1, 10).unionByName(pairing.cluster_members(b, 1, 10)), 10)
     assert sorted(map(tuple, pairing.members_of(both).collect())) == sorted({tuple(r) for r in a.unionByName(b).collect()})
     assert {(r.chemical_id, r.n_papers) for r in both.collect()} == {("k", 42), ("s", 2), ("t", 1)}
+
+
+def test_display(spark):
+    from tessera.functions import display as d
+
+    rows = spark.createDataFrame([(1, "papers", "cc_by_nc_nd", "https://creativecommons.org/licenses/by-nc-nd/3.0/us/", ["A"], "with the question (x, y ,z) kept"), (2, "studies", "cc0", "https://creativecommons.org/publicdomain/zero/1.0/", ["A", "B", "C"], "none"), (1, "studies", None, None, [], None), (1, "mice", "own", "https://creativecommons.org/licenses/by/4.0/legalcode?x#y", None, "with the question ()")], "n int, unit string, token string, url string, authors array<string>, note string")
+    got = [tuple(r) for r in rows.select(d.count_of(F.col("n"), F.col("unit")), d.licence_name(F.col("token")), d.deed_name(F.col("url")), d.creators(F.col("authors")), d.question_concepts(F.col("note"))).collect()]
+    assert got[0] == ("1 paper", "CC BY-NC-ND", "CC BY-NC-ND 3.0 US", "A", ["x", "y", "z"])
+    assert got[1] == ("2 studies", "cc0", "CC0 1.0", "A, B and C", [])
+    assert got[2] == ("1 study", "no licence", None, "No authors listed in PubMed", [])
+    assert got[3] == ("1 mice", "own", "CC BY 4.0 LEGALCODE", "No authors listed in PubMed", [])
+
+
+def test_a_report_is_downloaded_in_pieces(spark, tmp_path):
+    import gzip
+    from pathlib import Path
+
+    from tessera.sources import files, services
+
+    text = "﻿# Report\n# Name\tID\tSynonyms\nAspirin\tD1\ta|b\n" + "".join(f"n{i}\tD{i}\t\n" for i in range(2, 25_000))
+    data, flag = gzip.compress(text.encode()), tmp_path / "tried"
+
+    def get(url):
+        if not Path(flag).exists():
+            Path(flag).touch()
+            return 503, []
+        return 200, (data[i : i + 1000] for i in range(0, len(data) if url == "whole" else 5000, 1000))
+
+    folder = services.download_report(spark, "whole", get, str(tmp_path / "report"))
+    assert files.dictionary(spark, folder, "Name", "ID", "Synonyms").count() == 24_999
+    with pytest.raises(Exception, match="ends early"):
+        services.download_report(spark, "cut", get, str(tmp_path / "cut"))
