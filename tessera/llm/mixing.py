@@ -97,14 +97,14 @@ def draws(sized: DataFrame, cut: DataFrame) -> DataFrame:
 def mix_texts(docs: DataFrame, cut: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: str = "mix", chars: str = "n_chars") -> DataFrame:
     """The mix itself: a row for each whole repetition and one for an excerpt, all columns of ``docs`` and a count of repetitions from 0.
 
-    The count's column is ``repetition``, with underscores behind where ``docs`` has such a column. An excerpt is the piece of
+    The count's column is ``repetition``, with underscores behind where ``docs`` has such a column, in whatever case. An excerpt is the piece of
     the text from its first word to its last, white space included; where there is a column ``chars`` it follows the
     excerpt. Rows are drawn one by one, by id and text, so rows of one id and other texts keep their own; rows from which
     nothing is taken go.
     """
     names = {c: f"_{i}" for i, c in enumerate(docs.columns)}
-    count = "repetition"
-    while count in names:
+    count, held = "repetition", {c.lower() for c in names}
+    while count in held:
         count += "_"
     t = F.col(names[text])
     mine = docs.select(*[F.col(c).alias(v) for c, v in names.items()]).withColumn("size", size_of(t)).withColumn("draw", draw_of(F.col(names[doc_id]), t, seed))

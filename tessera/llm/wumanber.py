@@ -185,6 +185,6 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", held_words: int = HELD_WORDS) -> DataFrame:
     """Rows of ``docs``, with all their columns, whose text is not contaminated."""
     names = ["hit_words", "hits", "hit_ranges", "hit_items"]
-    while set(names) & set(docs.columns):
+    while set(names) & {c.lower() for c in docs.columns}:
         names = [n + "_" for n in names]
     return with_hits(docs, benchmark, names, text, held_words=held_words).filter(~_contaminated(*names[:2])).select(*docs.columns)

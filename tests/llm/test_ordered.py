@@ -181,3 +181,15 @@ def test_ids_by_the_library(spark, awkward, tmp_path):
         assert [back[k] for k in sorted(back)] == plain
     none = tokens.write_ids(awkward.limit(0), tokens.vocabulary("word_bpe_49k.json"), str(tmp_path / "none"))
     assert tokens.document_digests(spark, none).count() == 0 and Path(none).exists()
+
+
+def test_columns_that_clash_but_for_case(spark):
+    from tessera.llm import mixing, wumanber
+
+    docs = spark.createDataFrame([(1, "a b c", "s", 5, 1), (2, "d e", "s", 3, 2)], "doc_id long, text string, source string, Repetition long, Hit_Words int")
+    sized = mixing.sizes(docs)
+    mixed = mixing.mix_texts(docs, mixing.cuts(sized, mixing.targets(sized)))
+    assert mixed.columns == [*docs.columns, "repetition_"] and mixed.count() >= 2
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    kept = wumanber.drop_contaminated(docs, bench)
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
