@@ -676,10 +676,10 @@ def controls(s: Substrate) -> DataFrame:
 
 @case(
     "r7_baseline_sweep",
-    _with("flags", "selected") + """, draws as (select paper_id, sentence_index, is_gold, seed, ('0x' || substr(md5(concat_ws('|', seed, paper_id, sentence_index)), 1, 13))::bigint / 4503599627370496.0::double as u from flags, range(1, 21) as t(seed) where is_gold),
+    _with("flags", "selected") + """, draws as (select paper_id, sentence_index, is_gold, seed, ('0x' || substr(md5(concat_ws('|', seed, paper_id, sentence_index)), 1, 13))::bigint / 4503599627370496.0::double as u from flags, range(1, 201) as t(seed) where is_gold),
     swept as (select 'rate_' || p as selector, seed, count(*) filter (where u < p / 10.0::double) / count(*) as recall from draws, (values (1), (2), (3), (4), (5), (6)) as v(p) group by p, seed)
     select selector, count(*) as n, round(avg(recall), 9) as mean, round(stddev_samp(recall), 9) as sd, min(recall) as low, max(recall) as high from swept group by selector
     union all select selector, 1, round(recall, 9), null, recall, recall from (select selector, hits / (select count(*) from flags where is_gold) as recall from selected)""",
 )
 def sweep(s: Substrate) -> DataFrame:
-    return selection.baseline_sweep(s.sentences, _gold(s), seeds=20).select("selector", "n", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), "low", "high")
+    return selection.baseline_sweep(s.sentences, _gold(s), seeds=200).select("selector", "n", F.round("mean", 9).alias("mean"), F.round("sd", 9).alias("sd"), "low", "high")

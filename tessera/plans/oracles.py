@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators import corpora
+
 _LICENCES = "['CC BY','cc-by-nc','CC0','https://creativecommons.org/licenses/by/4.0/','https://creativecommons.org/licenses/by-nc-nd/3.0/us/','cc_no','no-cc-code',null,'publisher user license','CC  BY-SA','http://www.creativecommons.org/publicdomain/zero/1.0/legalcode','cc_by_nd']"
 
 _TOKEN = r"regexp_replace(regexp_replace(regexp_replace(lower(trim(license)), '[\s-]+', '_', 'g'), '_+', '_', 'g'), '^_|_$', '', 'g')"
@@ -145,6 +147,6 @@ def oracle_sql() -> dict[str, str]:
         "r4_select_at_rate": _with("sent") + "select paper_id, sentence_index from sent where ('0x' || substr(md5(concat_ws('|', 'seed', paper_id, sentence_index)), 1, 13))::bigint / 4503599627370496.0::double < 0.25",
         "k5_content_hash": "select substr(sha256(concat_ws('|', count(*), " + ", ".join(f"sum(('0x' || substr(d, {at}, 12))::bigint)::hugeint::varchar" for at in (1, 13, 25, 37)) + ")), 1, 16) as content_hash from (select sha256(concat_ws('|', doc_id, quality, toxic)) as d from labels)",
         "f31_size_bands": _with("clusters") + "select case when n_papers <= 3 then 'small' when n_papers <= 7 then 'medium' else 'large' end as band, count(*) as n from clusters group by 1",
-        "p17_direction": "select doc_id as paper_id, case when c > t then 'causes' when t > c then 'treats' else 'neither' end as direction from (select doc_id, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in ("induced by", "-induced", "caused", "causes", "toxicity", "adverse", "risk of")) + " as c, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in ("treatment of", "therapy", "therapeutic", "efficacy", "improved", "ameliorat")) + " as t from documents)",
+        "p17_direction": "select doc_id as paper_id, case when c > t then 'causes' when t > c then 'treats' else 'neither' end as direction from (select doc_id, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in corpora.CAUSES) + " as c, " + " + ".join(f"contains(lower(text), '{w}')::int" for w in corpora.TREATS) + " as t from documents)",
         "f37_links": """select page_id, href, count(*) as n from (select page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) as href from pages) group by all""".replace("group by all", "group by page_id, href"),
     }
