@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import display, licence
 from ..functions.tables import new_folder
-from ..operators import vectors
+from ..operators import vectors, viewer
 from ..streaming import logs, spending
 from .oracles import _with
 from .substrate import Substrate
@@ -107,3 +107,24 @@ def displayed(spark: SparkSession, sf_dir: str) -> DataFrame:
         "paper_id", display.licence_name(licence.any_token(F.col("license"))).alias("licence"), display.deed_name(web).alias("deed"), display.creators(authors).alias("creators"),
         display.count_of(id % 3, F.lit("studies")).alias("counted"), display.long_date(F.make_date("year", F.lit(3), F.lit(1))).alias("dated"),
     )
+
+
+_LINKS = r"""with found as (select page_id, regexp_extract_all(html, '\s(?:href|src)="([^"]*)"', 1) as hrefs, html from pages),
+links as (select distinct page_id || '.html' as file, unnest(hrefs) as href from found),
+files as (select page_id || '.html' as path from pages union select substr(hrefs[1], 2) from found where len(hrefs) > 0),
+ids as (select page_id || '.html' as path, unnest(regexp_extract_all(html, '\sid="([^"]+)"', 1)) as id from pages),
+cut as (select *, string_split(href, '#')[1] as p, coalesce(string_split(href, '#')[2], '') as id from links where not regexp_matches(href, '^[A-Za-z]+:')),
+aimed as (select *, case when p = '' then file else substr(p, 2) end as target from cut),
+met as (select *, case when target in (select path from files) then target when target || 'index.html' in (select path from files) then target || 'index.html' end as page from aimed)
+select file, href, case when page is null then 'no such file' else 'no such id' end as reason from met
+where page is null or (id <> '' and not exists (select 1 from ids where ids.path = page and ids.id = met.id))"""
+
+
+@case("f37_broken_links", _LINKS)
+def broken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all pages that open nothing on a site that holds each page under its number, and a file by the name of each page's first link."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    named = F.substring(F.regexp_extract("html", viewer.LINK, 1), 2, 1 << 20)
+    has = F.regexp_like("html", F.lit(viewer.LINK))
+    files = pages.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("path"), F.col("html").alias("text"))
+    return viewer.broken_links(files.unionByName(pages.filter(has).select(named.alias("path"), F.lit("").alias("text"))), "/")
