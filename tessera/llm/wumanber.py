@@ -141,11 +141,32 @@ def _search_pass(df: DataFrame, shared: Broadcast, text: str, names: list[str],
     return df.mapInArrow(run, schema)
 
 
+def _pieces(sized: DataFrame, size: int) -> DataFrame:
+    """``item, text, n``: long items in pieces of ``size`` words that share ``WINDOW - 1`` words, so that each window is in one; equal rows once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                words = word_list(t)
+                starts = range(0, len(words) - WINDOW + 1, size - WINDOW + 1) if len(words) > size else [0]
+                rows += [(i, b" ".join(words[s : s + size]).decode("utf-8", "replace"), min(size, len(words) - s)) for s in starts]
+            at, texts, n = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(texts, pa.string()), pa.array(n, pa.int64())], names=["item", "text", "n"])
+
+    return sized.mapInArrow(run, T.StructType([sized.schema["item"], T.StructField("text", T.StringType()), T.StructField("n", T.LongType())])).distinct()
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str, held_words: int) -> list[DataFrame]:
-    """The benchmark dealt by a hash into as many parts of about ``held_words`` words as its size asks for."""
+    """The benchmark dealt by a hash into as many parts of about ``held_words`` words as its words ask for. Long items are cut into pieces first,
+    so that one item, of any length, is spread as well."""
     sized = benchmark.select(F.col(item).alias("item"), F.col(text).alias("text"))
-    n = 1 + int(sized.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // (6 * held_words)
-    return [sized.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [sized]
+    # a word and what parts it from the next take two bytes at least
+    if (sized.agg(F.sum(F.octet_length("text"))).first()[0] or 0) <= 2 * held_words:
+        return [sized]
+    pieces = Cut(_pieces(sized, max(2 * WINDOW, held_words // 8)))
+    n = 1 + int(pieces.df.agg(F.sum("n")).first()[0] or 0) // held_words
+    return [pieces.df.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).select("item", "text") for k in range(n)]
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, names: list[str], text: str = "text", keep_text: bool = True, held_words: int = HELD_WORDS) -> DataFrame:
