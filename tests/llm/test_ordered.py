@@ -193,3 +193,67 @@ def test_columns_that_clash_but_for_case(spark):
     bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     kept = wumanber.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
+def test_passages_of_rows_without_ids(spark):
+    """Null or repeated ids give the passages that ids of their own give."""
+    from tessera.llm import passages
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    shared = [[word() for _ in range(70)] for _ in range(4)]
+    texts = [" ".join([word() for _ in range(30)] + rng.choice(shared) + [word() for _ in range(30)]) for _ in range(60)]
+    places = lambda ids: sorted(tuple(r) for r in passages.find_passages(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).select("start", "end", "ref_start", "ref_end", "identity").collect())
+    own = places(range(60))
+    assert len(own) >= 56 and places([None] * 60) == own == places([7] * 60)
+
+
+def test_open_seeds_by_brute_force():
+    """A seed is open where a run of all shared seeds around it lies in no passage found."""
+    from tessera.llm import passages as p
+
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        n, size = int(rng.integers(30, 200)), 20
+        at = np.unique(rng.integers(0, n - p.K + 1, rng.integers(1, 30))).astype(np.int32)
+        reach = p.reaches(at, n)
+        some = rng.random(len(at)) < 0.8
+        ranges = np.array([(a << 32) + a + int(rng.integers(5, 60)) for a in map(int, rng.integers(0, n, rng.integers(0, 4)))], np.int64)
+        got = p.opened(at[some], reach[some], size, ranges)
+        shared = set(at[some].tolist())
+        inside = lambda x: [s for s in at.tolist() if x <= s and s + p.K <= x + size]
+        covered = lambda x: any(r >> 32 <= x and x + size <= r & 0xFFFFFFFF for r in ranges.tolist())
+        runs = [x for x in range(n - size + 1) if inside(x) and set(inside(x)) <= shared and not covered(x)]
+        want = [any(s in inside(x) for x in runs) for s in at[some].tolist()]
+        assert got.tolist() == want
+
+
+def test_one_long_item_is_searched_in_blocks(spark):
+    """A benchmark that is one long text, repeated, beside short ones: blocks stay near their bound, and hits are those of one search."""
+    from tessera.llm import wumanber
+
+    rng = random.Random(1)
+    words = [rng.choice(["ab", "c", "de", "é"]) + str(rng.randrange(40)) for _ in range(3000)]
+    items = [(1, " ".join(words)), (1, " ".join(words)), (2, "ab1 c2"), (3, None), (4, " ".join(words[100:113]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(["x"] * 5 + words[s : s + 40] + ["y"] * 3)) for i, s in enumerate(range(0, 2960, 37))] + [(900, "c2"), (901, "ab1 c2"), (902, None)], "doc_id long, text string")
+    by = lambda n: sorted(map(tuple, wumanber.find_contamination(docs, bench, held_words=n).collect()))
+    assert by(400) == by(10**6)
+    blocks = wumanber._blocks(bench, "item_id", "text", 400)
+    assert len(blocks) > 5 and max(sum(len((r.text or "").split()) for r in b.collect()) for b in blocks) < 1000
+
+
+def test_equal_passages_of_a_short_period_are_found(spark):
+    """Passages of 80 words that repeat every two or three words, most of which hold no seed of its own hash."""
+    from tessera.llm import passages
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(40):
+        period = [word() for _ in range(2 + i % 2)]
+        body = (period * 40)[:80]
+        rows += [(2 * i + j, " ".join([word() for _ in range(40)] + body + [word() for _ in range(40)])) for j in range(2)]
+    found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hit = {min(r.doc_id, r.ref_id) // 2 for r in found if {r.doc_id // 2} == {r.ref_id // 2} and r.start <= 45 and r.end >= 115}
+    assert len(hit) == 40, len(hit)
