@@ -38,8 +38,7 @@ def fold(texts: pd.Series) -> pd.Series:
 
 def alias_words(folded: Column) -> Column:
     """Words of a folded text: lower case, letters, digits and inner hyphens."""
-    words = F.transform(F.split(F.lower(folded), r"[^a-z0-9\-]+"), lambda w: F.regexp_replace(w, "^-+|-+$", ""))
-    return F.filter(words, lambda w: w != "")
+    return F.regexp_extract_all(F.lower(folded), F.lit("[a-z0-9](?:[a-z0-9-]*[a-z0-9])?"), F.lit(0))
 
 
 def ngrams(words: Column, longest: int = 6) -> Column:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import quality
 from ..functions.arrays import bound
 from ..functions.tables import written
+from ..functions.text import contains_phrase
 from .pairing import first_by
 
 #: Least length of a document, in characters, and what ends a sentence inside it.
@@ -73,13 +76,41 @@ def alias_table(aliases: DataFrame) -> DataFrame:
     return a.groupBy("alias").agg(F.max_by("concept_id", F.struct("is_preferred", "ord", "concept_id")).alias("concept_id"))
 
 
-def text_concepts(rows: DataFrame, aliases: DataFrame, text: str = "abstract", longest: int = 6) -> DataFrame:
-    """``paper_id, concept_id``: distinct concepts an alias of which stands in a text, by runs of 1 to ``longest`` words.
+def _distinct_words(text: str) -> Column:
+    return F.array_distinct(quality.alias_words(F.col(text)))
+
+
+def _concepts_met(words: DataFrame, rows: DataFrame, aliases: DataFrame, texts: list[str], flag: Callable[..., Column], longest: int) -> DataFrame:
+    """``paper_id, concept_id, _in`` of ``words`` (``paper_id, word, _in``) and folded ``rows``, repeats kept.
 
-    A text's runs are made distinct before they meet the aliases, by an equi-join."""
+    Words meet the aliases by their first word, so a text sends each of its words once and no run of words. Only where the first word of an
+    alias of several words stands in a text is that text looked at again; ``flag`` is then made of whether the alias stands in each of ``texts``.
+    """
+    each = F.split("alias", " ")
+    named = alias_table(aliases).filter(F.size(each) <= longest).select(each[0].alias("word"), "concept_id", F.when(F.size(each) > 1, each).alias("_alias"))
+    met = written(words.join(named, "word").select("paper_id", "concept_id", "_alias", "_in"))
+    begun = written(met.filter("_alias is not null").groupBy("paper_id").agg(F.collect_set(F.struct("concept_id", "_alias")).alias("_begun")))
+    again = rows.join(begun, "paper_id").select("paper_id", F.explode("_begun").alias("_x"), *[quality.alias_words(F.col(t)).alias(t) for t in texts])
+    stands = [contains_phrase(F.col(t), F.col("_x._alias")) for t in texts]
+    whole = again.filter(F.greatest(*stands) if len(stands) > 1 else stands[0]).select("paper_id", "_x.concept_id", flag(*stands).alias("_in"))
+    return met.filter("_alias is null").select("paper_id", "concept_id", "_in").unionByName(whole)
+
+
+def text_concepts(rows: DataFrame, aliases: DataFrame, text: str = "abstract", longest: int = 6) -> DataFrame:
+    """``paper_id, concept_id``: distinct concepts an alias of which stands in a text, by aliases of 1 to ``longest`` words."""
     folded = rows.select("paper_id", quality.fold(F.col(text)).alias("_f"))
-    runs = folded.select("paper_id", F.explode(F.array_distinct(quality.ngrams(quality.alias_words(F.col("_f")), longest))).alias("alias"))
-    return runs.join(alias_table(aliases), "alias").select("paper_id", "concept_id").distinct()
+    words = folded.select("paper_id", F.explode(_distinct_words("_f")).alias("word"), F.lit(True).alias("_in"))
+    return _concepts_met(words, folded, aliases, ["_f"], lambda x: x, longest).select("paper_id", "concept_id").distinct()
+
+
+def unsourced_concepts(rows: DataFrame, aliases: DataFrame, output: str, source: str, longest: int = 6) -> DataFrame:
+    """``paper_id, concept_id``: concepts of an output that its source doesn't name by any alias. Output and source are looked up together, each word once."""
+    folded = rows.select("paper_id", quality.fold(F.col(output)).alias("_o"), quality.fold(F.col(source)).alias("_s"))
+    listed = folded.select("paper_id", _distinct_words("_o").alias("_o"), F.coalesce(_distinct_words("_s"), F.array().cast("array<string>")).alias("_s"))
+    mark = lambda words, sourced: F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(sourced).alias("_in")))
+    words = listed.select("paper_id", F.inline(F.concat(mark(F.coalesce(F.array_except("_o", "_s"), F.array().cast("array<string>")), False), mark(F.col("_s"), True))))
+    met = _concepts_met(words, folded, aliases, ["_o", "_s"], lambda o, s: F.coalesce(s, F.lit(False)), longest)
+    return met.groupBy("paper_id", "concept_id").agg(F.bool_or("_in").alias("_in")).filter("not _in").select("paper_id", "concept_id")
 
 
 def distinguishing_tokens(members: DataFrame, findings: DataFrame, least: int = 4) -> DataFrame:

@@ -275,6 +275,22 @@ def test_folding_and_words(spark):
     assert [x.g for x in g] == [["a", "b", "c", "a b", "b c"], []]
 
 
+def test_concepts_of_outputs_and_sources(spark):
+    aliases = spark.createDataFrame([("Alpha", "A"), ("alpha beta", "AB"), ("beta", "B"), ("b", "B"), ("x y z", "XYZ"), ("x", "X"), ("a b c d e f g", "LONG")], "alias_key string, concept_id string").withColumns({"is_preferred": F.lit(True), "ord": F.lit(0)})
+    texts = [(1, "alpha, Beta! x y", "alpha x"), (2, "x y x y z", "y z"), (3, "beta", "b"), (4, None, "alpha"), (5, "alpha", None), (6, "a b c d e f g x y z", "x y z"), (6, "alpha", ""), (7, "", "")]
+    named = {"A": ["alpha"], "AB": ["alpha beta"], "B": ["beta", "b"], "XYZ": ["x y z"], "X": ["x"]}
+
+    def plain(text: str | None) -> set[str]:
+        words = " " + " ".join("".join(c if c.isalnum() else " " for c in (text or "").lower()).split()) + " "
+        return {c for c, names in named.items() if any(f" {n} " in words for n in names)}
+
+    rows = spark.createDataFrame(texts, "paper_id long, o string, s string")
+    of = lambda at: {(t[0], c) for t in texts for c in plain(t[at])}
+    pairs = lambda df: sorted((r.paper_id, r.concept_id) for r in df.collect())
+    assert pairs(evidence.text_concepts(rows, aliases, "o")) == sorted(of(1))
+    assert pairs(evidence.unsourced_concepts(rows, aliases, "o", "s")) == sorted(of(1) - of(2))
+
+
 def test_judging_words_are_given_by_their_neighbours(spark):
     rows = spark.createDataFrame([("Results are consistent with x", "consistent with y"), ("findings are consistent across studies", "consistent with y"), ("Concurrent use; mixed", ""), ("", "a")], "o string, s string")
     assert [r.v for r in rows.select(quality.judgement_volunteered(F.col("o"), F.col("s")).alias("v")).collect()] == [[], ["consistent"], ["mixed"], []]
