@@ -378,3 +378,14 @@ def test_queries_against_sql(spark, small, name):
     mine = sorted(str(tuple(r[c] for c in cols)) for r in got.collect())
     theirs = sorted(str(tuple(r)) for r in con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({evaluation.oracle_sql()[name]})").fetchall())
     assert mine == theirs
+
+
+def test_an_id_that_is_chemical_and_disease_is_two_endpoints(spark, tmp_path):
+    # ththesin is a chemical and theareti a disease, both by the id MESH:5EB5AB
+    texts = [(i, f"ththesin {('laaipaçre', 'aielletionê', 'toanerorea')[i % 3]}" if i % 2 else f"{('thedonnt', 'keitbege', 'eredatth')[i % 3]} theareti") for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in evaluation.queries()["j13_hard_negatives"](spark, str(tmp_path)).select("endpoint", "paper_a", "paper_b").collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(evaluation.oracle_sql()["j13_hard_negatives"]).fetchall())
+    assert sum(r[0] == "MESH:5EB5AB" for r in got) == 8
