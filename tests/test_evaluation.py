@@ -271,6 +271,22 @@ def test_pairs_of_a_paper_are_made_once(spark):
     assert "Aggregate" not in pairs._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
 
 
+def test_relations_outside_cross_pairs(spark):
+    linked = spark.createDataFrame([(1, "CHEMICAL", "A"), (1, "DISEASE", "D"), (2, "CHEMICAL", "A"), (2, "DISEASE", None), (3, "DISEASE", "A"), (3, "DISEASE", "D"), (None, "CHEMICAL", "A"), (None, "DISEASE", "D")], "paper_id long, label string, canonical_id string")
+    relations = spark.createDataFrame([(1, "A", "D"), (1, "A", "E"), (1, "B", "D"), (1, "B", "E"), (2, "A", "D"), (3, "A", "D"), (4, "A", "D"), (None, "A", "D"), (1, None, "D"), (1, "A", "E")], "paper_id long, chemical_id string, disease_id string")
+    want = relations.join(pairing.cross_pairs(linked), ["paper_id", "chemical_id", "disease_id"], "left_anti")
+    found = pairing.outside_cross_pairs(relations, linked)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, (tuple(r) for r in want.collect()))) and found.count() == 9
+
+
+def test_clusters_are_dealt_by_key_once(spark):
+    pairs = spark.createDataFrame([(p, f"C{p % 3}", "D") for p in range(7)] * 2 + [(1, "X", "Y")], "paper_id long, chemical_id string, disease_id string")
+    clusters = pairing.cluster_papers(pairs)
+    assert sorted((r.chemical_id, r.n_papers, tuple(r.paper_ids)) for r in clusters.collect()) == [("C0", 3, (0, 3, 6)), ("C1", 2, (1, 4)), ("C2", 2, (2, 5))]
+    plan = clusters._jdf.queryExecution().sparkPlan().toString() + clusters._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(paper_id" not in plan and "ENSURE_REQUIREMENTS" not in plan.split("BroadcastExchange")[0]
+
+
 def test_gold_sentences_need_no_pairs_of_other_sentences(spark, small):
     s = Substrate(spark, small)
     few, every = evaluation._gold(s), selection.gold_sentences(s.gold_relations, s.located)
