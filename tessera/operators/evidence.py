@@ -4,8 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import quality
 from ..functions.arrays import bound
@@ -113,18 +117,52 @@ def unsourced_concepts(rows: DataFrame, aliases: DataFrame, output: str, source:
     return met.groupBy("paper_id", "concept_id").agg(F.bool_or("_in").alias("_in")).filter("not _in").select("paper_id", "concept_id")
 
 
+#: Papers of a set up to which its tokens are counted as one group, and most groups that those of a larger one are split into.
+SET_BLOCK, SET_SPLITS = 2_048, 64
+#: Classes of tokens that are numbered side by side.
+NUMBERED = 1_024
+
+
+def _numbered(words: DataFrame) -> DataFrame:
+    """``token, id``: whole numbers of the tokens that two papers or more have, dealt by classes of a hash, so no task numbers all."""
+    shared = words.groupBy("token").agg(F.count("*").alias("_df")).filter("_df > 1").withColumn("_c", F.pmod(F.xxhash64("token"), F.lit(NUMBERED)).cast("int"))
+    place = F.row_number().over(Window.partitionBy("_c").orderBy("token"))
+    return shared.select("token", ((place - 1) * NUMBERED + F.col("_c")).alias("id"))
+
+
+def _once(rows: pa.Table) -> pa.Table:
+    """How many numbers of each paper no other paper of its set has."""
+    ids = rows["ids"].combine_chunks()
+    values, owner = pc.list_flatten(ids).to_numpy(), pc.list_parent_indices(ids).to_numpy()
+    _, first, n = np.unique(values, return_index=True, return_counts=True)
+    k = np.bincount(owner[first[n == 1]], minlength=rows.num_rows)
+    return rows.select(["_x", "_y", "_n", "paper_id"]).append_column("_k", pa.array(k, pa.int64()))
+
+
 def distinguishing_tokens(members: DataFrame, findings: DataFrame, least: int = 4) -> DataFrame:
     """``key, paper_id, n_tokens, category``: tokens of a paper's findings that no other paper of the group has.
 
-    Papers without findings and papers whose tokens all stand elsewhere too are told apart.
+    Papers without findings and papers whose tokens all stand elsewhere too are told apart. What the tokens of a group are follows from its
+    papers, and many keys have the same ones: each set of papers (by two 64-bit hashes and its size) is counted once, for all its keys. A token that only one paper has
+    distinguishes it everywhere; the others travel as one array of numbers a paper and set, not as rows.
     """
-    words = findings.select("paper_id", quality.fold(F.col("text")).alias("_f")).select("paper_id", F.explode(quality.alias_words(F.col("_f"))).alias("token")).filter(F.length("token") >= least).distinct()
-    in_group = members.select("key", "paper_id").join(words, "paper_id")
-    own = in_group.groupBy("key", "token").agg(F.count("*").alias("_df"), F.min("paper_id").alias("paper_id")).filter("_df = 1").groupBy("key", "paper_id").agg(F.count("*").alias("n_tokens"))
-    found = findings.select("paper_id").distinct().withColumn("_found", F.lit(True))
-    x = members.select("key", "paper_id").join(own, ["key", "paper_id"], "left").join(found, "paper_id", "left")
-    category = F.when(F.col("n_tokens").isNotNull(), "scorable").when(F.col("_found"), "indistinguishable").otherwise("no_findings")
-    return x.select("key", "paper_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), category.alias("category"))
+    tokens = F.filter(quality.alias_words(F.col("_f")), lambda w: F.length(w) >= least)
+    # a paper whose findings have no token is a row of a null one, so that the texts are read once
+    words = written(findings.select("paper_id", quality.fold(F.col("text")).alias("_f")).select("paper_id", F.explode_outer(tokens).alias("token")).distinct())
+    papers = written(words.join(written(_numbered(words.filter("token is not null"))), "token", "left").groupBy("paper_id").agg(F.count_if(F.col("token").isNotNull() & F.col("id").isNull()).alias("_own"), F.sort_array(F.collect_list("id")).alias("ids")))
+    in_key = members.select("key", "paper_id").distinct()
+    sets = in_key.groupBy("key").agg(F.bit_xor(F.xxhash64("paper_id")).alias("_x"), F.bit_xor(F.xxhash64("paper_id", F.lit(1))).alias("_y"), F.count("*").alias("_n"))
+    held = written(in_key.join(sets, "key"))
+    of_set = held.select("_x", "_y", "_n", "paper_id").distinct().join(papers.select("paper_id", "ids"), "paper_id")
+    splits = F.least(F.lit(SET_SPLITS), F.ceil(F.col("_n") / SET_BLOCK)).cast("int")
+    whole = of_set.filter(splits == 1).withColumn("_b", F.lit(0))
+    split = of_set.filter(splits > 1).withColumn("_s", splits).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_s") - 1)))
+    split = split.withColumn("ids", F.filter("ids", lambda x: F.pmod(F.floor(x / NUMBERED), F.col("_s")) == F.col("_b"))).drop("_s")
+    counted = whole.unionByName(split).groupBy("_x", "_y", "_n", "_b").applyInArrow(_once, T.StructType([*(of_set.schema[c] for c in ("_x", "_y", "_n", "paper_id")), T.StructField("_k", T.LongType())]))
+    own = counted.groupBy("_x", "_y", "_n", "paper_id").agg(F.sum("_k").alias("_k"))
+    x = held.join(own, ["_x", "_y", "_n", "paper_id"], "left").join(papers.select("paper_id", "_own"), "paper_id", "left").withColumn("n_tokens", F.coalesce(F.col("_own") + F.col("_k"), F.lit(0)).cast("long"))
+    category = F.when(F.col("n_tokens") > 0, "scorable").when(F.col("_own").isNotNull(), "indistinguishable").otherwise("no_findings")
+    return x.select("key", "paper_id", "n_tokens", category.alias("category"))
 
 
 def attributable(members: DataFrame) -> DataFrame:

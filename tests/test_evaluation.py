@@ -405,3 +405,47 @@ def test_an_id_that_is_chemical_and_disease_is_two_endpoints(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(con.execute(evaluation.oracle_sql()["j13_hard_negatives"]).fetchall())
     assert sum(r[0] == "MESH:5EB5AB" for r in got) == 8
+
+
+def _rows_moved(spark, make):
+    """Rows of a result and the number of rows that its shuffles wrote."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+
+    def total():
+        stages = store.stageList(None, False, False, quantiles, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()) if stages.apply(i).stageId() > last)
+
+    stages = store.stageList(None, False, False, quantiles, None)
+    last = max((stages.apply(i).stageId() for i in range(stages.size())), default=-1)
+    return make().collect(), total()
+
+
+def _distinguished(members, words):
+    """By plain sets, from ``key, paper_id`` and the tokens of each paper that has findings."""
+    out = {}
+    for key, p in members:
+        others = set().union(*(words.get(q, set()) for k, q in members if k == key and q != p))
+        n = len(words.get(p, set()) - others)
+        out[key, p] = (n, "scorable" if n else "indistinguishable" if p in words else "no_findings")
+    return out
+
+
+@pytest.mark.parametrize("block", [2_048, 2])
+def test_distinguishing_tokens_by_sets_of_papers(spark, monkeypatch, block):
+    monkeypatch.setattr(evidence, "SET_BLOCK", block)
+    rng = random.Random(5)
+    texts = {p: [rng.choice(["word", "other", "ab"]) + str(rng.randrange(40)) for _ in range(rng.randrange(1, 30))] for p in range(12)} | {12: ["a", "be"], 13: ["word1", "word1"]}
+    members = sorted({(f"k{rng.randrange(12)}", rng.randrange(15)) for _ in range(90)}) + [(f"same{i}", p) for i in range(5) for p in (1, 2, 12)]
+    m, f = spark.createDataFrame(members, "key string, paper_id long"), spark.createDataFrame([(p, " ".join(w)) for p, w in texts.items()], "paper_id long, text string")
+    got = {(r.key, r.paper_id): (r.n_tokens, r.category) for r in evidence.distinguishing_tokens(m, f).collect()}
+    assert got == _distinguished(members, {p: {x for x in w if len(x) >= 4} for p, w in texts.items()})
+
+
+def test_keys_of_one_set_of_papers_move_their_tokens_once(spark):
+    texts = {p: {f"word{i}" for i in range(p, 300 + p)} for p in range(3)}
+    members = [(f"k{i}", p) for i in range(300) for p in range(3)]
+    m, f = spark.createDataFrame(members, "key string, paper_id long"), spark.createDataFrame([(p, " ".join(sorted(w))) for p, w in texts.items()], "paper_id long, text string")
+    got, moved = _rows_moved(spark, lambda: evidence.distinguishing_tokens(m, f))
+    assert {(r.key, r.paper_id): (r.n_tokens, r.category) for r in got} == _distinguished(members, texts)
+    assert moved < 30_000  # 900 members of 300 tokens are 270,000 rows
