@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import prf, ratio
@@ -29,6 +29,13 @@ def set_scores(gold: DataFrame, predicted: DataFrame, keys: list[str], by: list[
     return multiset_scores(gold.select(*keys).distinct(), predicted.select(*keys).distinct(), keys, by)
 
 
+def tallied(rows: DataFrame, gold: Column, predicted: Column, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
+    """As :func:`set_scores`, of distinct rows that say themselves what they are: nothing is joined."""
+    n = F.lit(1) if weight is None else weight
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
+    return _scores(rows.groupBy(*(by or [])).agg(total(gold & predicted).alias("tp"), total(~gold & predicted).alias("fp"), total(gold & ~predicted).alias("fn")), by or [])
+
+
 def census(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     """Each gold span's outcome: EXACT, MERGEABLE (two overlaps or more), TRUNCATED (one) or MISSED, within document and label."""
     each = overlap_counts(gold, predicted, ["paper_id", "label"]).withColumn("exact", F.col("equal") > 0).drop("equal")

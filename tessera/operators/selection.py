@@ -144,16 +144,18 @@ def error_overlaps(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return fn.groupBy("label").agg(F.sum("n").alias("missed")).join(met, "label", "left").na.fill(0, ["overlapped"])
 
 
-def granted_scores(gold: DataFrame, predicted: DataFrame, grants: dict[str, DataFrame], keys: list[str]) -> DataFrame:
-    """Scores of the predictions and of their union with each grant, by ``variant``, in one grouping."""
-    from .scoring import set_scores
-
-    base = predicted.select(*keys)
-    tagged = base.withColumn("variant", F.lit("none"))
-    for name, extra in grants.items():
-        tagged = tagged.unionByName(base.unionByName(extra.select(*keys)).withColumn("variant", F.lit(name)))
-    names = F.array(*[F.lit(n) for n in ("none", *grants)])
-    return set_scores(gold.select(*keys, F.explode(names).alias("variant")), tagged, [*keys, "variant"], ["variant"])
+def granted_scores(rows: DataFrame, gold: Column, predicted: Column, grants: dict[str, Column]) -> DataFrame:
+    """Scores of the predictions and of their union with each grant, by ``variant``.
+
+    ``rows`` are distinct and hold all that is gold, predicted or granted; which of these a row is, is said by conditions on it. So rows are counted where
+    they are, by the few combinations of conditions, and none is sent on.
+    """
+    from .scoring import tallied
+
+    flags = {"_gold": gold, "_none": predicted, **{f"_{name}": condition for name, condition in grants.items()}}
+    cells = rows.groupBy(*[F.coalesce(c, F.lit(False)).alias(k) for k, c in flags.items()]).agg(F.count("*").alias("_k")).filter(" or ".join(f"`{k}`" for k in flags))
+    granted = F.explode(F.array(*[F.struct(F.lit(name).alias("variant"), (F.col("_none") | F.col(f"_{name}")).alias("_p")) for name in ("none", *grants)])).alias("_v")
+    return tallied(cells.select("_gold", "_k", granted).select("_gold", "_k", "_v.*").filter("_gold or _p"), F.col("_gold"), F.col("_p"), ["variant"], F.col("_k"))
 
 
 def unmatched(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:

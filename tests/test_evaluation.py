@@ -1,6 +1,7 @@
 """Pair corpora, selections, evidence and text measures on small rows, against plain versions, and queries against SQL."""
 
 import random
+import re
 from datetime import date
 from itertools import combinations
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import costs, quality
-from tessera.operators import corpora, evidence, pairing, selection
+from tessera.operators import corpora, evidence, linking, pairing, selection
 from tessera.plans import evaluation
 from tessera.plans.substrate import Substrate
 
@@ -449,3 +450,24 @@ def test_keys_of_one_set_of_papers_move_their_tokens_once(spark):
     got, moved = _rows_moved(spark, lambda: evidence.distinguishing_tokens(m, f))
     assert {(r.key, r.paper_id): (r.n_tokens, r.category) for r in got} == _distinguished(members, texts)
     assert moved < 30_000  # 900 members of 300 tokens are 270,000 rows
+
+
+def test_all_pairs_of_a_paper_are_scored_without_moving_them(spark):
+    located = spark.createDataFrame([(p, s, label, f"{label[0]}{i}") for p in range(2) for label in ("CHEMICAL", "DISEASE") for i in range(200) for s in (i, 64 + (i + p) % 70)], "paper_id long, sentence_index int, label string, canonical_id string")
+    rows = pairing.placed_pairs(located)
+    gold, early = F.substring("disease_id", -1, 1) < "5", F.col("chemical_id") < "C15"
+    got, moved = _rows_moved(spark, lambda: selection.granted_scores(rows, gold, pairing.together(), {"early": gold & early}))
+    assert moved < 5_000  # 80,000 pairs
+    pairs = {tuple(r) for r in pairing.same_sentence_pairs(located).collect()}
+    every = {tuple(r) for r in pairing.cross_pairs(located).collect()}
+    is_gold = {x for x in every if x[2][-1] < "5"}
+    for r in got:
+        p = pairs | ({x for x in is_gold if x[1] < "C15"} if r.variant == "early" else set())
+        assert (r.tp, r.fp, r.fn) == (len(p & is_gold), len(p - is_gold), len(is_gold - p))
+    assert {r.variant for r in got} == {"none", "early"}
+
+
+def test_a_concept_that_is_chemical_and_disease_counts_all_its_sentences(spark):
+    located = spark.createDataFrame([(1, 0, "CHEMICAL", "A"), (1, 1, "DISEASE", "A"), (1, 2, "DISEASE", "B"), (1, 0, "CHEMICAL", None)], "paper_id long, sentence_index int, label string, canonical_id string")
+    got = {(r.chemical_id, r.disease_id): (r.n_chemical, r.n_disease, r.t) for r in pairing.placed_pairs(located).withColumn("t", pairing.together()).collect()}
+    assert got == {("A", "A"): (2, 2, False), ("A", "B"): (2, 1, False)}
