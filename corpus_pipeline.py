@@ -18,7 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that share 0.8 of their five-word shingles, that of the least id."""
+    """One document of each group of texts that share 0.8 of their five-word shingles, that of the least id; they meet by pivot coordinates of their fingerprints, and beyond that radius by bands."""
     return simhash.one_of_each(docs)
 
 

@@ -7,8 +7,8 @@ coordinate depends on its two bits alone; so two fingerprints within the radius
 groups of references, and pairs meet by equality of the others: no pair is lost. The greatest difference of the seeded
 references' coordinates then discards pairs inside the join, and survivors are verified by their exact distance.
 
-``near_copies`` is for similarities that no such radius reaches; there pairs meet by minima of shingle hashes, fingerprints
-discard, and the shingles themselves decide.
+``near_copies`` is for a similarity of shingles. Its pairs meet by the same coordinates, so that none within the radius is lost; those
+that no such radius reaches also meet by minima of shingle hashes. Fingerprints discard, and the shingles themselves decide.
 """
 
 from __future__ import annotations
@@ -114,22 +114,31 @@ def pivot_table(distinct: DataFrame) -> DataFrame:
     """``f, d, g``: a fingerprint's distances to the seeded references, a byte each in the long ``d``, and those to the pair
     references, less the distance to zero, as a number with a digit of three values for each reference of a group."""
     f = F.col("f")
-    zero = _distance(f, 0)
     seeded = F.lit(0).cast("long")
     for i, r in enumerate(references()):
         seeded = seeded.bitwiseOR(F.shiftleft(_distance(f, r).cast("long"), 8 * i))
+    return distinct.select("f", seeded.alias("d"), pair_coordinates(f).alias("g"))
+
+
+def pair_coordinates(f: Column) -> Column:
+    """The coordinates ``g`` of :func:`pivot_table`."""
+    zero = _distance(f, 0)
     digits = [((_distance(f, r) - zero + 2) / 2).cast("int") for r in pair_references()]
-    groups = [sum((digits[g * IN_GROUP + i] * 3**i for i in range(IN_GROUP)), F.lit(0)) for g in range(GROUPS)]
-    return distinct.select("f", seeded.alias("d"), F.array(*groups).alias("g"))
+    return F.array(*[sum((digits[g * IN_GROUP + i] * 3**i for i in range(IN_GROUP)), F.lit(0)) for g in range(GROUPS)])
 
 
-def meetings(table: DataFrame, radius: int) -> DataFrame:
-    """``key, f, d``: a row for each choice of all but ``radius`` groups; the key spells the choice and its coordinates."""
+def meeting_keys(g: Column, radius: int) -> Column:
+    """A key for each choice of all but ``radius`` groups, which spells the choice and its coordinates."""
     size = 3**IN_GROUP
     keys = []
     for j, chosen in enumerate(combinations(range(GROUPS), GROUPS - radius)):
-        keys.append(sum((F.col("g")[g].cast("long") * size**i for i, g in enumerate(chosen)), F.lit(j * size ** len(chosen)).cast("long")))
-    return table.select("f", "d", F.explode(F.array(*keys)).alias("key"))
+        keys.append(sum((g[k].cast("long") * size**i for i, k in enumerate(chosen)), F.lit(j * size ** len(chosen)).cast("long")))
+    return F.array(*keys)
+
+
+def meetings(table: DataFrame, radius: int) -> DataFrame:
+    """``key, f, d``: a row for each of the keys."""
+    return table.select("f", "d", F.explode(meeting_keys(F.col("g"), radius)).alias("key"))
 
 
 def greatest_difference(a: Column, b: Column) -> Column:
@@ -173,6 +182,8 @@ COPY_WORDS, SIMILAR = 5, (4, 5)
 BANDS, BAND_ROWS = 24, 8
 #: Fingerprint lanes, and most differing bits: at 0.8 they have 19.4 of 128, with a deviation of 4.1.
 COPY_LANES, COPY_BITS = 2, 36
+#: Bits of the first lane within which pairs meet by pivot coordinates, without loss.
+COPY_RADIUS = 2
 #: Rounds of comparing a bucket with one of its own before what is still apart is compared pair by pair.
 STAR_ROUNDS = 2
 #: Stands for no id where a number is needed.
@@ -242,8 +253,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """``doc_id, raw, first_id, first_raw`` of every row: its text's hash, and the document that stands for its group.
 
     Groups are the components of texts that share at least ``SIMILAR`` of their distinct five-word shingles. Texts of one
-    sequence of lower-cased words are one class; classes meet where all minima of a band agree, those of too unlike sizes or
-    fingerprints are discarded, and the shingles of the others decide. In a bucket each class is first compared with one
+    sequence of lower-cased words are one class; classes meet where the pivot coordinates of their fingerprints agree but for ``COPY_RADIUS`` groups, and
+    where all minima of a band agree, so that none within that radius is lost and few beyond it; those of too unlike sizes or fingerprints are discarded, and the shingles of the others decide. In a bucket each class is first compared with one
     of the bucket's own, for ``STAR_ROUNDS`` rounds with another one each; then all pairs that still stand in
     different components, except within the component that holds most of the bucket; what each text lost and gained against a pivot
     of the bucket gives their shared shingles inside the join. So a bucket of many copies costs a line
@@ -254,7 +265,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     small = ["node", "n", "f0", "f1"]
     prints = Cut(sketches(docs, doc_id, text))
     classes = Cut(prints.df.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("first"), *[F.first(c).alias(c) for c in (*small[1:], "bands")]))
-    rows = Cut(classes.df.select(*small, F.explode("bands").alias("h")))
+    placed = classes.df.filter("n > 0").select(*small, "bands", pair_coordinates(F.col("f0")).alias("g"))
+    rows = Cut(placed.select(*small, F.explode(F.concat("bands", meeting_keys(F.col("g"), COPY_RADIUS))).alias("h")))
     met_twice = rows.df.groupBy("h").agg(F.count("*").alias("k")).filter("k > 1")
     held = Cut(rows.df.join(met_twice, "h").select("h", *small))
     rows.drop()

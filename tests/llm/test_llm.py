@@ -593,6 +593,18 @@ def test_near_copies_by_all_pairs(spark, small):
     assert met == {0.75: 0, 0.80: 60, 0.85: 60}
 
 
+def test_near_copies_meet_by_pivot_coordinates(spark, monkeypatch):
+    """Without any band, all copies meet whose fingerprints differ by two bits or fewer."""
+    rng = random.Random(17)
+    w = lambda n: [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [t for _ in range(60) for a in [w(400)] for t in (" ".join(a), " ".join(a + w(1)))]
+    first = [simhash.fingerprint(t, simhash.COPY_WORDS)[0] for t in texts]
+    near = {i + 1 for i in range(0, len(texts), 2) if 0 < (first[i] ^ first[i + 1]).bit_count() <= simhash.COPY_RADIUS}
+    monkeypatch.setattr(simhash, "bands", lambda distinct: [])
+    got = {r.doc_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect() if r.first_id == r.doc_id - 1}
+    assert len(near) >= 10 and near <= got
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(i + 1, i) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     got = {r.node: r.component for r in components.components(links).collect()}
