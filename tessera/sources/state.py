@@ -21,6 +21,26 @@ def pooled(runs: DataFrame) -> DataFrame:
     return each.groupBy("key").agg(F.sort_array(F.collect_list("p")).alias("paper_ids"))
 
 
+#: Rows of a left side that are grouped in one task.
+LEFT_ROWS = 50_000
+
+
+def pooled_sides(runs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """:func:`pooled` for keys of two sides: ``left, right, paper_ids`` from ``left, paper_id, rights``, each row with all that a paper pairs with the left side.
+
+    Rows are dealt once, by their left side; so a key's paper travels as one element of an array. ``sizes`` has ``left, n``, about how many rows a left side has:
+    one of more than ``LEFT_ROWS`` is dealt into several buckets by its right sides.
+    """
+    large = sizes.filter(F.col("n") > LEFT_ROWS).select(F.col("left").alias("_l"), F.ceil(F.col("n") / LEFT_ROWS).cast("int").alias("_n"))
+    many = F.coalesce("_n", F.lit(1))
+    each = runs.join(F.broadcast(large), F.col("left") == F.col("_l"), "left").select("left", "paper_id", "rights", many.alias("_n"))
+    each = each.select("left", "paper_id", "rights", "_n", F.explode(F.when(F.col("_n") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("_n") - 1))).alias("_b"))
+    mine = F.when(F.col("_n") == 1, F.col("rights")).otherwise(F.filter("rights", lambda r: F.pmod(F.hash(r), F.col("_n")) == F.col("_b")))
+    dealt = each.select("left", "_b", "paper_id", mine.alias("rights")).repartition("left", "_b")
+    grouped = dealt.select("left", "_b", "paper_id", F.explode("rights").alias("right")).groupBy("left", "_b", "right").agg(F.collect_list("paper_id").alias("p"))
+    return grouped.select("left", "right", F.sort_array(F.array_distinct("p")).alias("paper_ids"))
+
+
 def arm_of(spark: SparkSession, path: str, dataset: str, arm: str) -> DataFrame:
     """``paper_id, sentence_index`` that an arm chose, from a log of JSON lines (dataset, arm, members).
 

@@ -76,6 +76,20 @@ def test_pooled_runs_merge_by_key(spark):
     assert {(r.key, tuple(r.paper_ids)) for r in state.pooled(runs).collect()} == {("k", (1, 2, 3)), ("j", (5,))}
 
 
+def test_runs_of_sided_keys_are_pooled_in_one_exchange(spark, monkeypatch):
+    monkeypatch.setattr(state, "LEFT_ROWS", 4)
+    rows = [(1, p, list(range(p % 5 + 1))) for p in range(30)] + [(1, 3, [0, 9]), (2, 7, [0]), (2, 7, [0, 1])]
+    runs = spark.createDataFrame(rows, "left int, paper_id long, rights array<int>")
+    pooled = state.pooled_sides(runs, runs.groupBy("left").count().withColumnRenamed("count", "n"))
+    want = {}
+    for a, p, some in rows:
+        for b in some:
+            want.setdefault((a, b), set()).add(p)
+    got = pooled.collect()
+    assert len(got) == len(want) and {(r.left, r.right): r.paper_ids for r in got} == {k: sorted(v) for k, v in want.items()}
+    assert pooled._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
+
+
 def test_arms_must_agree(spark, put):
     line = '{"dataset": "d", "arm": "%s", "members": [%s]}\n'
     one, two = '{"paper_id": "1", "sentence_index": 0}', '{"paper_id": "2", "sentence_index": 4}'
