@@ -257,3 +257,65 @@ def test_equal_passages_of_a_short_period_are_found(spark):
     found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     hit = {min(r.doc_id, r.ref_id) // 2 for r in found if {r.doc_id // 2} == {r.ref_id // 2} and r.start <= 45 and r.end >= 115}
     assert len(hit) == 40, len(hit)
+
+
+def test_short_changed_passages_are_found(spark):
+    """Pairs of passages of 55 and 60 words with words replaced at random, and changed passages whose parts stand in other, earlier documents."""
+    from tessera.llm import passages
+
+    rng = random.Random(33)
+    w = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    rows, pairs = [], {}
+
+    def put(words):
+        rows.append((len(rows), " ".join(words)))
+        return len(rows) - 1
+
+    for n, changed in ((55, 5), (60, 9), (60, 12)):
+        for _ in range(150):
+            a = w(n)
+            b = list(a)
+            for i in rng.sample(range(n), changed):
+                b[i] = w(1)[0]
+            pairs[put(w(30) + a + w(30)), put(w(45) + b + w(20))] = n, changed
+    for _ in range(60):
+        a = w(60)
+        for i in range(0, 60, 20):
+            put(w(30) + a[i : i + 20] + w(30))
+        b = list(a)
+        for i in rng.sample(range(60), 6):
+            b[i] = w(1)[0]
+        pairs[put(w(30) + a + w(30)), put(w(45) + b + w(20))] = "parts"
+    found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(min(r.doc_id, r.ref_id), max(r.doc_id, r.ref_id)) for r in found}
+    share = {c: sum(p in got for p, x in pairs.items() if x == c) / sum(x == c for x in pairs.values()) for c in set(pairs.values())}
+    assert min(share.values()) >= 0.9 and got <= set(pairs), share
+
+
+def test_meetings_by_brute_force():
+    """Anchors and shared places of random places are those of the rule, read word by word."""
+    from tessera.llm import passages as p
+
+    rng = np.random.default_rng(5)
+    for case in range(300):
+        n, asked = int(rng.integers(0, 60)), bool(case % 2)
+        h, doc, at = rng.integers(-3, 4, n), rng.integers(-4, 5, n), rng.integers(0, 9, n).astype(np.int32)
+        more = np.array([hash((a, b, c)) % 2 for a, b, c in zip(doc.tolist(), at.tolist(), h.tolist(), strict=True)], np.int32)
+        held: dict = {}
+        for a, d, x, m in sorted(set(zip(h.tolist(), doc.tolist(), at.tolist(), more.tolist(), strict=True))):
+            held.setdefault(a, {}).setdefault(d, []).append((x, m))
+        pairs, shared = [], []
+        for a, docs in held.items():
+            if len(docs) < 2 or asked and not any(m for v in docs.values() for _, m in v):
+                continue
+            names = sorted(docs)
+            shared += [(a, d, x) for d in names for x, _ in docs[d]]
+            for i, d in enumerate(names):
+                others = names[:i] if len(names) <= p.ALL_MEET and not asked else names[: min(i, 1)]
+                on = lambda r, k: docs[r][k % len(docs[r])][0]
+                pairs += [(d, r, (x << 32) + on(r, k)) for r in others for k, (x, m) in enumerate(docs[d]) if m or not asked]
+                if not i:
+                    pairs += [(d, names[-1], (x << 32) + on(names[-1], k)) for k, (x, m) in enumerate(docs[d]) if (m if asked else k >= len(docs[names[-1]]))]
+        got, rest = p.meetings(h, doc, at, more, asked)
+        assert sorted(zip(*(x.tolist() for x in got[:3]), strict=True)) == sorted(pairs)
+        assert sorted(zip(*(x.tolist() for x in rest[:3]), strict=True)) == sorted(shared)
