@@ -153,7 +153,8 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     a, b = rows.alias("a"), rows.alias("b")
     near = greatest_difference(F.col("a.d"), F.col("b.d")) <= radius
     exact = F.bit_count(F.col("a.f").bitwiseXOR(F.col("b.f"))) <= radius
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.f") < F.col("b.f")) & near & exact)
+    # by sorting: Spark takes the keys of a fingerprint, which are made in the row, for one row, and would send them all to every executor
+    met = a.join(b.hint("merge"), (F.col("a.key") == F.col("b.key")) & (F.col("a.f") < F.col("b.f")) & near & exact)
     return met.select(F.col("a.f").alias("fa"), F.col("b.f").alias("fb")).distinct()
 
 

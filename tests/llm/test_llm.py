@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import chat, components, licenses, mixing, passages, pii, quality, secrets, simhash, toxicity, wumanber
-from tessera.llm.common import table, word_list
+from tessera.llm.common import cut, table, word_list
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
 
@@ -540,6 +540,12 @@ def test_pairs_meet_through_pivot_coordinates(spark, monkeypatch):
     assert met() == len(prints) * (len(prints) - 1) // 2
 
 
+def test_keys_of_fingerprints_are_not_broadcast(spark):
+    """A table of fingerprints below the limit of a broadcast has 28 keys a row, which Spark's sizes leave out."""
+    prints = cut(spark.range(20_000).select(F.xxhash64("id").alias("f")))
+    assert "Broadcast" not in simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_copies_keep_one_of_each(spark, awkward, empty):
     rng = random.Random(9)
     w = [f"{rng.choice('abcdef')}{rng.randrange(10**6)}" for _ in range(300)]
