@@ -481,3 +481,23 @@ def test_fragments_are_merged_in_one_pass_over_the_texts(spark):
     assert sorted(map(str, got)) == sorted(map(str, linking.merge_fragments(mentions, texts).collect()))
     assert [(r.start, r.end, r.text, r.n_parts) for r in sorted(got, key=lambda r: (r.paper_id, r.run))][:2] == [(0, 8, "N-methyl", 2), (13, 24, "co/factor-x", 3)]
     assert len(got) == 502 and not moved
+
+
+def test_pooled_relations_are_not_moved(spark):
+    rows = [(p, c, d) for p in range(20) for c in range(10) for d in range(10)]
+    relations = spark.createDataFrame([(p, f"C{c}", f"D{d}") for p, c, d in rows if d < 5], "paper_id long, chemical_id string, disease_id string")
+    members = spark.createDataFrame([(p, f"C{c}", f"D{d}") for p, c, d in rows if c == d], relations.schema)
+    got, moved = _rows_moved(spark, lambda: pairing.pooled_rows(relations, members, F.col("disease_id") < "D5"))
+    assert sorted((r.paper_id, r.chemical_id, r.disease_id) for r in got) == sorted((p, f"C{c}", f"D{d}") for p, c, d in rows if d < 5 or c == d)
+    assert not moved
+
+
+def test_pooled_members_deal_no_gold_by_key(spark, small):
+    from tessera.plans.substrate import Substrate
+
+    got, moved = _rows_moved(spark, lambda: evaluation.queries()["u4_pooled_members"](spark, small))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    theirs = con.execute(f"select chemical_id, disease_id, paper_id from ({evaluation.oracle_sql()['u4_pooled_members']})").fetchall()
+    assert sorted((r.chemical_id, r.disease_id, r.paper_id) for r in got) == sorted(theirs)
+    assert moved < 5 * Substrate(spark, small).found.count()
