@@ -6,13 +6,14 @@ from datetime import date
 from itertools import combinations
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import costs, quality
-from tessera.operators import corpora, evidence, linking, pairing, selection
+from tessera.operators import cells, corpora, evidence, linking, pairing, selection
 from tessera.plans import evaluation
-from tessera.plans.substrate import Substrate
+from tessera.plans.substrate import Substrate, gold_ways, ways
 
 
 def test_candidate_pairs_are_the_first_of_all_pairs(spark):
@@ -493,11 +494,70 @@ def test_pooled_relations_are_not_moved(spark):
 
 
 def test_pooled_members_deal_no_gold_by_key(spark, small):
-    from tessera.plans.substrate import Substrate
-
     got, moved = _rows_moved(spark, lambda: evaluation.queries()["u4_pooled_members"](spark, small))
     con = duckdb.connect()
     con.execute(f"create view documents as select * from '{small}/documents.parquet'")
     theirs = con.execute(f"select chemical_id, disease_id, paper_id from ({evaluation.oracle_sql()['u4_pooled_members']})").fetchall()
     assert sorted((r.chemical_id, r.disease_id, r.paper_id) for r in got) == sorted(theirs)
     assert moved < 5 * Substrate(spark, small).found.count()
+
+
+def test_digests_of_many_texts_equal_those_of_each():
+    import hashlib
+
+    from tessera.functions import digests
+
+    rng = np.random.default_rng(2)
+    for size in (0, 1, 31, 55):
+        texts = rng.integers(0, 256, (digests.CHUNK + 9, size)).astype(np.uint8)
+        assert digests.first_digits(texts).tolist() == [int(hashlib.md5(x.tobytes()).hexdigest()[0], 16) for x in texts]
+    with pytest.raises(ValueError):
+        digests.first_digits(np.zeros((1, 56), np.uint8))
+
+
+def test_gold_by_arrays_is_gold_by_rows(spark):
+    rng = np.random.default_rng(3)
+    paper = np.concatenate([rng.integers(0, 10**k, 200) for k in range(1, 19)] + [rng.integers(-(10**6), 0, 100)])
+    c, d = rng.integers(0, 1 << 24, (2, len(paper))).astype(np.int32)
+    rows = spark.createDataFrame([*zip(paper.tolist(), c.tolist(), d.tolist(), gold_ways(paper, c, d).tolist(), strict=True)], "paper_id long, c int, d int, ways int")
+    named = rows.select("paper_id", "ways", Substrate.concept_name(F.col("c")).alias("chemical_id"), Substrate.concept_name(F.col("d")).alias("disease_id"))
+    by_row = F.when(~Substrate.is_gold(), 0).when(F.size(ways()) == 2, 3).when(ways()[0] == "causes", 1).otherwise(2)
+    assert named.filter(by_row != F.col("ways")).count() == 0 and named.filter("ways > 0").count() > 1_000
+
+
+@pytest.mark.parametrize("most", [2_000_000, 7])
+def test_candidate_pairs_in_cells_are_those_of_all_relations(spark, most):
+    """Pairs, facts and directions of relations made in cells, and nothing but papers' concepts is dealt."""
+    rng = random.Random(8)
+    own = {p: (rng.sample(range(40), rng.randrange(0, 30)), rng.sample(range(30), rng.randrange(0, 25))) for p in range(-3, 60)} | {10**12: (list(range(40)), list(range(30)))}
+    rule = lambda p, c, d: ((p * 7 + c * 5 + d * 3) % 11 % 4).astype(np.uint8)
+    papers = spark.createDataFrame([(p, None if p == 5 else f"fact {p}", c, d) for p, (c, d) in own.items()], "paper_id long, fact string, lefts array<int>, rights array<int>")
+    sides = {0: [], 1: ["causes"], 2: ["treats"], 3: ["causes", "treats"]}
+    rows = [(f"{c}|{d}", p, sides[(p * 7 + c * 5 + d * 3) % 11 % 4]) for p, (cs, ds) in own.items() for c in cs for d in ds]
+    told = {(k, p): d for k, p, d in rows}
+    acc = spark.createDataFrame([r for r in rows if r[2]], "key string, paper_id long, directions array<string>")
+    want = {tuple(r) for r in corpora.candidate_pairs(acc).select("key", "paper_a", "paper_b", "label").collect()}
+    got, moved = _rows_moved(spark, lambda: cells.candidate_pairs(papers, rule, most=most))
+    assert {(f"{r.left}|{r.right}", r.paper_a, r.paper_b, "agreement" if r.agree else "contradiction") for r in got} == want and len(got) == len(want)
+    for r in got:
+        assert (r.fact_a, r.fact_b) == tuple(None if p == 5 else f"fact {p}" for p in (r.paper_a, r.paper_b))
+        assert (sides[r.ways_a], sides[r.ways_b]) == tuple(told[f"{r.left}|{r.right}", p] for p in (r.paper_a, r.paper_b))
+    assert moved < 600 < len(rows)  # a row a cell and batch of papers
+    assert cells.candidate_pairs(papers.limit(0), rule).count() == 0
+
+
+@pytest.mark.parametrize("name", ["p16_usable_pairs", "f32_pair_ids", "r1_greedy_pairs", "v1_pair_violations", "j13_candidate_pairs", "f22_judges"])
+def test_queries_of_pairs_deal_no_relation(spark, small, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    got, moved = _rows_moved(spark, lambda: evaluation.queries()[name](spark, small))
+    cols = sorted(got[0].asDict()) if got else ["key"]
+    theirs = con.execute(f"select {', '.join(cols)} from ({evaluation.oracle_sql()[name]})").fetchall() if name != "r1_greedy_pairs" else None
+    assert theirs is None or sorted(str(tuple(r[c] for c in cols)) for r in got) == sorted(map(str, theirs))
+    assert moved < 8 * Substrate(spark, small).found.count()
+
+
+def test_violations_by_directions_that_pairs_bring(spark):
+    rows = [("k", 1, 2, "contradiction", ["c"], ["t"]), ("k", 1, 2, "agreement", ["c"], ["t"]), ("k", 2, 1, "contradiction", ["t"], ["c"]), ("k", 1, 3, "agreement", ["c"], ["c", "t"]), ("j", 1, 2, "agreement", None, None)]
+    pairs = spark.createDataFrame(rows, "key string, paper_a long, paper_b long, label string, da array<string>, db array<string>")
+    assert sorted(map(tuple, corpora.pair_violations(pairs).collect())) == [("j", 1, 2), ("k", 1, 2), ("k", 1, 3), ("k", 2, 1)]
