@@ -561,3 +561,24 @@ def test_violations_by_directions_that_pairs_bring(spark):
     rows = [("k", 1, 2, "contradiction", ["c"], ["t"]), ("k", 1, 2, "agreement", ["c"], ["t"]), ("k", 2, 1, "contradiction", ["t"], ["c"]), ("k", 1, 3, "agreement", ["c"], ["c", "t"]), ("j", 1, 2, "agreement", None, None)]
     pairs = spark.createDataFrame(rows, "key string, paper_a long, paper_b long, label string, da array<string>, db array<string>")
     assert sorted(map(tuple, corpora.pair_violations(pairs).collect())) == [("j", 1, 2), ("k", 1, 2), ("k", 1, 3), ("k", 2, 1)]
+
+
+def test_greedy_batches_make_their_rows_once(spark):
+    """Rows are made once for all strata; of rows without order, with nulls and ties of the draw, the first of each stratum leave their tasks."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = [(None if i % 97 == 0 else i % 90, i, "xyz"[i % 3]) for i in range(3_000)]
+    pool = spark.createDataFrame(rows, "a long, b long, label string").repartition(5)
+    got = corpora.greedy_batch(pool.mapInArrow(count, pool.schema), "label", {"x": 4, "y": 3}, {("a",): 1}, "s", ["a", "b"], ahead=10).collect()
+    assert made.value == 3_000
+    assert sorted(map(str, got)) == sorted(map(str, corpora.greedy_batch(pool, "label", {"x": 4, "y": 3}, {("a",): 1}, "s", ["a", "b"], ahead=10_000).collect())) and len(got) == 7
+    each = pool.filter("label <> 'z'").withColumns({"_at": F.lit(1), "_draw": F.substring(F.md5(F.col("b").cast("string")), 1, 2)})
+    few = corpora._first_of_tasks(each, "label", ["_at", "_draw", "a", "b"], {"x": 50, "y": 9})
+    for name, n in (("x", 50), ("y", 9)):
+        first = lambda df: [tuple(r) for r in df.filter(F.col("label") == name).orderBy("_at", "_draw", "a", "b").limit(n).collect()]  # noqa: B023, E731
+        assert first(few) == first(each) and few.filter(F.col("label") == name).count() <= 5 * n
