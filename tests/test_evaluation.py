@@ -582,3 +582,39 @@ def test_greedy_batches_make_their_rows_once(spark):
     for name, n in (("x", 50), ("y", 9)):
         first = lambda df: [tuple(r) for r in df.filter(F.col("label") == name).orderBy("_at", "_draw", "a", "b").limit(n).collect()]  # noqa: B023, E731
         assert first(few) == first(each) and few.filter(F.col("label") == name).count() <= 5 * n
+
+
+@pytest.mark.parametrize("look", [8, 1])
+def test_hard_negatives_in_cells_are_those_of_all_relations(spark, monkeypatch, look):
+    """Papers that mostly share keys, so that many rounds are needed, of which none deals a relation."""
+    monkeypatch.setattr(cells, "FIRST_LOOK", look)
+    rng = random.Random(6)
+    every = list(range(12))
+    own = {p: (every, every) if p % 5 else (rng.sample(range(20), rng.randrange(1, 12)), rng.sample(range(20), rng.randrange(1, 12))) for p in range(-2, 38)} | {50: ([0], [1]), 51: ([0], [2]), 52: ([3], [1]), 53: ([99], [99])}
+    rule = lambda p, c, d: np.where((p * 7 + c * 5 + d * 3) % 11 % 3 > 0, cells.BOTH, cells.NONE)
+    papers = spark.createDataFrame([(p, c, d) for p, (c, d) in own.items()], "paper_id long, lefts array<int>, rights array<int>").repartition(3)
+    keys = {p: {(c, d) for c in cs for d in ds if (p * 7 + c * 5 + d * 3) % 11 % 3 > 0} for p, (cs, ds) in own.items()}
+    want = set()
+    for kind in (0, 1):
+        for e in {k[kind] for v in keys.values() for k in v}:
+            holders = sorted(p for p, v in keys.items() if any(k[kind] == e for k in v))
+            want |= {(kind, e, a, b) for a, b in [(a, b) for a, b in combinations(holders, 2) if not keys[a] & keys[b]][:4]}
+    got = cells.hard_negatives(papers, rule).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert cells.hard_negatives(papers.limit(0), rule).count() == 0
+
+
+def test_shared_keys_by_brute_force():
+    rng = random.Random(7)
+    own = [(sorted(rng.sample(range(15), rng.randrange(0, 9))), sorted(rng.sample(range(15), rng.randrange(0, 9)))) for _ in range(40)]
+    rule = lambda p, c, d: ((p * 5 + c * 3 + d * 7) % 13 < 3).astype(np.uint8)
+    keys = [{(c, d) for c in cs for d in ds if (p * 5 + c * 3 + d * 7) % 13 < 3} for p, (cs, ds) in enumerate(own)]
+    sides = [(np.cumsum([0, *size[:-1]]), size, np.array([x for o in own for x in o[i]], np.int32)) for i in (0, 1) for size in [np.array([len(o[i]) for o in own])]]
+    a, b = np.array(list(combinations(range(40), 2))).T
+    for most in (2_000_000, 5):
+        assert cells.share_key(rule, np.arange(40), sides, a, b, most).tolist() == [bool(keys[x] & keys[y]) for x, y in zip(a, b, strict=True)]
+
+
+def test_hard_negatives_deal_no_relation(spark, small):
+    got, moved = _rows_moved(spark, lambda: evaluation.queries()["j13_hard_negatives"](spark, small))
+    assert got and moved < 10 * Substrate(spark, small).found.count()
