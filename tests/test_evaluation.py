@@ -618,3 +618,24 @@ def test_shared_keys_by_brute_force():
 def test_hard_negatives_deal_no_relation(spark, small):
     got, moved = _rows_moved(spark, lambda: evaluation.queries()["j13_hard_negatives"](spark, small))
     assert got and moved < 10 * Substrate(spark, small).found.count()
+
+
+def test_mentions_that_nothing_names_are_not_moved(spark):
+    """Of words, texts with ties, repeats and hyphens, only those that the dictionary or a linked fragment may name are dealt."""
+    rng = random.Random(12)
+    vocabulary = ["xy", *(f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in "lmnr")]
+    texts = spark.createDataFrame([(p, rng.choice([" ", "-"]).join(rng.choice(vocabulary) for _ in range(400))) for p in range(20)] + [(20, None), (21, "")], "paper_id long, abstract string")
+    words = lambda t: ((i, m[0], "C", m.start(), m.end()) for i, m in enumerate(re.finditer("[a-z]+", t)))
+    m = spark.createDataFrame([(p, *w) for p, t in ((r.paper_id, r.abstract) for r in texts.collect()) if t for w in words(t)], "paper_id long, ord int, text string, label string, start int, end int")
+    whole = [r.abstract for r in texts.collect() if r.abstract and "-" in r.abstract][0]
+    names = spark.createDataFrame([("bal", "M1", "Bal", False), ("dem", "M2", "Dem", True), (whole, "M9", "Whole", False), (None, "M8", "none", False)], "alias_key string, concept_id string, name string, tiebroken boolean")
+    got, moved = _rows_moved(spark, lambda: linking.canonicalize(m, texts, names, linking.merge_found(texts, words)))
+    named = {"bal": ("M1", "Bal", False), "dem": ("M2", "Dem", True)}
+    part = {r.paper_id for r in texts.collect() if r.abstract == whole}
+    want = sorted(str((*r, *named.get(r.text, ("M9", "Whole", False) if r.paper_id in part else (None, None, False)))) for r in m.collect())
+    assert sorted(str(tuple(r)) for r in got) == want and moved < 6_000  # 8,000 words, of which 400 are a fragment's and 200 named
+    assert sorted(map(str, linking.canonicalize(m, texts, names).collect())) == sorted(map(str, got))
+    rows = m.select("paper_id", "ord")
+    assert linking.marked(rows, ["paper_id", "ord"], rows.filter("ord < 9"), "f").filter("f").filter("ord < 9").count() == 20 * 9
+    assert linking.marked(rows, ["paper_id", "ord"], rows.filter("ord < 9"), "f").filter("f").count() < 2_000
+    assert linking.marked(rows, ["paper_id", "ord"], rows.limit(0), "f").filter("f").count() == 0
